@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspan.llm import bpe
+from litspan.llm import bpe, langid, packing
 from litspan.llm.common import read_table
 
 QUERIES: dict = {}
@@ -30,3 +30,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the training fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, carry=["doc_id"])
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; a row for each piece with the checksum of its ids."""
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.piece_checksums(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
