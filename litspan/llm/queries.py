@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspan.llm import bpe, langid, packing
+from litspan.llm import bpe, fingerprints, langid, packing
 from litspan.llm.common import read_table
 
 QUERIES: dict = {}
@@ -45,3 +45,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed; a row for each piece with the checksum of its ids."""
     docs = read_table(spark, sf_dir, "documents")
     return packing.piece_checksums(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how alike they are."""
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
