@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspan.llm import bpe, fingerprints, langid, packing
+from litspan.llm import bpe, fingerprints, htmltext, langid, licenses, packing
 from litspan.llm.common import read_table
 
 QUERIES: dict = {}
@@ -51,3 +51,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and how alike they are."""
     return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license labels of every whole text."""
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = htmltext.extract(read_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
