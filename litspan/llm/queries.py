@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspan.llm import bpe, fingerprints, htmltext, langid, licenses, packing
+from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, packing, urls
 from litspan.llm.common import read_table
 
 QUERIES: dict = {}
@@ -64,3 +64,18 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = htmltext.extract(read_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of the whole table."""
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op2_url_filter"] = urls.ORACLE
