@@ -41,7 +41,7 @@ LETTER, NUMBER, OTHER, RUN, BIND, LONE, SHORT, LONG = range(8)
 OUT, IN_L, IN_N, IN_O, IN_W, BOUND, ONE, TWO = range(8)
 STATES, FRESH = 8, 8  # symbol + FRESH: the same symbol as the first of a text
 IDENTITY = 16
-CHUNK = 1 << 22  # code points handled at once
+CHUNK = 1 << 20  # code points handled at once
 COLUMN = 64  # code points of a column of the scan
 
 
@@ -213,7 +213,7 @@ class Merged(dict):
     The public tokenizer library's merge loop for one piece does the merging where it has one
     (merge_piece gives the same ids, ten times slower)."""
 
-    def __init__(self, ranks: dict[bytes, int], code: str, most: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], code: str, most: int = 1 << 18):
         super().__init__()
         self.ranks, self.code, self.most = ranks, code, most
         merge = getattr(tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}), "_encode_single_piece", None)
