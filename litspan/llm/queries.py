@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, packing, urls
+from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, ngrams, packing, urls
 from litspan.llm.common import read_table
 
 QUERIES: dict = {}
@@ -79,3 +79,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_url_filter"] = urls.ORACLE
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and component of every document, by word five-grams with a similarity of 0.8."""
+    found = ngrams.jaccard_join(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "component_id", "kept")
