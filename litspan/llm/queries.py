@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, ngrams, packing, urls
+from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, ngrams, packing, pii, urls
 from litspan.llm.common import read_table
 
 QUERIES: dict = {}
@@ -86,3 +86,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, links and component of every document, by word five-grams with a similarity of 0.8."""
     found = ngrams.jaccard_join(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_links", "component_id", "kept")
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base counts and digest, and all spans."""
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.expr(pii.joined("base")), 256).alias("base_sha256"), F.expr(pii.joined("concat(base, more)")).alias("spans"))
