@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from importlib import import_module
+
+from litspan.plans.registering import ORACLES, QUERIES
+
+for _name in ("documents", "search", "retrieval", "references", "headings", "sections", "navigation", "tables", "state", "questions"):
+    import_module(f"litspan.plans.{_name}")
+
+__all__ = ["ORACLES", "QUERIES"]
