@@ -1 +1,99 @@
-"""To come."""
+"""Queries of bibliography parsing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from litspan.operators import references as B
+from litspan.plans.registering import query
+from litspan.sources.tables import literal, table
+
+ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+NUMBERED = f"SELECT l_orderkey AS paper, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDER)}) AS pos FROM lineitem"
+RUNS = f"""WITH nums AS ({NUMBERED}), f AS (SELECT paper, n, min(pos) AS p FROM nums GROUP BY paper, n),
+    g AS (SELECT *, CASE WHEN n = lag(n) OVER (PARTITION BY paper ORDER BY p) + 1 THEN 0 ELSE 1 END AS new FROM f),
+    h AS (SELECT *, sum(new) OVER (PARTITION BY paper ORDER BY p) AS i FROM g),
+    r AS (SELECT paper, i, count(*) AS len, min(n) AS lo, max(n) AS hi FROM h GROUP BY paper, i),
+    best AS (SELECT paper, len, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY len DESC, i) AS k FROM r) WHERE k = 1)"""
+
+
+def _numbers(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy(*ORDER)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("n"), F.row_number().over(order).alias("pos"))
+
+
+@query(f"{RUNS} SELECT paper, lo AS run_start, len AS run_length, hi AS run_end FROM best")
+def ref_longest_run(spark, sf_dir):
+    """The longest run of line numbers of each order."""
+    return B.longest_run(_numbers(spark, sf_dir), "paper")
+
+
+@query(f"{RUNS} SELECT paper, round(least(0.99, 0.65 + 0.25 * len / every + CASE WHEN len >= 5 THEN 0.2 ELSE 0.05 END), 6) AS confidence FROM best JOIN (SELECT paper, count(*) AS every FROM nums GROUP BY paper) USING (paper)")
+def ref_confidence(spark, sf_dir):
+    """The confidence of a numbered list."""
+    numbers = _numbers(spark, sf_dir)
+    every = numbers.groupBy("paper").agg(F.count("*").alias("every"))
+    return every.join(B.longest_run(numbers, "paper"), "paper").select("paper", F.round(B.numbered_confidence(F.col("every"), F.col("run_length")), 6).alias("confidence"))
+
+
+@query(f"{RUNS} SELECT nums.paper, count(*) AS kept FROM nums JOIN best USING (paper) WHERE n BETWEEN lo AND hi GROUP BY nums.paper")
+def ref_entries_in_run(spark, sf_dir):
+    """Entries whose number lies in the run."""
+    numbers = _numbers(spark, sf_dir)
+    both = numbers.join(B.longest_run(numbers, "paper"), "paper").where(F.col("n").between(F.col("run_start"), F.col("run_end")))
+    return both.groupBy("paper").agg(F.count("*").alias("kept"))
+
+
+TEXTS = r"""(1, '[1] A. Foo. Title. 2019.\n[2] B. Bar. Title\ncont. 2020.\n[0] junk\n[3] C.'),
+ (2, '1. Foo, A. One.\n   more\n2. Bar, B. Two.\r\n9999. far\n4. Four four'), (3, '1) x y\n2) z w\n3) v'),
+ (4, 'Smith, J. and Doe, A. (2019). A long title.\nJournal of Things.\nBrown et al., 2020. Another title here\n2021\npp. 3-4'), (5, ''), (6, 'nothing here')"""
+
+
+def _texts(spark):
+    return literal(spark, "paper, text", TEXTS)
+
+
+def _sql(values: str) -> str:
+    return "SELECT * FROM (VALUES " + values + ")"
+
+
+@query(_sql("(1, 'bracket'), (2, 'plain-dot'), (3, 'plain-paren'), (4, 'author-year'), (5, 'unknown'), (6, 'unknown')") + " t(paper, style)")
+def ref_style_vote(spark, sf_dir):
+    """The style of a bibliography."""
+    return _texts(spark).select("paper", B.style(F.col("text")).alias("style"))
+
+
+@query(_sql("(2, 1, '1. Foo, A. One. more'), (2, 2, '2. Bar, B. Two. 9999. far'), (3, 1, '1) x y'), (3, 2, '2) z w'), (3, 3, '3) v')") + " t(paper, idx, raw_text)")
+def ref_entries_dot(spark, sf_dir):
+    """Numbered entries of the longest run; a line with an implausible number continues the entry."""
+    entries, _ = B.parse(_texts(spark).where("paper IN (2, 3)"), "paper")
+    return entries.select("paper", "idx", "raw_text")
+
+
+@query(_sql("(1, 1, '[1] A. Foo. Title. 2019.'), (1, 2, '[2] B. Bar. Title cont. 2020.'), (1, 3, '[3] C.')") + " t(paper, idx, raw_text)")
+def ref_entries_bracket(spark, sf_dir):
+    """Bracketed entries."""
+    entries, _ = B.parse(_texts(spark).where("paper = 1"), "paper")
+    return entries.select("paper", "idx", "raw_text")
+
+
+@query(_sql("(4, 'Smith, J. and Doe, A. (2019). A long title. Journal of Things.'), (4, 'Brown et al., 2020. Another title here 2021 pp. 3-4')") + " t(paper, raw_text)")
+def ref_entries_authoryear(spark, sf_dir):
+    """Entries by author and year."""
+    entries, _ = B.parse(_texts(spark).where("paper >= 4"), "paper")
+    return entries.select("paper", "raw_text")
+
+
+@query("SELECT * FROM (VALUES (1, 'bracket', 3::BIGINT, 0.95::DOUBLE, 3), (2, 'plain-dot', 2, 0.866667, 2), (3, 'plain-paren', 3, 0.95, 3), (4, 'author-year', 2, 0.57, NULL)) t(paper, style, n_refs, confidence, last_number)")
+def ref_summary(spark, sf_dir):
+    """X6, X6d: style, count, confidence and last number of each bibliography."""
+    _, summary = B.parse(_texts(spark), "paper")
+    return summary.select("paper", "style", F.col("count").alias("n_refs"), F.round("confidence", 6).alias("confidence"), F.col("last_reference_number").alias("last_number"))
+
+
+@query("SELECT * FROM (VALUES (1, 2), (2, 0)) t(paper, section_index)")
+def ref_section_find(spark, sf_dir):
+    """the first reference section of each paper."""
+    rows = literal(spark, "paper, section_index, heading_text", "(1, 0, 'Intro'), (1, 2, 'VII. References'), (1, 3, 'Bibliography'), (2, 0, '12 Works Cited'), (3, 0, NULL)")
+    return B.reference_section(rows, "paper").select("paper", "section_index")
