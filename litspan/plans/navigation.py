@@ -1 +1,134 @@
-"""To come."""
+"""Queries of sessions, titles and attributes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from litspan.operators import navigation as N
+from litspan.operators import search as S
+from litspan.operators import state
+from litspan.plans.registering import query
+from litspan.sources.tables import literal, table
+
+MESSAGES = "('Open the PDF'), ('yes, do it'), ('Nope'), ('never mind'), ('list all of them'), ('just choose'), (' thread '), (''), ('okay?'), ('yesterday'), ('tell me about it'), ('north')"
+CUES = lambda cues: " OR ".join(f"contains(m, '{c}')" for c in cues)
+
+
+@query(f"""SELECT text, {CUES(N.OPEN_CUES)} AS opens, {CUES(N.PDF_CUES)} AS pdf, {CUES(N.SHOW_ALL)} AS show_all, {CUES(N.CHOOSE_ONE)} AS choose_one,
+    CASE WHEN regexp_matches(m, '^(?:y|yes|yeah|yep|ok|okay|sure|do it|go ahead|new search|yes its a new search|yes it''s a new search)\\b') THEN 'yes' WHEN regexp_matches(m, '^(?:n|no|nope|nah)\\b') THEN 'no'
+    WHEN regexp_matches(m, '^(?:forget it|never mind|nevermind|cancel|drop it|ignore that)\\b') THEN 'cancel' ELSE 'other' END AS answer
+    FROM (SELECT text, lower(trim(text)) AS m FROM (SELECT text FROM conversations UNION ALL VALUES {MESSAGES}))""")
+def message_cues(spark, sf_dir):
+    """cues and answers in messages."""
+    rows = table(spark, sf_dir, "conversations").select("text").union(literal(spark, "text", MESSAGES))
+    m = F.col("text")
+    return rows.select("text", N.wants(m, N.OPEN_CUES).alias("opens"), N.wants(m, N.PDF_CUES).alias("pdf"), N.wants(m, N.SHOW_ALL).alias("show_all"), N.wants(m, N.CHOOSE_ONE).alias("choose_one"), N.answer_kind(m).alias("answer"))
+
+
+ROUTES = [
+    ("", "chat", "", None, False, False, False, "nudge"),
+    ("yes please", "chat", "", None, True, True, True, "run-pending"),
+    ("no", "chat", "", None, True, True, True, "drop-pending"),
+    ("open the one on bolts", "search", "bolts", None, True, True, False, "open-from-context"),
+    ("papers on bolts", "search", "bolts", None, True, True, False, "search"),
+    ("find", "search", "", None, False, False, False, "search-usage"),
+    ("next", "next", "", None, False, False, False, "no-search"),
+    ("next", "next", "", None, True, True, False, "next"),
+    ("open 3", "open", "", 3, True, True, False, "open-index"),
+    ("summary please", "summary", "", None, True, True, False, "open-usage"),
+    ("summary on bolts", "summary", "bolts", None, True, True, False, "open-from-context"),
+    ("help", "help", "", None, False, False, False, "help"),
+    ("why?", "ask", "", None, True, True, False, "ask"),
+    ("hello", "chat", "", None, False, False, False, "chat"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r[7]}')" for i, r in enumerate(ROUTES)) + ") t(n, handler)")
+def intent_route(spark, sf_dir):
+    """E5: the router's decision table."""
+    rows = spark.createDataFrame([(i, *r[:7]) for i, r in enumerate(ROUTES)], "n int, message string, action string, topic string, index int, has_list boolean, has_search boolean, pending boolean")
+    empty = F.lit("")
+    rows = rows.withColumns({"author": empty, "title": empty, "paper_id": empty, "from_year": F.lit(None).cast("int"), "to_year": F.lit(None).cast("int"), "categories": F.array().cast("array<string>")})
+    return N.route(rows).select("n", "handler")
+
+
+@query("SELECT * FROM (VALUES (1, 'reset'), (2, 'chat'), (3, 'chat'), (4, 'ask'), (5, 'chat')) t(n, action)")
+def intent_guard(spark, sf_dir):
+    """Guards of reset and ask, unknown actions."""
+    rows = literal(spark, "n, action, message, has_paper", "(1, 'Reset ', 'please start over', false), (2, 'reset', 'hello', true), (3, 'ask', 'why', false), (4, 'ask', 'why', true), (5, 'fly', 'x', true)")
+    return rows.select("n", N.guarded_action(F.col("action"), F.col("message"), F.col("has_paper")).alias("action"))
+
+
+TITLE = r"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+ASKED = "(1, 'Red  WIDGET'), (2, 'hot-gear!'), (3, 'bolt'), (4, ''), (5, 'zzz')"
+
+
+@query(f"""WITH r AS (SELECT request_id, {TITLE.format(x='q')} AS q FROM (VALUES {ASKED}) t(request_id, q)), p AS (SELECT p_partkey, {TITLE.format(x='p_name')} AS t FROM part),
+    e AS (SELECT request_id, min(p_partkey) AS p_partkey FROM r JOIN p ON q = t WHERE q <> '' GROUP BY request_id)
+    SELECT request_id, p_partkey, 'exact' AS match FROM e UNION ALL SELECT request_id, p_partkey, 'substring' FROM r JOIN p ON contains(t, q) WHERE q <> '' AND request_id NOT IN (SELECT request_id FROM e)""")
+def title_match(spark, sf_dir):
+    """Titles equal to a request, else those that contain it."""
+    return N.title_matches(literal(spark, "request_id, query", ASKED), table(spark, sf_dir, "part"), paper="p_partkey", title="p_name")
+
+
+@query()
+def title_match_fuzzy(spark, sf_dir):
+    """The likeliest titles by matching blocks."""
+    asked = literal(spark, "request_id, query", "(1, 'rad widget'), (2, 'smal gizmos'), (3, 'entirely different words'), (4, 'bluebolt')")
+    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    return N.fuzzy_titles(asked, names, paper="p_partkey", title="p_name").withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""WITH l AS (SELECT c_custkey, c_name, c_mktsegment, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer),
+    m AS (SELECT * FROM l WHERE contains(lower(c_name), '7') AND contains(lower(c_mktsegment), 'build'))
+    SELECT c_custkey, CASE WHEN position BETWEEN 11 AND 20 THEN position - 10 ELSE position END AS position FROM m WHERE position <= 200""")
+def attr_filter_page_first(spark, sf_dir):
+    """A list's matches, numbered by the page shown first."""
+    order = [F.desc("c_acctbal"), F.asc("c_custkey")]
+    loaded = S.page(table(spark, sf_dir, "customer"), order, 0, 200).withColumnRenamed("c_custkey", "paper_id")
+    shown = N.page_slice(loaded, 10, 10).withColumn("position", F.col("position") - 10)
+    found = loaded.where(S.author_match(F.col("c_name"), "7") & S.topic_match(F.lit(""), F.col("c_mktsegment"), "BUILD ")).select("paper_id")
+    numbered = N.candidate_index(found, shown.select("paper_id", "position"), loaded.select("paper_id", "position"))
+    return numbered.select(F.col("paper_id").alias("c_custkey"), F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT * FROM (VALUES (1, 5, 'p15'), (1, 15, 'p15b'), (1, 99, NULL)) t(session, index, paper_id)")
+def open_by_index(spark, sf_dir):
+    """An index names a paper of the page, else of the list."""
+    page = literal(spark, "session, position, paper_id", "(1, 5, 'p15')")
+    loaded = literal(spark, "session, position, paper_id", "(1, 5, 'p5'), (1, 15, 'p15b')")
+    return N.open_index(literal(spark, "session, index", "(1, 5), (1, 15), (1, 99)"), page, loaded)
+
+
+@query("SELECT conv_id, CAST(CASE WHEN n * 2 > 4 AND 8 >= n * 3 THEN NULL WHEN 8 >= n * 2 THEN NULL ELSE 8 END AS BIGINT) AS next_start FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+def next_page(spark, sf_dir):
+    """K4: where a session's next page starts."""
+    n = F.col("n")
+    counted = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return counted.select("conv_id", N.next_start(F.lit(4), F.lit(4), F.when(n * 2 > 4, n * 3), n * 2).cast("long").alias("next_start"))
+
+
+@query("""SELECT l_nation AS session, string_agg(position || ') ' || s_name || chr(10) || '   Authors: ' || a || ' | Published: 2020-01-0' || position, chr(10) ORDER BY position) AS reply FROM
+    (SELECT s_nationkey AS l_nation, s_name, 'A' || s_suppkey AS a, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS position FROM supplier) WHERE position <= 5 GROUP BY l_nation""")
+def list_reply(spark, sf_dir):
+    """P20: a page of results as text."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "supplier").withColumn("position", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("position <= 5")
+    rows = rows.select(F.col("s_nationkey").alias("session"), "position", F.col("s_name").alias("title"), F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("authors"), F.concat(F.lit("2020-01-0"), F.col("position").cast("string")).alias("published"))
+    return N.render_list(rows, "session")
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 'p' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS active_paper FROM conversations")
+def session_active_paper(spark, sf_dir):
+    """ST9: the paper opened last at each turn."""
+    opened = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), F.concat(F.lit("p"), F.col("turn").cast("string")))
+    return state.active_paper(table(spark, sf_dir, "conversations"), "conv_id", "turn", opened).select("conv_id", "turn", "active_paper")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN lag(turn % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) THEN CASE length(text) % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'stay' WHEN 2 THEN 'stay' ELSE 'cleared' END ELSE 'none' END AS resolved FROM conversations""")
+def session_confirm(spark, sf_dir):
+    """ST8: pending searches and what answers make of them."""
+    kinds = F.array(*[F.lit(k) for k in ("yes", "no", "cancel", "other")])
+    turns = table(spark, sf_dir, "conversations").withColumn("kind", F.get(kinds, F.length("text") % 4)).withColumn("asks", F.col("turn") % 3 == 0)
+    return state.confirmations(turns, "conv_id", "turn", "kind", "asks")
