@@ -1 +1,79 @@
-"""To come."""
+"""Queries of question answering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from litspan.functions import text as T
+from litspan.operators import qa as Q
+from litspan.plans.registering import query
+from litspan.sources.tables import literal, table
+
+ASKED = "('How many references are there?'), ('what is reference 12?'), ('Citation number 7'), ('show me reference 4'), ('reference 12345'), ('last citation number?'), ('Explain the Methodology'), ('which findings'), ('works cited?'), ('the dataset and the method'), ('total citations')"
+BOTH = f"(SELECT text, lower(trim(text)) AS q FROM (SELECT text FROM conversations UNION ALL VALUES {ASKED}))"
+ANY = lambda words: " OR ".join(f"contains(q, '{w}')" for w in words)
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("text").union(literal(spark, "text", ASKED))
+
+
+@query(f"SELECT text, CASE WHEN {ANY(Q.REFERENCE_WORDS)} THEN 'references' ELSE 'specific' END AS label FROM {BOTH}")
+def question_router(spark, sf_dir):
+    """A question's label without a model."""
+    return _asked(spark, sf_dir).select("text", Q.question_label(F.col("text")).alias("label"))
+
+
+@query(f"SELECT text, (contains(q, 'how many') AND (contains(q, 'reference') OR contains(q, 'citation'))) OR {ANY(Q.COUNT_PHRASES)} AS asks_count, {ANY(Q.LAST_PHRASES)} AS asks_last FROM {BOTH}")
+def ref_question_flags(spark, sf_dir):
+    """questions on the number of references."""
+    return _asked(spark, sf_dir).select("text", Q.asks_count(F.col("text")).alias("asks_count"), Q.asks_last(F.col("text")).alias("asks_last"))
+
+
+@query(rf"SELECT text, TRY_CAST(nullif(regexp_extract(q, '\b(?:reference|citation)\s*(?:number\s*)?([0-9]{{1,4}})\b', 1), '') AS INT) AS number FROM {BOTH}")
+def ref_number_extract(spark, sf_dir):
+    """The reference a question asks for."""
+    return _asked(spark, sf_dir).select("text", Q.asked_number(F.col("text")).alias("number"))
+
+
+@query(f"SELECT text, CASE {' '.join(f'''WHEN contains(q, '{a}') THEN '{b}' ''' for a, b in Q.TRIGGERS)} END AS section FROM {BOTH}")
+def section_trigger(spark, sf_dir):
+    """the section named by a question's words."""
+    return _asked(spark, sf_dir).select("text", Q.trigger_section(F.col("text")).alias("section"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Proposed Training Pipeline Design'), (2, 'Prior Research'), (3, NULL), (4, 'method')) t(question_id, section)")
+def section_match(spark, sf_dir):
+    """The stored heading a question is about."""
+    questions = literal(spark, "question_id, paper_id, question", "(1, 1, 'what does the proposed training pipeline do'), (2, 1, 'explain prior research'), (3, 1, 'who wrote it'), (4, 1, 'the method?')")
+    headings = literal(spark, "paper_id, pos, heading", "(1, 0, 'I. Introduction'), (1, 1, 'II. Prior Research'), (1, 2, 'III. Proposed Training Pipeline Design')")
+    return Q.section_filter(questions, headings).select("question_id", "section")
+
+
+@query("""SELECT * FROM (VALUES (1, 'There are 12 references in the paper. They appear under the ''References'' section on pages 9–10.'), (2, 'There are 12 references in the paper. They appear under the ''References'' section on page 9.'),
+    (3, 'There are 8 references in the paper.'), (4, 'The last reference number is 8.'), (5, 'Reference 44 does not exist in this paper. The last reference number is 8.'), (6, NULL)) t(n, fact)""")
+def reference_facts(spark, sf_dir):
+    """Facts on references."""
+    rows = literal(spark, "n, q, c, l, h, s, e", "(1, 'how many references?', 12, 12, 'References', 9, 10), (2, 'how many references?', 12, 12, 'References', 9, 9), (3, 'total citations', NULL, 8, NULL, NULL, NULL), (4, 'last reference number', 7, 8, NULL, NULL, NULL), (5, 'reference 44', 7, 8, NULL, NULL, NULL), (6, 'reference 4', 7, 8, NULL, NULL, NULL)")
+    return rows.select("n", Q.reference_facts(*[F.col(c) for c in "qclhse"]).alias("fact"))
+
+
+@query("SELECT * FROM (VALUES (1, 'search', 2020), (2, 'chat', NULL), (3, NULL, NULL)) t(n, action, year)")
+def intent_json(spark, sf_dir):
+    """JSON in a model's reply, fenced or amid words."""
+    rows = literal(spark, "n, reply", """(1, '```json\\n{"action": "search", "from_year": 2020}\\n```'), (2, 'Sure: {"action": "chat"} ok'), (3, 'nothing')""")
+    found = T.safe_json(T.strip_fences(F.col("reply")), "action string, from_year int")
+    return rows.select("n", found["action"].alias("action"), found["from_year"].alias("year"))
+
+
+@query()
+def qa_answers(spark, sf_dir):
+    """A question for every twentieth vector, answered with excerpts of its paper."""
+    vectors = table(spark, sf_dir, "embeddings")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
+    chunks = vectors.select(F.col("vec_id").alias("chunk_index"), F.col("label").alias("paper_id"), "embedding", F.concat(F.lit("part "), F.col("label").cast("string")).alias("section_heading")).join(texts, "chunk_index")
+    asked = F.get(F.array(F.lit("what is the main idea"), F.lit("list the references"), F.lit("explain part three")), (F.col("vec_id") / 20 % 3).cast("int"))
+    questions = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), F.col("label").alias("paper_id"), asked.alias("question"), F.col("embedding").alias("vector"))
+    headings = literal(spark, "paper_id, pos, heading", "(3, 0, 'III. Part three')")
+    found = Q.answer_batch(questions, chunks, headings)
+    return found.select("question_id", "label", "section", "mode", F.size("excerpts").alias("n_excerpts"), F.length("answer").alias("answer_chars"))

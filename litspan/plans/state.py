@@ -1 +1,62 @@
-"""To come."""
+"""Queries that replay time-dependent state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from litspan.operators import state as S
+from litspan.plans.registering import query
+from litspan.sources.tables import table
+
+
+def _events(spark, sf_dir):
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", seconds.alias("seconds"))
+
+
+LOG = "SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events"
+
+
+@query(f"""WITH RECURSIVE l AS ({LOG}), w AS (
+    SELECT event_id, user_id, r, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'MISS' END AS outcome, CASE WHEN event_type = 'error' THEN NULL ELSE seconds END AS stored FROM l WHERE r = 1
+    UNION ALL
+    SELECT l.event_id, l.user_id, l.r, CASE WHEN seconds <= stored + 86400 THEN 'HIT' WHEN event_type = 'error' THEN CASE WHEN seconds <= stored + 86400 + 172800 THEN 'STALE' ELSE 'ERROR' END ELSE 'MISS' END,
+        CASE WHEN seconds <= stored + 86400 OR event_type = 'error' THEN stored ELSE seconds END FROM w JOIN l ON l.user_id = w.user_id AND l.r = w.r + 1)
+    SELECT event_id, outcome FROM w""")
+def cache_replay(spark, sf_dir):
+    """ST1, ST2: hits, misses and stale answers of a cache with a day's life."""
+    rows = _events(spark, sf_dir).withColumn("down", F.col("event_type") == "error")
+    return S.cache_replay(rows, "user_id", "seconds", "event_id", failed="down", ttl=86_400.0, stale=172_800.0).select("event_id", "outcome")
+
+
+@query(f"""WITH RECURSIVE l AS ({LOG}), w AS (
+    SELECT event_id, user_id, r, seconds, true AS granted, 1.0::DOUBLE AS tokens FROM l WHERE r = 1
+    UNION ALL
+    SELECT l.event_id, l.user_id, l.r, l.seconds, least(2.0, tokens + (l.seconds - w.seconds) * 0.00002) >= 1, least(2.0, tokens + (l.seconds - w.seconds) * 0.00002) - CASE WHEN least(2.0, tokens + (l.seconds - w.seconds) * 0.00002) >= 1 THEN 1 ELSE 0 END
+    FROM w JOIN l ON l.user_id = w.user_id AND l.r = w.r + 1)
+    SELECT event_id, granted FROM w""")
+def token_bucket_replay(spark, sf_dir):
+    """ST4: which requests find a token."""
+    return S.token_bucket(_events(spark, sf_dir), "user_id", "seconds", "event_id", rate=0.00002, burst=2).select("event_id", "granted")
+
+
+@query("SELECT user_id, event_type, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS day, min(struct_pack(seconds := epoch_us(ts), event_id := event_id)).event_id AS event_id, count(*) - 1 AS waiters FROM events GROUP BY ALL")
+def single_flight(spark, sf_dir):
+    """ST3: leaders and waiters of requests for one key on one day."""
+    rows = _events(spark, sf_dir).withColumn("day", F.floor(F.col("seconds") / 86400).cast("long"))
+    return S.single_flight(rows, ["user_id", "event_type", "day"], ["seconds", "event_id"]).drop("seconds")
+
+
+@query("SELECT n, i AS attempt, round(greatest(0, least(0.5 * power(2, i - 1), 90 - 0.5 * (power(2, i - 1) - 1))), 6)::DOUBLE AS wait FROM (SELECT CAST(n AS INT) AS n, unnest(range(1, least(n, 12) + 1))::INT AS i FROM range(0, 13) t(n))")
+def retry_schedule(spark, sf_dir):
+    """ST6: waits before retries within a budget."""
+    rows = spark.range(0, 13).select(F.col("id").cast("int").alias("n"))
+    waits = rows.select("n", F.posexplode(S.retry_schedule(F.col("n"), most=12)).alias("pos", "wait"))
+    return waits.select("n", (F.col("pos") + 1).alias("attempt"), F.round("wait", 6).alias("wait"))
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS turns, max_by(event_type, (ts, event_id)) AS last_action FROM events GROUP BY user_id")
+def session_get_or_create(spark, sf_dir):
+    """ST7: the state of each session after its log."""
+    rows = _events(spark, sf_dir)
+    return rows.groupBy("user_id").agg(F.count("*").alias("turns"), F.max_by("event_type", F.struct("seconds", "event_id")).alias("last_action"))

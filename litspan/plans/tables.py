@@ -1 +1,70 @@
-"""To come."""
+"""Queries of table maintenance and sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from litspan.operators import store
+from litspan.plans.registering import query
+from litspan.sources.files import pdf_error
+from litspan.sources.tables import literal, table
+
+
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS paper_id, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || quality ELSE d.source END AS title, CASE WHEN d.doc_id IS NULL THEN 'new' ELSE d.lang END AS status
+    FROM documents d FULL JOIN (SELECT doc_id * 2 AS doc_id, quality FROM labels) l ON d.doc_id = l.doc_id""")
+def paper_upsert(spark, sf_dir):
+    """L4: new metadata updates titles, keeps the status of papers that exist, and adds the others."""
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("title"), F.col("lang").alias("status"))
+    new = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("paper_id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("title"), F.lit("new").alias("status"))
+    return store.upsert(old, new, "paper_id", ["title"])
+
+
+@query("SELECT doc_id, 'old' AS version FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT doc_id, 'new' FROM labels WHERE toxic = 1")
+def paper_replace_partition(spark, sf_dir):
+    """Whole papers replaced."""
+    old = table(spark, sf_dir, "documents").select("doc_id", F.lit("old").alias("version"))
+    return store.replace(old, table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit("new").alias("version")), "doc_id")
+
+
+@query("SELECT status, count(*) AS papers, sum(CASE WHEN error IS NULL THEN 0 ELSE 1 END)::BIGINT AS errors FROM (SELECT CASE WHEN doc_id % 11 = 0 OR length(text) < 400 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN doc_id % 11 = 0 THEN 'x' WHEN length(text) < 400 THEN 'y' END AS error FROM documents) GROUP BY status")
+def paper_lifecycle(spark, sf_dir):
+    """L6, P36, ST11: statuses after an ingest."""
+    down = F.when(F.col("doc_id") % 11 == 0, F.lit("PDF not found (404)"))
+    status, error = store.lifecycle(down, F.lit(True), F.length("text") >= 400)
+    outcome = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), status.alias("status"), F.nullif(error, F.lit("")).alias("error_msg"))
+    papers = outcome.select("paper_id", F.lit("processing").alias("status"), F.lit("old").alias("error_msg"))
+    marked = store.mark(papers, outcome)
+    return marked.groupBy("status").agg(F.count("*").alias("papers"), F.count_if(F.col("error_msg").isNotNull()).alias("errors"))
+
+
+@query("SELECT doc_id, NOT (coalesce(quality, 0) = 1 AND length(text) > 2000) AS needs_ingest FROM documents LEFT JOIN labels USING (doc_id)")
+def ingest_needed(spark, sf_dir):
+    """E9's first step: papers that are ready and have chunks are left alone."""
+    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return both.select("doc_id", store.needs_ingest(F.when(F.col("quality") == 1, "ready").when(F.col("quality") == 0, "processing"), F.when(F.length("text") > 2000, 3)).alias("needs_ingest"))
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def cascade_delete(spark, sf_dir):
+    """Children whose paper is gone go too."""
+    papers = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    return store.cascade(table(spark, sf_dir, "labels").select("doc_id"), papers, "doc_id")
+
+
+@query("SELECT * FROM (VALUES (1, NULL), (2, 'Response is not a PDF'), (3, 'Empty response body'), (4, 'PDF not found (404)'), (5, 'Server error (503)'), (6, 'Rate limited (429)'), (7, 'Access denied (403)')) t(n, error)")
+def pdf_validation(spark, sf_dir):
+    """Which bytes are a PDF."""
+    rows = literal(spark, "n, content, status", "(1, CAST('%PDF-1.7' AS BINARY), 200), (2, CAST('<html>' AS BINARY), 200), (3, CAST('' AS BINARY), 200), (4, NULL, 404), (5, NULL, 503), (6, NULL, 429), (7, NULL, 403)")
+    return rows.select("n", pdf_error(F.col("content"), F.col("status")).alias("error"))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id = 77")
+def paper_get(spark, sf_dir):
+    """A paper by its id, pushed down to the scan."""
+    return table(spark, sf_dir, "documents").where(F.col("doc_id") == 77).select("doc_id", "lang", "source").limit(1)
+
+
+@query("SELECT source, n_chunks, n_sections FROM (SELECT source, count(*) AS n_chunks, count(DISTINCT lang) AS n_sections FROM documents GROUP BY source)")
+def chunk_count(spark, sf_dir):
+    """A1: chunks and sections of each paper."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("lang").alias("n_sections"))
