@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from litspan.functions import text as T
 from litspan.operators.sections import join_ordered
@@ -88,7 +89,7 @@ def title_matches(requests: DataFrame, papers: DataFrame, request: str = "reques
     return exact.unionByName(within)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Twice the matched characters over all characters, by longest matching blocks."""
     for a, b in parts:
