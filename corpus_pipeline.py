@@ -20,8 +20,8 @@ MIN_SCORE = 0.5  # posterior below which a document's language counts as unknown
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language stays unsure, go."""
-    found = langid.identify(docs)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = langid.identify(docs, out=("__language", "__score"))
+    return found.where((F.col("__language") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

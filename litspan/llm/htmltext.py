@@ -2,8 +2,8 @@
 
 One pass of the standard library's parser cuts a page into lines at block-level tags. A line's ratio
 is its length over the number of tags it has. The ratios are smoothed with a Gaussian, and those
-above a threshold set by their spread are content. The region is the smallest element that holds nearly all of the
-content lines; every line of it is kept but those in parts that are not text or that are marked as
+above a threshold set by their spread are content. The region is the article, or else the smallest element that holds nearly all of the
+content lines and half of the text; every line of it is kept but those in parts that are not text or that are marked as
 furniture (navigation, adverts, notices, reader comments and the like).
 
 Defined cases: a null or empty page has an empty text, and so has one with furniture only. Unclosed
@@ -40,7 +40,7 @@ MARKS = re.compile(
     r"nav|navbar|navigation|newsletter|notices?|popup|promo|promotion|recommended|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsored?|subscribe|toolbar|widget)(?:$|[\s_-])"
 )
 BODIES = frozenset(("article", "main", "body", "html"))
-WHOLE = 0.9  # share of the content that the chosen element must hold
+WHOLE, HALF = 0.9, 0.5  # shares of the content, and of all text that is no furniture, that the chosen element must hold
 
 
 class Lines(HTMLParser):
@@ -150,15 +150,17 @@ def main_text(html: str) -> str:
     ratio = smooth(size / np.array([n for _, n, _ in lines], float))
     content = ratio >= ratio.mean() - 0.5 * ratio.std()
     total = size[content].sum()
-    weight = [0.0] * len(parser.parent)
-    for k in np.flatnonzero(content):
-        weight[lines[k][2]] += size[k]
+    weight, every = [0.0] * len(parser.parent), [0.0] * len(parser.parent)
+    for k, (_, _, e) in enumerate(lines):
+        every[e] += size[k]
+        weight[e] += size[k] * content[k]
     for e in range(len(weight) - 1, 0, -1):
         weight[parser.parent[e]] += weight[e]
+        every[parser.parent[e]] += every[e]
     chosen = {e for e, name in enumerate(parser.name) if name == "article" and weight[e]}
     outer = {e for e in chosen if not any(p in chosen for p in ancestors(parser.parent, e))}
     if sum(weight[e] for e in outer) < 0.5 * total:
-        chosen = {max(e for e, w in enumerate(weight) if w >= WHOLE * total)}  # numbers grow inwards
+        chosen = {max(e for e, w in enumerate(weight) if w >= WHOLE * total and every[e] >= HALF * every[0])}  # numbers grow inwards
     inside = [False] * len(weight)
     for e in range(len(weight)):
         inside[e] = e in chosen or e > 0 and inside[parser.parent[e]]

@@ -163,12 +163,12 @@ def score_texts(batch: list[str], names: list[str], prior: np.ndarray, logs: np.
     )
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score``, from the text alone, to the columns ``carry`` (all by default).
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_column: str = "text", carry: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the columns ``out`` (language and posterior), from the text alone, to the columns ``carry`` (all by default).
 
-    One pass over the scan; the model is broadcast (see ``fit`` for its bound).
+    A column that has one of those names already is replaced. One pass over the scan; the model is broadcast (see ``fit`` for its bound).
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in out]
     frame = docs.select(*carry, F.col(text_column).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,13 +179,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
             for lo, hi in slices(batch, [len(t) for t in words], CHUNK):
                 found, sure = score_texts(words[lo:hi], *model)
                 kept = batch.slice(lo, hi - lo).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*carry, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*carry, *out])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]]
-    return frame.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return frame.mapInArrow(run, ", ".join([*fields, f"`{out[0]}` string", f"`{out[1]}` double"]))
 
 
-def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", carry: list[str] | None = None) -> DataFrame:
-    """Fit on the training fold, predict every row; adds ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", carry: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Fit on the training fold, predict every row; adds the columns ``out``."""
     model = fit(docs.where(~held_out(id_column)), text_column, label_column)
-    return predict(docs, model, text_column, carry)
+    return predict(docs, model, text_column, carry, out)

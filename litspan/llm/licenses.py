@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 GRAM = 3
 DRIFT = 2
 COVER = 0.6
+NEAR = 8  # of spans that start at most so many words apart, such as variants of one notice, those of the best cover count
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Public license notices, by label.
@@ -118,9 +119,10 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     )
     cover = F.col("voted") / F.col("size")
     dense = F.col("voted") / (F.col("hi") - F.col("lo") + 1)
-    return merged.where((cover >= COVER) & (dense >= 0.5)).select(
-        F.col("id").alias(id_column), "row_key", "label", F.col("lo").cast("long").alias("first_word"), (F.col("hi") - F.col("lo") + GRAM).cast("long").alias("n_words"), cover.alias("cover")
-    )
+    fits = merged.where((cover >= COVER) & (dense >= 0.5)).withColumn("cover", cover)
+    near = Window.partitionBy("id", "row_key").orderBy("lo").rangeBetween(-NEAR, NEAR)
+    best = fits.withColumn("most", F.max("cover").over(near)).where(F.col("cover") >= F.col("most"))
+    return best.select(F.col("id").alias(id_column), "row_key", "label", F.col("lo").cast("long").alias("first_word"), (F.col("hi") - F.col("lo") + GRAM).cast("long").alias("n_words"), "cover")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -89,13 +89,13 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules: list[tuple[st
     decided = groups.withColumn("own", own).groupBy("component").agg(
         F.when(F.max((F.col("own") == "allow").cast("int")) == 1, "allow").when(F.max((F.col("own") == "block").cast("int")) == 1, "block").alias("decision")
     )
-    aliases = groups.join(decided, "component").where(F.col("decision").isNotNull()).select(F.col("node").alias("__node"), "decision")
+    aliases = groups.join(decided, "component").where(F.col("decision").isNotNull()).select(F.col("node").alias("__node"), F.col("decision").alias("__decision"))
     ruled = pages.withColumns({"host": host, "path": path}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("__of", node_of(url))
     if aliases.isEmpty():
-        told = ruled.withColumn("decision", F.lit(None).cast("string"))
+        told = ruled.withColumn("__decision", F.lit(None).cast("string"))
     else:
         told = ruled.join(aliases, F.col("__of") == F.col("__node"), "left").drop("__node")
-    return told.withColumn("verdict", F.coalesce(verdict_of(F.col("rule"), rules), F.col("decision"), F.lit(default))).drop("__of", "decision")
+    return told.withColumn("verdict", F.coalesce(verdict_of(F.col("rule"), rules), F.col("__decision"), F.lit(default))).drop("__of", "__decision")
 
 
 #: op2 in DuckDB. The recursion carries labels along the edges found in the markup.
