@@ -7,11 +7,9 @@ are not alike is split again, on ``BRANCHES`` more sampled tokens; small buckets
 whose members are alike on average, are brute-forced. As many runs are made as the recall of a pair
 at the threshold needs.
 
-Brute force within a bucket finds candidates without listing pairs. Members are compared with
-leaders: one that is at least as similar as the threshold to a leader follows it, any other becomes a
-leader, and whoever is similar by twice the distance is linked to a leader. By the triangle inequality
-of the Jaccard distance, a linked pair then always meets in one candidate component. Crowded
-buckets are dealt out in blocks whose leaders meet in a second pass.
+Brute force within a bucket compares sketches (a byte of each of ``SKETCH`` minima) of all its members,
+in blocks if it is crowded, each pair of blocks being a task. A pair is a candidate if its estimate is within ``SLACK`` standard
+deviations of the threshold; what leaves a task is a spanning forest of its candidates, no pairs.
 
 Candidate components get their whole sets back, and every pair in them is verified by the exact sizes of
 their intersections, in blocks; a task returns link counts and a spanning forest, no pairs. Equal
@@ -42,7 +40,8 @@ from litspan.llm.embeddings import spanning
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-COORDINATES = 48
+COORDINATES = 32  # minima kept whole, as tokens of paths
+SKETCH = 128  # minima of which a byte is kept
 BRANCHES = 2
 SMALL = 512  # sets of a bucket that is brute-forced without a look at its similarity
 DEPTH = 5  # splits of a path; what is still large then is brute-forced
@@ -84,22 +83,28 @@ def ngram_set(text: str, words: Words, n: int = WORDS) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _factors(count: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1 << 62, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+def _factors(count: int = SKETCH, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1 << 30, 1 << 31, count, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signature(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Minima of the hashed set, one for each factor, as unsigned 32-bit."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(grams), 4096):
-        np.minimum(least, (grams[k : k + 4096, None] * factors).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+def minima(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Minima of the set under one hash function for each factor, as unsigned 32-bit."""
+    short = (grams >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(short), 512):
+        part = short[k : k + 512]
+        for i in range(0, len(factors), 16):
+            np.minimum(least[i : i + 16], (factors[i : i + 16, None] * part).min(axis=1), out=least[i : i + 16])
+    # the smallest products lie close to 0; mixing spreads them over the bytes that are kept
+    least ^= least >> np.uint32(15)
+    least *= np.uint32(0x2C1B3C6D)
+    return least ^ (least >> np.uint32(12))
 
 
 def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = WORDS) -> DataFrame:
-    """Columns id, row_key (hash of the text), node (64 bits of the set's digest, null if empty), size, sketch."""
+    """Columns id, row_key (hash of the text), node (64 bits of the set's digest, null if empty), size, tokens, sketch."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("row_key"), F.col(text_column).alias("text"))
-    factors = _factors(COORDINATES)
+    factors = _factors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -108,120 +113,115 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             for lo, hi in slices(batch, [len(t) for t in whole], 1 << 20):
                 sets = [ngram_set(t, words, n) for t in whole[lo:hi]]
                 nodes = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-                marks = [signature(s, factors).tobytes() if len(s) else None for s in sets]
+                least = [minima(s, factors) if len(s) else None for s in sets]
+                tokens = [m[:COORDINATES].astype("<u4").tobytes() if m is not None else None for m in least]
+                marks = [m.astype(np.uint8).tobytes() if m is not None else None for m in least]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary())],
-                    names=["id", "row_key", "node", "size", "sketch"],
+                    [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(tokens, pa.binary()), pa.array(marks, pa.binary())],
+                    names=["id", "row_key", "node", "size", "tokens", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "id long, row_key long, node long, size long, sketch binary")
+    return rows.mapInArrow(run, "id long, row_key long, node long, size long, tokens binary, sketch binary")
 
 
-def _token(sketch: str, at: str) -> str:
+def _token(at: str) -> str:
     """SQL: the minimum at a coordinate (4 bytes, as hex digits)."""
-    return f"hex(substring({sketch}, 4 * ({at}) + 1, 4))"
+    return f"hex(substring(tokens, 4 * ({at}) + 1, 4))"
 
 
 def buckets(classes: DataFrame, runs: int) -> DataFrame:
     """Final buckets of all runs with two members or more: key, node, blocks (over 1 if crowded).
 
-    Only keys and nodes are dealt out; a signature travels where a large bucket is split.
+    Only keys and nodes are dealt out; tokens travel where a large bucket is split.
     """
-    starts = ", ".join(f"xxhash64({r}, {_token('sketch', str(r))})" for r in range(runs))
-    paths = checkpointed(classes.select(F.expr(f"explode(array({starts}))").alias("key"), "node"))
+    starts = ", ".join(f"xxhash64({r}, {_token(str(r))})" for r in range(runs))
+    paths = classes.select(F.expr(f"explode(array({starts}))").alias("key"), "node")
+    crowd = F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")
     done: DataFrame | None = None
     for depth in range(DEPTH + 1):
-        sized = paths.join(paths.groupBy("key").count().where("count > 1"), "key")
+        paths = checkpointed(paths)
+        sized = checkpointed(paths.join(paths.groupBy("key").count().where("count > 1"), "key"))
+        if depth == DEPTH:
+            return done.union(sized.select("key", "node", crowd))
         small = sized.where(F.col("count") <= SMALL).select("key", "node", F.lit(1).alias("blocks"))
         done = small if done is None else done.union(small)
         large = sized.where(F.col("count") > SMALL)
         if large.isEmpty():
-            break
-        members = checkpointed(large.join(classes.select("node", "sketch"), "node"))
-        crowd = F.ceil(F.col("count") / BLOCK).cast("int")
-        if depth == DEPTH:
-            done = done.union(members.select("key", "node", crowd.alias("blocks")))
-            break
+            return done
+        members = checkpointed(large.join(classes.select("node", "tokens"), "node"))
         # the mean similarity of a bucket: how often two members share one of four sampled tokens
-        probes = members.select("key", "count", F.expr(f"explode(transform(sequence(0, 3), j -> xxhash64(j, {_token('sketch', f'pmod(hash(key, j, -1), {COORDINATES})')})))").alias("token"))
+        probes = members.select("key", "count", F.expr(f"explode(transform(sequence(0, 3), j -> xxhash64(j, {_token(f'pmod(hash(key, j, -1), {COORDINATES})')})))").alias("token"))
         shares = probes.groupBy("key", "token").agg(F.count("*").alias("n"), F.first("count").alias("count"))
         alike = shares.groupBy("key").agg((F.sum(F.col("n") * F.col("n")) / F.first(4.0 * F.col("count") * F.col("count"))).alias("mean"))
-        judged = members.join(alike.where(F.col("mean") >= ALIKE).select("key"), "key", "left_semi").select("key", "node", crowd.alias("blocks"))
-        done = done.union(judged)
-        split = members.join(alike.where(F.col("mean") < ALIKE).select("key"), "key", "left_semi")
-        branch = f"explode(transform(sequence(1, {BRANCHES}), j -> xxhash64(key, j, {_token('sketch', f'pmod(hash(key, j), {COORDINATES})')})))"
-        paths = checkpointed(split.select(F.expr(branch).alias("key"), "node"))
+        alike = checkpointed(alike.select("key", (F.col("mean") >= ALIKE).alias("alike")))
+        done = done.union(members.join(alike.where("alike"), "key", "left_semi").select("key", "node", crowd))
+        split = members.join(alike.where("NOT alike"), "key", "left_semi")
+        branch = f"explode(transform(sequence(1, {BRANCHES}), j -> xxhash64(key, j, {_token(f'pmod(hash(key, j), {COORDINATES})')})))"
+        paths = split.select(F.expr(branch).alias("key"), "node")
     return done
 
 
-def follow(sketches: np.ndarray, near: float, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (member, leader) of one block, and the leaders, as row numbers.
+def in_pairs_of_blocks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Deal rows (key, node, ``blocks``) out to every task in which their block takes part: key, p, q, own, columns; sorted.
 
-    Rows are taken in turns; a turn's rows are compared with the leaders so far, then with each other.
+    A bucket of one block is one task; others have one for each pair of blocks p <= q.
     """
-    leaders = np.zeros(0, np.intp)
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    for lo in range(0, len(sketches), 256):
-        turn = np.arange(lo, min(lo + 256, len(sketches)))
-        led = np.zeros(len(turn), bool)
-        for k in range(0, len(leaders), 1024):
-            some = leaders[k : k + 1024]
-            same = (sketches[turn][:, None, :] == sketches[some][None, :, :]).mean(axis=2)
-            i, j = np.nonzero(same >= far)
-            a.append(turn[i])
-            b.append(some[j])
-            led |= (same >= near).any(axis=1)
-        rest = turn[~led]
-        if len(rest):
-            same = (sketches[rest][:, None, :] == sketches[turn][None, :, :]).mean(axis=2)
-            i, j = np.nonzero(same >= far)
-            a.append(turn[j])
-            b.append(rest[i])
-            leaders = np.concatenate([leaders, rest])
-    if not a:
-        return leaders, leaders, leaders
-    x, y = np.concatenate(a), np.concatenate(b)
-    return x[x != y], y[x != y], leaders
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tasks = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("p"), F.greatest(b, F.col("own")).alias("q")))
+    )
+    dealt = rows.withColumn("own", own).select(key, F.explode(tasks).alias("task"), "own", *columns)
+    dealt = dealt.select(key, F.col("task.p").alias("p"), F.col("task.q").alias("q"), "own", *columns)
+    return dealt.repartition(shuffle_width(rows), key, "p", "q").sortWithinPartitions(key, "p", "q", "own", "node")
+
+
+def forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each node the smallest one it is linked to through pairs of row numbers."""
+    order = np.argsort(np.argsort(nodes))
+    return np.sort(nodes)[spanning(len(nodes), order[i], order[j])[order]]
+
+
+def alike_pairs(left: np.ndarray, right: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of sketches that agree in ``least`` bytes or more; without a right side those with i < j."""
+    found_i, found_j = [], []
+    other = left if right is None else right
+    for lo in range(0, len(left), 64):
+        for at in range(lo if right is None else 0, len(other), 1024):
+            same = (left[lo : lo + 64, None, :] == other[None, at : at + 1024, :]).sum(axis=2, dtype=np.uint8)
+            i, j = np.nonzero(same >= least)
+            i, j = i + lo, j + at
+            kept = i < j if right is None else slice(None)
+            found_i.append(i[kept])
+            found_j.append(j[kept])
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def candidates(paths: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate links (a, b: nodes) of all buckets."""
-    slack = SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    distance = 1 - threshold
-    near, far, met = threshold, 1 - 2 * distance - slack, 1 - 3 * distance - slack
-    schema = "key long, a long, b long"
-
-    def linker(near: float, far: float):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group in sorted_groups(batches, ["key", "block"]):
-                if group.num_rows < 2 and group.column("blocks")[0].as_py() == 1:
+    """Candidate links (a, b: nodes) that span the candidates of each bucket."""
+    least = math.floor(SKETCH * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["key", "p", "q"]):
+            if group.num_rows < 2:
+                continue
+            nodes = group.column("node").to_numpy()
+            sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
+            if group.column("p")[0].as_py() == group.column("q")[0].as_py():
+                i, j = alike_pairs(sketches, None, least)
+            else:
+                cut = int((group.column("own").to_numpy() == group.column("p")[0].as_py()).sum())
+                if cut in (0, len(nodes)):
                     continue
-                nodes = group.column("node").to_numpy()
-                sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(len(nodes), -1)
-                x, y, leaders = follow(sketches, near, far)
-                if group.column("blocks")[0].as_py() > 1:  # leaders meet those of the other blocks
-                    x, y = np.concatenate([x, leaders]), np.concatenate([y, leaders])
-                    keys = np.concatenate([np.zeros(len(x) - len(leaders), np.int64), np.full(len(leaders), group.column("key")[0].as_py())])
-                else:
-                    keys = np.zeros(len(x), np.int64)
-                pairs = np.unique(np.stack([keys, nodes[x], nodes[y]], axis=1), axis=0) if len(x) else np.zeros((0, 3), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=["key", "a", "b"])
-
-        return run
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-        full = rows.join(classes.select("node", "sketch"), "node").select("key", block, "blocks", "node", "sketch")
-        return full.repartition(shuffle_width(rows), "key", "block").sortWithinPartitions("key", "block", "node")
-
-    found = checkpointed(dealt(paths).mapInArrow(linker(near, far), schema))
-    leaders = found.where("a = b").select("key", F.col("a").alias("node"), F.lit(1).alias("blocks")).distinct()
-    links = found.where("a <> b").select("a", "b")
-    if not leaders.isEmpty():
-        links = links.union(dealt(leaders).mapInArrow(linker(near, met), schema).select("a", "b"))
-    return links.distinct()
+                i, j = alike_pairs(sketches[:cut], sketches[cut:], least)
+                j = j + cut
+            if len(i):
+                roots = forest(nodes, i, j)
+                on = np.flatnonzero(roots != nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(roots[on])], names=["a", "b"])
+
+    full = paths.join(classes.select("node", "sketch"), "node")
+    return in_pairs_of_blocks(full, "key", ["node", "sketch"]).mapInArrow(link, "a long, b long")
 
 
 def intersections(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
@@ -267,7 +267,6 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, n: int = WOR
     ``members`` has component, node, id, row_key, copies, size. Every pair of a component is
     compared, in blocks of components that are large; the texts of candidates are shuffled once.
     """
-    width = shuffle_width(docs)
     sizes = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("grams") * 8 / BLOCK_BYTES)).cast("int")
     wanted = members.join(sizes.select("component", blocks.alias("blocks")), "component").select("component", "blocks", "node", "id", "row_key", "copies")
@@ -283,13 +282,7 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, n: int = WOR
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:4], pa.array(found, pa.binary())], names=["component", "blocks", "node", "copies", "grams"])
 
     grams = whole.mapInArrow(sets, "component long, blocks int, node long, copies long, grams binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tasks = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("p"), F.greatest(b, F.col("own")).alias("q")))
-    )
-    dealt = grams.withColumn("own", own).select("component", F.explode(tasks).alias("task"), "own", "node", "copies", "grams")
-    dealt = dealt.select("component", F.col("task.p").alias("p"), F.col("task.q").alias("q"), "own", "node", "copies", "grams")
-    dealt = dealt.repartition(width, "component", "p", "q").sortWithinPartitions("component", "p", "q", "own", "node")
+    dealt = in_pairs_of_blocks(grams, "component", ["node", "copies", "grams"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["component", "p", "q"]):
@@ -314,8 +307,7 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, n: int = WOR
                 continue
             j = j if cut is None else j + cut
             links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
-            order = np.argsort(np.argsort(nodes))
-            parent = np.sort(nodes)[spanning(len(nodes), order[i], order[j])[order]]
+            parent = forest(nodes, i, j)
             on = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(links[on].astype(np.int64)), pa.array(parent[on])], names=["node", "links", "parent"])
 
@@ -328,11 +320,11 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = checkpointed(signatures(docs, id_column, text_column, n))
     full = rows.where(F.col("node").isNotNull())
     named = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_key"))).alias("name")
-    classes = full.groupBy("node").agg(named, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    classes = checkpointed(classes.select("node", "name.id", "name.row_key", "copies", "size", "sketch"))
+    classes = full.groupBy("node").agg(named, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    classes = checkpointed(classes.select("node", "name.id", "name.row_key", "copies", "size", "tokens", "sketch"))
     pairs = candidates(buckets(classes, plan_runs(threshold, recall)), classes, threshold)
     loose = connected_components(pairs)
-    members = classes.drop("sketch").join(loose, "node")
+    members = classes.drop("tokens", "sketch").join(loose, "node")
     found = checkpointed(verified(docs, members, threshold, n, id_column, text_column))
     links = found.groupBy("node").agg(F.sum("links").alias("more"))
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
