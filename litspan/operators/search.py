@@ -127,3 +127,22 @@ def chunk_plan(start: int, needed: int, chunk: int = 200, most: int = 5000, tota
     """Offsets and sizes with which a session loads up to ``needed`` rows."""
     end = min(needed, most, total if total is not None else most)
     return [(at, min(chunk, most - at, (total if total is not None else most) - at)) for at in range(start, end, chunk)]
+
+
+def search(papers: DataFrame, r: Request) -> tuple[DataFrame, DataFrame]:
+    """A page of the papers (title, abstract, authors, published, updated, categories as one code) that fit a request, and their total.
+
+    Sorted by the request's order; equal ones by id. The page is a top-k with an offset, the total one aggregate over the same pushed filter.
+    """
+    r = r.check()
+    found = papers.where(predicate(r, F.col("title"), F.col("abstract"), F.col("authors"), F.col("published"), F.col("category")))
+    by = {"relevance": relevance(r.topic, F.col("title"), F.col("abstract")) if r.topic.strip() else F.lit(0), "submittedDate": F.col("published"), "lastUpdatedDate": F.col("updated")}[r.sort_by]
+    ordered = found.withColumn("__by", by)
+    first = F.desc("__by") if r.sort_order == "descending" else F.asc("__by")
+    return page(ordered, [first, F.asc("paper_id")], r.start, min(r.max_results, PAGE_MOST)).drop("__by"), found.agg(F.count("*").alias("total"))
+
+
+def session_meta(loaded: DataFrame, session: str, size: int = 10) -> DataFrame:
+    """What accompanies each reply: rows loaded, pages shown in full, whether there is more than one page."""
+    n = F.count("*")
+    return loaded.groupBy(session).agg(n.alias("loaded"), F.floor(n / size).cast("long").alias("full_pages"), (n > size).alias("has_more"))

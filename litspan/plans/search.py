@@ -149,3 +149,29 @@ def feed_normalize(spark, sf_dir):
     entries = rows.select("id", "title", F.lit(" s\nt ").alias("summary"), F.lit("2020-01-02T00:00:00Z").alias("published"), F.lit("").alias("updated"), F.col("id").alias("link"),
         F.array(F.struct(F.lit("Ann ").alias("name"), )).alias("authors"), F.array(F.struct("type", "href")).alias("links"), F.array(F.struct(F.lit("cs.CL").alias("term")), F.struct(F.lit("cs.CL").alias("term"))).alias("tags"))
     return papers(entries).select("id", "title", "paper_id", F.col("pdf_url").alias("pdf"))
+
+
+@query("""SELECT position, o_orderkey, total FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS position, count(*) OVER () AS total FROM orders
+    WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND year(o_orderdate) BETWEEN 1996 AND 1999 AND contains(lower(o_orderstatus), 'f')) WHERE position BETWEEN 41 AND 65""")
+def search_request(spark, sf_dir):
+    """A request's page by date, and its total."""
+    orders = table(spark, sf_dir, "orders")
+    papers = orders.select(F.col("o_orderkey").alias("paper_id"), F.lit("").alias("title"), F.lit("").alias("abstract"), F.col("o_orderstatus").alias("authors"), F.col("o_orderdate").alias("published"), F.col("o_orderdate").alias("updated"), F.col("o_orderpriority").alias("category"))
+    r = S.Request(author="F", from_year=1996, to_year=1999, categories=("1-URGENT", "3-MEDIUM"), start=40, max_results=25, sort_by="submittedDate")
+    found, total = S.search(papers, r)
+    return found.crossJoin(total).select(F.col("position").cast("long").alias("position"), F.col("paper_id").alias("o_orderkey"), "total")
+
+
+@query("SELECT * FROM (VALUES ('1', 'http://a/1.pdf'), ('2', 'http://b/2'), ('3', 'https://catalogue.example/pdf/3.pdf'), ('', '')) t(paper_id, resolved_pdf_url)")
+def pdf_url_resolve(spark, sf_dir):
+    """Where a paper's PDF is."""
+    from litspan.sources.feed import pdf_url
+
+    rows = literal(spark, "paper_id, pdf_url, pdf, pdfLink", "('1', 'http://a/1.pdf', 'x', ''), ('2', '', NULL, ' http://b/2 '), ('3', NULL, '', ''), ('', NULL, '', '')")
+    return pdf_url(rows).select("paper_id", "resolved_pdf_url")
+
+
+@query("SELECT o_custkey, count(*) AS loaded, CAST(count(*) // 10 AS BIGINT) AS full_pages, count(*) > 10 AS has_more FROM orders GROUP BY o_custkey")
+def session_meta(spark, sf_dir):
+    """Counters of a session."""
+    return S.session_meta(table(spark, sf_dir, "orders"), "o_custkey")

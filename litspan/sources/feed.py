@@ -27,3 +27,10 @@ def papers(entries: DataFrame, source: str = "catalogue") -> DataFrame:
         "id", T.entry_id(F.col("id")).alias("paper_id"), line("title").alias("title"), line("summary").alias("abstract"), names.alias("authors"), terms.alias("categories"),
         T.text("published").alias("published_date"), T.text("updated").alias("updated_date"), pdf_link(F.col("links"), F.col("id"), F.col("link")).alias("pdf_url"), T.text("id").alias("abs_url"), F.lit(source).alias("source"),
     )
+
+
+def pdf_url(paper: DataFrame, names: tuple[str, ...] = ("pdf_url", "pdf", "pdfLink", "pdf_link"), key: str = "paper_id", template: str = "https://catalogue.example/pdf/{}.pdf") -> DataFrame:
+    """Add ``resolved_pdf_url``: the first of the columns that isn't empty, else the template with the paper's id, else empty."""
+    head, tail = template.split("{}")
+    own = F.when(T.text(key) != "", F.concat(F.lit(head), F.col(key), F.lit(tail)))
+    return paper.withColumn("resolved_pdf_url", T.first_true(*[T.strip(F.col(c)) for c in names if c in paper.columns], F.coalesce(own, F.lit(""))))
