@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, ngrams, packing, pii, urls
 from litspan.llm.common import read_table
+from litspan.llm.oracles import ORACLES
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def query(f):
@@ -78,7 +79,6 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-ORACLES["op2_url_filter"] = urls.ORACLE
 
 
 @query
