@@ -76,16 +76,23 @@ def route(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"handler": handler, "mode": mode})
 
 
+def _grams(t: Column) -> Column:
+    """The distinct substrings of one, two and three characters."""
+    cut = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(cut(1), cut(2), cut(3)))
+
+
 def title_matches(requests: DataFrame, papers: DataFrame, request: str = "request_id", query: str = "query", paper: str = "paper_id", title: str = "title") -> DataFrame:
     """Exact matches of each request (the first paper), else all titles that contain it: request, paper, ``match``.
 
-    Requests are few and their titles short; papers are scanned once against a nested loop over them, and only matches go on.
+    A title that contains a request contains its first three characters, so titles meet requests in an equal join on short substrings, whatever the number of either.
     """
     r = requests.select(request, T.title_key(F.col(query)).alias("__q")).where(F.col("__q") != "")
     p = papers.select(paper, T.title_key(F.col(title)).alias("__t")).where(F.col("__t") != "")
     exact = r.join(p, F.col("__q") == F.col("__t")).groupBy(request).agg(F.min(paper).alias(paper)).withColumn("match", F.lit("exact"))
-    rest = r.join(exact.select(request), request, "left_anti")
-    within = rest.join(p, F.contains(F.col("__t"), F.col("__q"))).select(request, paper, F.lit("substring").alias("match"))
+    rest = r.join(exact.select(request), request, "left_anti").withColumn("__g", F.substring("__q", 1, 3))
+    cut = p.withColumn("__g", F.explode(_grams(F.col("__t"))))
+    within = rest.join(cut, "__g").where(F.contains(F.col("__t"), F.col("__q"))).select(request, paper, F.lit("substring").alias("match"))
     return exact.unionByName(within)
 
 
@@ -96,16 +103,15 @@ def fuzzy_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([difflib.SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def fuzzy_bound(a: Column, b: Column) -> Column:
-    """What the ratio can't exceed, by lengths alone: pairs below a threshold never reach Python."""
-    return 2 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0))
-
-
 def fuzzy_titles(requests: DataFrame, papers: DataFrame, most: int = 10, request: str = "request_id", query: str = "query", paper: str = "paper_id", title: str = "title") -> DataFrame:
     """The likeliest titles of requests: a best one that is accepted stands alone, else at most ``most`` suggestions: request, paper, ``ratio``, ``accepted``."""
     r = requests.select(request, T.title_key(F.col(query)).alias("__q")).where(F.col("__q") != "")
     p = papers.select(paper, T.title_key(F.col(title)).alias("__t")).where(F.col("__t") != "")
-    near = r.join(p, fuzzy_bound(F.col("__q"), F.col("__t")) >= SUGGEST).withColumn("ratio", fuzzy_ratio("__q", "__t")).where(F.col("ratio") >= SUGGEST)
+    # the ratio can't exceed 2 min / (a + b) of the lengths: titles of other lengths never reach Python
+    size = F.length("__q")
+    low, high = F.ceil(size * (SUGGEST / (2 - SUGGEST)) - 1e-9).cast("int"), F.floor(size * ((2 - SUGGEST) / SUGGEST) + 1e-9).cast("int")
+    asked = r.withColumn("__n", F.explode(F.sequence(F.greatest(F.lit(1), low), high)))
+    near = asked.join(p.withColumn("__n", F.length("__t")), "__n").withColumn("ratio", fuzzy_ratio("__q", "__t")).where(F.col("ratio") >= SUGGEST)
     best = Window.partitionBy(request).orderBy(F.desc("ratio"), paper)
     ranked = near.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= most)
     top = F.max("ratio").over(Window.partitionBy(request))
