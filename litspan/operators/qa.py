@@ -97,23 +97,19 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, headings: DataFrame, p
     """
     told = section_filter(questions.withColumn("label", question_label(F.col("question"))), headings, paper)
     told = told.withColumn("section", F.when(F.col("label") != "references", F.col("section")))
-    by_section = told.where("section IS NOT NULL").join(chunks, paper).where(F.contains(F.lower(T.text("section_heading")), F.lower("section")))
-    hits = by_section.select("question_id", "chunk_index", "text", F.lit("section").alias("mode"), F.lit(1.0).alias("score"))
-    for label in ("specific", "structural", "references"):
-        k, _ = R.MODES[label]
-        asked = told.where(F.col("section").isNull() & (F.col("label") == label)).select("question_id", paper, "vector")
-        near = R.top_k_batch(asked, chunks, k, [paper])
-        found = near.select("question_id", "chunk_index", "text", F.lit(label).alias("mode"), "score")
-        if label == "references":
-            last = asked.select("question_id", paper).join(R.tail(chunks, paper), paper).select("question_id", "chunk_index", "text", F.lit(label).alias("mode"), "score")
-            found = R.merge_tail(found, last, ["question_id", "chunk_index"])
-        hits = hits.unionByName(found)
-    packed = None
-    for mode, (_, budget) in R.MODES.items():
-        order = [F.desc("score"), F.asc("chunk_index")] if mode == "specific" else [F.asc("chunk_index")]
-        part = R.pack_context(hits.where(F.col("mode") == mode), "question_id", order, "text", budget)
-        packed = part if packed is None else packed.unionByName(part)
+    mode = F.when(F.col("section").isNotNull(), "section").when(F.col("label") == "outline", "structural").otherwise(F.col("label"))
+    told = told.withColumn("mode", mode)
+    most = {m: k for m, (k, _) in R.MODES.items() if k}
+    pick = lambda values: F.coalesce(*[F.when(F.col("mode") == m, F.lit(v)) for m, v in values.items()])
+    columns = ["question_id", "mode", "chunk_index", "text", "score"]
+    by_section = told.where("mode = 'section'").join(chunks, paper).where(F.contains(F.lower(T.text("section_heading")), F.lower("section")))
+    asked = told.where("mode <> 'section'").select("question_id", paper, "mode", "vector")
+    near = R.top_k_batch(asked, chunks, max(most.values()), [paper]).where(F.col("rank") <= pick(most)).select(*columns)
+    last = asked.where("mode = 'references'").select("question_id", paper, "mode").join(R.tail(chunks, paper), paper).select(*columns)
+    hits = by_section.withColumn("score", F.lit(1.0)).select(*columns).unionByName(R.merge_tail(near, last, ["question_id", "chunk_index"]))
+    # specific questions take hits by score, the others in the order of the document
     rank = F.when(F.col("mode") == "specific", -F.col("score")).otherwise(F.col("chunk_index").cast("double"))
+    packed = R.pack_context(hits, "question_id", [rank, F.col("chunk_index")], "text", pick({m: b for m, (_, b) in R.MODES.items()}))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col("chunk_index").alias("i"), F.col("packed").alias("p")))), lambda x: x["p"])
-    grouped = packed.groupBy("question_id").agg(F.first("mode").alias("mode"), parts.alias("excerpts"))
+    grouped = packed.groupBy("question_id").agg(parts.alias("excerpts"))
     return told.drop("vector").join(grouped, "question_id", "left").withColumn("answer", F.array_join(F.slice("excerpts", 1, 3), "\n\n---\n\n"))

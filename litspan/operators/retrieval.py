@@ -75,13 +75,13 @@ def section_scan(chunks: DataFrame, fragment: str, heading: str = "section_headi
     return chunks.where(section_like(F.col(heading), fragment))
 
 
-def pack_context(hits: DataFrame, group: str, order: list[Column], body: str, budget: int, least: int = LEAST_PART) -> DataFrame:
+def pack_context(hits: DataFrame, group: str, order: list[Column], body: str, budget: int | Column, least: int = LEAST_PART) -> DataFrame:
     """Hits of each group while they fit the budget of characters; the first that overflows gives its beginning if enough room is left.
 
     Adds ``packed`` (the text that goes in). A hit that isn't empty takes a character at least, so only the first
     ``budget`` of those can matter: the ranks are cut to them ahead of the running sum.
     """
-    size = F.length(T.text(body))
+    size, budget = F.length(T.text(body)), F.lit(budget) if isinstance(budget, int) else budget
     first = Window.partitionBy(group).orderBy(*order)
     near = hits.where(size > 0).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= budget + 1).drop("__r")
     total = F.sum(size).over(first.rowsBetween(Window.unboundedPreceding, 0))
@@ -95,3 +95,15 @@ def pack_context(hits: DataFrame, group: str, order: list[Column], body: str, bu
 def prompt(title: Column, parts: Column, question: Column) -> Column:
     """Title, excerpts and question as one text."""
     return F.concat_ws("\n\n", F.when(T.text(title) != "", F.concat(F.lit("Paper: "), title)), F.concat(F.lit("Excerpts:\n\n"), F.array_join(parts, "\n\n---\n\n")), F.concat(F.lit("Question: "), question))
+
+
+def hit_order(hits: DataFrame, mode: str, tail_first: bool = False) -> list[Column]:
+    """The order in which a mode's hits are packed: by score for specific questions, else as in the document.
+
+    With ``tail_first`` references take tail chunks (score 0) before the others by score, an order that document order otherwise overrides.
+    """
+    if mode == "specific":
+        return [F.desc("score"), F.asc("chunk_index")]
+    if mode == "references" and tail_first:
+        return [F.asc((F.col("score") != 0).cast("int")), F.desc("score"), F.asc("chunk_index")]
+    return [F.asc("chunk_index")]

@@ -75,3 +75,9 @@ def confirmations(turns: DataFrame, session: str, turn: str, kind: str, asks: st
         return bool(asks), (result,)
 
     return fold(turns, [session], [turn], [kind, asks], lambda: False, step, "resolved string")
+
+
+def upstream_status(error: Column) -> Column:
+    """The status that an upstream failure (timeout, http, connect or anything else) is answered with; null without one."""
+    kind = F.lower(F.coalesce(error, F.lit("")))
+    return F.when(kind == "", None).when(F.contains(kind, F.lit("timeout")), 504).when(F.contains(kind, F.lit("http")) | F.contains(kind, F.lit("connect")), 502).otherwise(500)

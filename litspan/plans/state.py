@@ -60,3 +60,10 @@ def session_get_or_create(spark, sf_dir):
     """ST7: the state of each session after its log."""
     rows = _events(spark, sf_dir)
     return rows.groupBy("user_id").agg(F.count("*").alias("turns"), F.max_by("event_type", F.struct("seconds", "event_id")).alias("last_action"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 504 WHEN 'click' THEN 502 WHEN 'view' THEN 500 END AS status FROM events")
+def upstream_errors(spark, sf_dir):
+    """How failures of the upstream are answered."""
+    kinds = F.when(F.col("event_type") == "error", "ReadTimeout").when(F.col("event_type") == "click", "HTTPStatusError").when(F.col("event_type") == "view", "ValueError")
+    return table(spark, sf_dir, "events").select("event_id", S.upstream_status(kinds).alias("status"))

@@ -101,3 +101,22 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "paper int, pos int, n int")
     assert references.longest_run(none, "paper").count() == 0
     assert state.token_bucket(spark.createDataFrame([], "key string, i int, s double"), "key", "s", "i").count() == 0
+
+
+def test_settings_and_disabled_models(spark):
+    from litspan.functions.providers import DisabledChat, HashingEmbedder
+    from litspan.settings import Settings
+
+    spark.conf.set("litspan.page_size", "25")
+    assert Settings.of(spark).page_size == 25 and Settings.of(spark).rate == 2.0
+    spark.conf.unset("litspan.page_size")
+    chat = DisabledChat()
+    assert (chat.classify("x"), chat.intent("x")["action"], chat.answer("x")) == ("specific", "chat", None)
+    vectors = HashingEmbedder(8).embed(["a b", "", None, "a b"])
+    assert (vectors[0] == vectors[3]).all() and vectors[1][0] == 1
+
+
+def test_reference_hits_tail_first(spark):
+    hits = spark.createDataFrame([(1, 0.4), (9, 0.0), (3, 0.9)], "chunk_index int, score double")
+    order = lambda **k: [r.chunk_index for r in hits.orderBy(*retrieval.hit_order(hits, "references", **k)).collect()]
+    assert order() == [1, 3, 9] and order(tail_first=True) == [9, 3, 1]
