@@ -91,7 +91,7 @@ def title_matches(requests: DataFrame, papers: DataFrame, request: str = "reques
     p = papers.select(paper, T.title_key(F.col(title)).alias("__t")).where(F.col("__t") != "")
     exact = r.join(p, F.col("__q") == F.col("__t")).groupBy(request).agg(F.min(paper).alias(paper)).withColumn("match", F.lit("exact"))
     rest = r.join(exact.select(request), request, "left_anti").withColumn("__g", F.substring("__q", 1, 3))
-    cut = p.withColumn("__g", F.explode(_grams(F.col("__t"))))
+    cut = p.withColumn("__g", F.explode_outer(_grams(F.col("__t"))))
     within = rest.join(cut, "__g").where(F.contains(F.col("__t"), F.col("__q"))).select(request, paper, F.lit("substring").alias("match"))
     return exact.unionByName(within)
 

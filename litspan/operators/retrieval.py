@@ -78,14 +78,12 @@ def section_scan(chunks: DataFrame, fragment: str, heading: str = "section_headi
 def pack_context(hits: DataFrame, group: str, order: list[Column], body: str, budget: int | Column, least: int = LEAST_PART) -> DataFrame:
     """Hits of each group while they fit the budget of characters; the first that overflows gives its beginning if enough room is left.
 
-    Adds ``packed`` (the text that goes in). A hit that isn't empty takes a character at least, so only the first
-    ``budget`` of those can matter: the ranks are cut to them ahead of the running sum.
+    Adds ``packed`` (the text that goes in). One exchange by group and one running sum.
     """
     size, budget = F.length(T.text(body)), F.lit(budget) if isinstance(budget, int) else budget
     first = Window.partitionBy(group).orderBy(*order)
-    near = hits.where(size > 0).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= budget + 1).drop("__r")
     total = F.sum(size).over(first.rowsBetween(Window.unboundedPreceding, 0))
-    summed = near.withColumn("__sum", total).withColumn("__before", F.col("__sum") - size)
+    summed = hits.where(size > 0).withColumn("__sum", total).withColumn("__before", F.col("__sum") - size)
     fits = F.col("__sum") <= budget
     partly = (F.col("__before") <= budget) & (budget - F.col("__before") > least)
     packed = F.when(fits, F.col(body)).otherwise(F.substring(F.col(body), F.lit(1), (budget - F.col("__before")).cast("int")))
