@@ -39,6 +39,8 @@ MARKS = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notices?|popup|promo|promotion|recommended|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsored?|subscribe|toolbar|widget)(?:$|[\s_-])"
 )
+#: Names that only tell what an element has or lacks beside it.
+ASIDE = re.compile(r"(?i)\b(?:no|has|with|without)[-_][\w-]+")
 BODIES = frozenset(("article", "main", "body", "html"))
 WHOLE, HALF = 0.9, 0.5  # shares of the content, and of all text that is no furniture, that the chosen element must hold
 
@@ -78,7 +80,7 @@ class Lines(HTMLParser):
             self.parts.append("\n")
         if tag in EMPTY:
             return
-        marked = tag not in BODIES and any(k in ("class", "id", "role") and v and MARKS.search(v) for k, v in attrs)
+        marked = tag not in BODIES and any(k in ("class", "id", "role") and v and MARKS.search(v) and MARKS.search(ASIDE.sub(" ", v)) for k, v in attrs)
         out = tag in SILENT or tag in FURNITURE or marked
         number = self.inner()
         if block:

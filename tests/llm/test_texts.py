@@ -214,7 +214,7 @@ WANT = "The Title\nFirst & bold text is long enough to be taken as content by it
 
 
 def test_main_text(spark):
-    pages = {1: (PAGE, WANT), 2: (PAGE.replace("article", "div"), WANT), 3: (None, ""), 4: ("", ""), 5: ("<nav>only</nav>", ""), 6: ("plain words", "plain words"), 7: ("<p>a<p>b", "a\nb"), 8: ("<div>" * 20_000 + "deep" + "</div>" * 9, "deep"), 9: ("<p>cut <b", "cut")}
+    pages = {1: (PAGE, WANT), 2: (PAGE.replace("article", "div"), WANT), 3: (None, ""), 4: ("", ""), 5: ("<nav>only</nav>", ""), 6: ("plain words", "plain words"), 7: ("<p>a<p>b", "a\nb"), 8: ("<div>" * 20_000 + "deep" + "</div>" * 9, "deep"), 9: ("<p>cut <b", "cut"), 10: ("<div class='content no-sidebar'><p>kept</p><p class=share-bar>gone</p></div>", "kept")}
     df = spark.createDataFrame([(i, h, "clash") for i, (h, _) in pages.items()], "page_id long, html string, text string")
     got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
     assert {i: got[i] for i in pages if i != 9} == {i: w for i, (_, w) in pages.items() if i != 9} and got[9].startswith("cut")
