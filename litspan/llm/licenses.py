@@ -57,10 +57,9 @@ def _blanks(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """The words of a text, one blank between and around them; a lone blank if it has none."""
+    """The words of a text, one blank between and around them; two blanks if it has none."""
     lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    inner = F.btrim(F.regexp_replace(lower, _GAP, " "))
-    return F.when(inner == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower, _GAP, " ")), F.lit(" "))
 
 
 def template_grams(spark, templates: dict[str, str] = TEMPLATES, gram: int = GRAM) -> DataFrame:
@@ -101,10 +100,11 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     The grams meet the templates in the map stage; only votes are shuffled.
     """
-    line = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key"), normalised(F.col(text_column)).alias("line"))
-    words = line.where(F.col("line") != " ").select("id", "row_key", F.split(F.btrim("line"), " ").alias("w"))
-    hashes = f"transform(sequence(0, size(w) - {GRAM}), i -> xxhash64({', '.join(f'w[i + {k}]' for k in range(GRAM))}))"
-    grams = words.where(F.size("w") >= GRAM).select("id", "row_key", F.posexplode(F.expr(hashes)).alias("pos", "hash"))
+    # no filter on the words: it would be pushed below and find them once more
+    words = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key"), F.split(F.btrim(normalised(F.col(text_column))), " ").alias("w"))
+    hashes = f"CASE WHEN size(w) >= {GRAM} THEN transform(sequence(0, size(w) - {GRAM}), i -> xxhash64({', '.join(f'w[i + {k}]' for k in range(GRAM))})) END"
+    # an outer explode: for an inner one the optimizer adds a filter that hashes everything a second time
+    grams = words.select("id", "row_key", F.posexplode_outer(F.expr(hashes)).alias("pos", "hash"))
     votes = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), "hash")
     key = ["id", "row_key", "label"]
     diagonals = votes.groupBy(*key, (F.col("pos") - F.col("place")).alias("diagonal")).agg(
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ``score`` is 1 with a base phrase, else the best cover of a verified span, else 0.
     """
     lines = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key"), normalised(F.col(text_column)).alias("line"))
-    counted = lines.withColumn("n", F.when(F.col("line") == " ", 0).otherwise(_blanks(F.col("line")) - 1))
+    counted = lines.withColumn("n", F.when(F.col("line") == "  ", 0).otherwise(_blanks(F.col("line")) - 1))
     based = counted.select("id", "row_key", F.col("n").cast("long").alias("n_words"), *base_places("line", "n"))
     found = spans(docs, id_column, text_column, templates).groupBy(F.col(id_column).alias("other"), F.col("row_key").alias("other_key")).agg(
         F.collect_set("label").alias("more"), F.max("cover").alias("cover")
