@@ -16,7 +16,21 @@ BLANK_POINTS = (
     0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 BLANK = "".join(map(chr, BLANK_POINTS))
-SPACES = "[" + "".join(f"\\x{{{p:x}}}" for p in BLANK_POINTS) + "]+"
+
+
+def _ranges(points: tuple[int, ...]) -> str:
+    """Sorted code points as ranges of a character class: few comparisons for each character."""
+    out: list[list[int]] = []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+SPACES = f"[{_ranges(BLANK_POINTS)}]+"
+
 
 #: Ligatures and what they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ"}
