@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
 
-A paragraph is a line, its sentences end with a full stop and a blank; a sentence of more than
-``LONG`` code points, and every one of a text not longer than ``SHORT``, is cut further, after words
-whose checksum is a multiple of ``WORDS``. A section is a run of
+A paragraph is a line, its sentences end with a full stop and a blank; every sentence is cut further,
+after words whose checksum is a multiple of ``WORDS``. No length decides how a text is cut, so near
+copies share their leaves whatever their lengths. A section is a run of
 paragraphs that ends with one whose hash is a multiple of ``SECTION`` (so an edit moves the borders
 near it only). Every node's hash covers its children's; the root tells whether two texts are
 equal, and where roots differ the branches that differ locate the edits.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from litspan.llm.common import shuffle_width
 
 SECTION = 8
-WORDS, LONG, SHORT = 4, 96, 256
+WORDS = 4
 ROOT = 32  # hex digits of the root
 _LOWEST = -(1 << 63)
 
@@ -55,12 +55,11 @@ def _parts(sentence: str) -> list[str]:
 
 def fingerprint(text: str) -> str:
     """The serialised tree of a text."""
-    most = LONG if len(text) > SHORT else 0
     sections: list[list[str]] = [[]]
     nodes: list[bytes] = []
     inner: list[bytes] = []
     for paragraph in text.split("\n"):
-        sentences = [[_digest(p.encode()) for p in (_parts(s) if len(s) > most else (s,))] for s in paragraph.split(". ")]
+        sentences = [[_digest(p.encode()) for p in _parts(s)] for s in paragraph.split(". ")]
         leaves = [x for s in sentences for x in s]
         node = _digest(b".".join([b"".join(s) for s in sentences]))
         inner.append(node)

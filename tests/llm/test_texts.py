@@ -150,6 +150,16 @@ def test_edits_are_located():
     assert fingerprints.differing_paragraphs(a, a) == ([], [])
 
 
+def test_near_copies_across_lengths_share_leaves():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    for sentence in (5, 12, 40):
+        text = " ".join(rng.choice(words) + "." * (k % sentence == sentence - 1) for k in range(200))
+        for n in (235, 245, 255, 270):
+            before, after = text[:n], text[:n] + " and five words more here"
+            assert fingerprints.likeness(fingerprints.fingerprint(before), fingerprints.fingerprint(after)) >= 0.7, (sentence, n)
+
+
 def brute_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
