@@ -2,9 +2,10 @@
 
 One pass of the standard library's parser cuts a page into lines at block-level tags. A line's ratio
 is its length over the number of tags it has. The ratios are smoothed with a Gaussian, and those
-above a threshold set by their spread are content. The region is the article, or else the smallest element that holds nearly all of the
-content lines and half of the text; every line of it is kept but those in parts that are not text or that are marked as
-furniture (navigation, adverts, notices, reader comments and the like).
+above a threshold set by their spread are content. The region is the article; every line of it is kept but those in parts that are not text or that are marked as
+furniture (navigation, adverts, notices, reader comments and the like). Without an article the smallest element that holds nearly all of the
+content lines and half of the text (of a paragraph or the like, the element around it) is the region, and what stands outside it is
+kept too, unless it is furniture or in an element that is mostly links: one long block doesn't make the short ones furniture.
 
 Defined cases: a null or empty page has an empty text, and so has one with furniture only. Unclosed
 tags are closed by their parents, text after a cut-off is kept as far as it goes, character
@@ -42,11 +43,14 @@ MARKS = re.compile(
 #: Names that only tell what an element has or lacks beside it.
 ASIDE = re.compile(r"(?i)\b(?:no|has|with|without)[-_][\w-]+")
 BODIES = frozenset(("article", "main", "body", "html"))
+#: Elements that are parts of a text or of a list, never the whole of it.
+PARTS = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup li option p pre summary tbody td tfoot th thead tr".split())
+LINKS = 3  # links in an element that is mostly links, at least
 WHOLE, HALF = 0.9, 0.5  # shares of the content, and of all text that is no furniture, that the chosen element must hold
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, number of tags, and the innermost block element they stand in.
+    """Lines of a page: text, number of tags, the innermost block element they stand in, code points in links, and links.
 
     Elements are numbered as they open, so a parent's number is below its children's; 0 is the page.
     """
@@ -56,9 +60,10 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []  # tag, number (of the block it is or is in), whether its text is left out
         self.opened: Counter = Counter()
         self.parent, self.name = [0], ["html"]
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.hidden = self.at = 0
+        self.tags = self.hidden = self.at = self.linked = self.links = 0
+        self.link = False
 
     def inner(self) -> int:
         return self.open[-1][1] if self.open else 0
@@ -66,8 +71,8 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, max(1, self.tags), self.at))
-        self.parts, self.tags = [], 0
+            self.lines.append((text, max(1, self.tags), self.at, self.linked, self.links))
+        self.parts, self.tags, self.linked, self.links, self.link = [], 0, 0, 0, False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in BLOCKS
@@ -76,6 +81,8 @@ class Lines(HTMLParser):
             if tag in ("p", "li"):
                 self.close_like(tag)
         self.tags += 1
+        if tag == "a":
+            self.link = any(k == "href" for k, _ in attrs)
         if tag == "br":
             self.parts.append("\n")
         if tag in EMPTY:
@@ -117,6 +124,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
+        if tag == "a":
+            self.link = False
         if self.opened[tag]:
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
@@ -129,6 +138,9 @@ class Lines(HTMLParser):
             if not self.parts:
                 self.at = self.inner()
             self.parts.append(data)
+            if self.link and (n := len(" ".join(data.split()))):
+                self.linked += n
+                self.links += 1
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -148,12 +160,12 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    size = np.array([len(t) for t, _, _ in lines], float)
-    ratio = smooth(size / np.array([n for _, n, _ in lines], float))
+    size = np.array([len(t) for t, *_ in lines], float)
+    ratio = smooth(size / np.array([n for _, n, *_ in lines], float))
     content = ratio >= ratio.mean() - 0.5 * ratio.std()
     total = size[content].sum()
     weight, every = [0.0] * len(parser.parent), [0.0] * len(parser.parent)
-    for k, (_, _, e) in enumerate(lines):
+    for k, (_, _, e, _, _) in enumerate(lines):
         every[e] += size[k]
         weight[e] += size[k] * content[k]
     for e in range(len(weight) - 1, 0, -1):
@@ -162,11 +174,33 @@ def main_text(html: str) -> str:
     chosen = {e for e, name in enumerate(parser.name) if name == "article" and weight[e]}
     outer = {e for e in chosen if not any(p in chosen for p in ancestors(parser.parent, e))}
     if sum(weight[e] for e in outer) < 0.5 * total:
-        chosen = {max(e for e, w in enumerate(weight) if w >= WHOLE * total and every[e] >= HALF * every[0])}  # numbers grow inwards
+        found = max(e for e, w in enumerate(weight) if w >= WHOLE * total and every[e] >= HALF * every[0])  # numbers grow inwards
+        while parser.name[found] in PARTS and parser.name[parser.parent[found]] not in ("body", "html"):
+            found = parser.parent[found]
+        chosen = {found}
+        aside = link_lists(parser, every)
+    else:
+        aside = [True] * len(weight)
     inside = [False] * len(weight)
     for e in range(len(weight)):
         inside[e] = e in chosen or e > 0 and inside[parser.parent[e]]
-    return "\n".join([t for t, _, e in lines if inside[e]])
+    return "\n".join([t for t, _, e, *_ in lines if inside[e] or not aside[e]])
+
+
+def link_lists(parser: Lines, every: list[float]) -> list[bool]:
+    """Whether each element is mostly links, or in one that is. ``every`` has the elements' code points."""
+    linked, links = [0] * len(every), [0] * len(every)
+    for _, _, e, n, k in parser.lines:
+        linked[e] += n
+        links[e] += k
+    for e in range(len(every) - 1, 0, -1):
+        linked[parser.parent[e]] += linked[e]
+        links[parser.parent[e]] += links[e]
+    out = [False] * len(every)
+    for e in range(1, len(every)):
+        whole = parser.name[e] not in PARTS and parser.name[e] not in BODIES
+        out[e] = out[parser.parent[e]] or whole and links[e] >= LINKS and 2 * linked[e] > every[e]
+    return out
 
 
 def ancestors(parent: list[int], element: int) -> Iterator[int]:

@@ -231,6 +231,17 @@ def test_main_text(spark):
     assert htmltext.extract(df.where("false")).count() == 0
 
 
+def test_main_text_beside_a_dominant_block():
+    long, menu = "word and more " * 400, "<a href=/1>Home</a> <a href=/2>News</a> <a href=/3>About</a>"
+    say = " ".join(long.split())
+    assert htmltext.main_text(f"<body><h1>Title</h1><p>{long}</p><p>{'closing words ' * 6}</p></body>") == f"Title\n{say}\n{' '.join(['closing words'] * 6)}"
+    parts = "".join(f"<section><h2>Part {k}</h2><p>A short part.</p></section>" for k in range(5))
+    text = "\n".join(f"Part {k}\nA short part." for k in range(5))
+    assert htmltext.main_text(f"<body><div>{menu}</div><div><section><p>{long}</p></section>{parts}</div></body>") == f"{say}\n{text}"
+    assert htmltext.main_text(f"<div>{menu}</div><div><p>{long}</p><ul><li><a href=/4>A</a><li><a href=/5>B</a><li><a href=/6>C</a></ul></div>") == f"{say}\nA\nB\nC"
+    assert htmltext.main_text(f"<body><ul><li>{menu.replace(' <', '<li><')}</ul><div>By <a href=/x>One</a></div><p>{long}</p></body>") == f"By One\n{say}"
+
+
 def test_url_verdicts(spark):
     link = "<link rel='canonical' href='{}'>"
     pages = [
