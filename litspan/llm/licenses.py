@@ -3,8 +3,9 @@
 A text's words are lower-cased runs of ASCII letters and digits and of anything beyond ASCII. The
 hash of every run of ``GRAM`` words is joined to the positions it has in the templates (a fixed list
 in this file, so its broadcast is bounded). A match votes for the diagonal, its place in the text minus
-its place in the template; votes are summed by diagonal, diagonals at most ``DRIFT`` apart that meet in the text
-are merged, and a merged span counts if it covers enough of the template and little else.
+its place in the template. From every vote the longest chain of later votes is followed whose places keep
+the template's order and whose diagonals lie above the first one's by half of the template's words at most (so many words may
+be inserted, in one place or in several), and a chain counts if it covers enough of the template.
 
 Base phrases are counted beside that, wherever their words stand consecutively.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 3
-DRIFT = 2
+DRIFT = 2  # words that may be inserted into a template at least; half of its words if that is more
 COVER = 0.6
 NEAR = 8  # of spans that start at most so many words apart, such as variants of one notice, those of the best cover count
 #: Phrases whose places are counted, and their labels.
@@ -42,6 +43,14 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v. 2.0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
+#: Other wordings of the notices, by label, ``/`` and a name.
+VARIANTS = {
+    "apache-2.0/terms": "licensed under the terms of the apache license version 2.0",
+    "gpl-2/terms": "licensed under the terms of the gnu general public license version 2",
+    "gpl-3/terms": "licensed under the terms of the gnu general public license version 3",
+    "mit/terms": "released under the terms of the mit license",
+}
+WORDINGS = TEMPLATES | VARIANTS
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,14 +71,19 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower, _GAP, " ")), F.lit(" "))
 
 
-def template_grams(spark, templates: dict[str, str] = TEMPLATES, gram: int = GRAM) -> DataFrame:
-    """Columns label, place, size (grams of the template), hash."""
+def drift_of(words: list[str]) -> int:
+    """Words that may be inserted into a template."""
+    return max(DRIFT, (len(words) + 1) // 2)
+
+
+def template_grams(spark, templates: dict[str, str] = WORDINGS, gram: int = GRAM) -> DataFrame:
+    """Columns template (its key), place, size (grams of the template), drift, hash."""
     rows = []
     for label, text in templates.items():
         words = words_of(text)
-        rows += [(label, i, len(words) - gram + 1, words[i : i + gram]) for i in range(len(words) - gram + 1)]
-    frame = spark.createDataFrame(rows, "label string, place int, size int, words array<string>")
-    return frame.select("label", "place", "size", F.xxhash64(*[F.col("words")[i] for i in range(gram)]).alias("hash"))
+        rows += [(label, i, len(words) - gram + 1, drift_of(words), words[i : i + gram]) for i in range(len(words) - gram + 1)]
+    frame = spark.createDataFrame(rows, "template string, place int, size int, drift int, words array<string>")
+    return frame.select("template", "place", "size", "drift", F.xxhash64(*[F.col("words")[i] for i in range(gram)]).alias("hash"))
 
 
 def base_places(line: str, words: str) -> list[Column]:
@@ -95,7 +109,7 @@ def base_places(line: str, words: str) -> list[Column]:
     ]
 
 
-def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = WORDINGS) -> DataFrame:
     """Verified template spans: the id, ``row_key`` (a hash of the text), label, first_word, n_words, cover.
 
     The grams meet the templates in the map stage; only votes are shuffled.
@@ -106,26 +120,27 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     # an outer explode: for an inner one the optimizer adds a filter that hashes everything a second time
     grams = words.select("id", "row_key", F.posexplode_outer(F.expr(hashes)).alias("pos", "hash"))
     votes = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), "hash")
-    key = ["id", "row_key", "label"]
-    diagonals = votes.groupBy(*key, (F.col("pos") - F.col("place")).alias("diagonal")).agg(
-        F.first("size").alias("size"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("place").alias("places")
-    )
-    order = Window.partitionBy(*key).orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT) | (F.col("lo") > F.lag("hi").over(order) + F.col("size")) | (F.col("hi") + F.col("size") < F.lag("lo").over(order))
-    numbered = diagonals.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
-    numbered = numbered.withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = numbered.groupBy(*key, "run").agg(
-        F.first("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("voted")
-    )
-    cover = F.col("voted") / F.col("size")
-    dense = F.col("voted") / (F.col("hi") - F.col("lo") + 1)
-    fits = merged.where((cover >= COVER) & (dense >= 0.5)).withColumn("cover", cover)
+    key = ["id", "row_key", "template"]
+    votes = votes.select(*key, "size", "drift", "pos", "place").distinct()
+    reach = max((len(w) - GRAM + 1 + drift_of(w) for w in map(words_of, templates.values())), default=1)
+    after = Window.partitionBy(*key).orderBy("pos").rangeBetween(1, reach)
+    # at one position the higher place comes first, so that a chain takes one of them
+    seen = votes.withColumn("seen", F.collect_list(F.struct("pos", (-F.col("place")).alias("back"))).over(after))
+    later = seen.withColumn("later", F.expr("filter(array_sort(seen), v -> -v.back > place AND v.pos - pos <= drift - v.back - place)"))
+    # of each place: the longest chain that ends with it, and minus its last position; the result is the best of all places
+    chain = """aggregate(later, transform(sequence(1, size), i -> named_struct('n', 0, 'end', 0)),
+        (best, v) -> transform(best, (b, i) -> CASE WHEN i = -v.back THEN greatest(b, named_struct('n', 1 + coalesce(array_max(slice(best, 1, -v.back)).n, 0), 'end', -v.pos)) ELSE b END),
+        best -> array_max(best))"""
+    chained = later.where((F.size("later") + 1) / F.col("size") >= COVER).withColumn("chain", F.expr(chain))
+    cover = (F.col("chain.n") + 1) / F.col("size")
+    hi = F.when(F.col("chain.n") > 0, -F.col("chain.end")).otherwise(F.col("pos"))
+    fits = chained.select("id", "row_key", F.substring_index("template", "/", 1).alias("label"), F.col("pos").alias("lo"), hi.alias("hi"), cover.alias("cover")).where(F.col("cover") >= COVER)
     near = Window.partitionBy("id", "row_key").orderBy("lo").rangeBetween(-NEAR, NEAR)
     best = fits.withColumn("most", F.max("cover").over(near)).where(F.col("cover") >= F.col("most"))
     return best.select(F.col("id").alias(id_column), "row_key", "label", F.col("lo").cast("long").alias("first_word"), (F.col("hi") - F.col("lo") + GRAM).cast("long").alias("n_words"), "cover")
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = WORDINGS) -> DataFrame:
     """One row for each document: n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is 1 with a base phrase, else the best cover of a verified span, else 0.

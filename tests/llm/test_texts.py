@@ -217,6 +217,23 @@ def test_licenses(spark):
     assert [r.labels for r in twice] == ["mit", "mit"] and twice[0].score == 1
 
 
+def test_licenses_with_inserted_words(spark):
+    told = {
+        "This work is licensed under the terms of the GNU General Public License version 3": "gpl,gpl-3",
+        "Released under the terms of the MIT license": "mit",
+        "GNU General Public License version 3 and under the work is licensed this": "gpl",  # not in order
+    }
+    bsd, gpl = licenses.words_of(licenses.TEMPLATES["bsd"]), licenses.words_of(licenses.TEMPLATES["gpl-3"])
+    for n in range(3, 7):
+        told[" ".join(bsd[:9] + ["x"] * n + bsd[9:])] = "bsd"
+        told[" ".join(gpl[:5] + ["x"] * n + gpl[5:])] = "gpl,gpl-3"
+    told["general public license " * 50 + " ".join(gpl) + " general public license" * 50] = "gpl,gpl-3"
+    out = {r.doc_id: r.labels for r in licenses.scan(frame(spark, list(told))).collect()}
+    assert [out[i] for i in range(len(told))] == list(told.values())
+    plain = {r.label: (r.first_word, r.n_words) for r in licenses.spans(frame(spark, [" ".join(["x"] * 5 + gpl[:5] + ["x"] * 6 + gpl[5:])]), templates=licenses.TEMPLATES).collect()}
+    assert plain["gpl-3"] == (5, len(gpl) + 6)
+
+
 PAGE = """<html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="layout"><aside>Side</aside><article><h1>The  Title</h1><p>First &amp; <b>bold<br>text is long enough to be taken as content by its ratio.<p>Short.</p>
 <div class="ad">Buy</div><form><input>Subscribe</form><p>Last&nbsp;one, which goes on for some length as well, so that it counts.</article><section id="comments"><p>A reader says a lot of things that are as long as the text.</p></section></div><footer>&copy; us"""
