@@ -5,7 +5,8 @@ hash of every run of ``GRAM`` words is joined to the positions it has in the tem
 in this file, so its broadcast is bounded). A match votes for the diagonal, its place in the text minus
 its place in the template. From every vote the longest chain of later votes is followed whose places keep
 the template's order and whose diagonals lie above the first one's by half of the template's words at most (so many words may
-be inserted, in one place or in several), and a chain counts if it covers enough of the template.
+be inserted, in one place or in several), and a chain counts if it covers enough of the template. Of
+spans that share words, such as variants of one notice, those of the best cover stay.
 
 Base phrases are counted beside that, wherever their words stand consecutively.
 
@@ -16,6 +17,7 @@ text, so repeated rows have the same result each. All votes are used, however of
 from __future__ import annotations
 
 import re
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 GRAM = 3
 DRIFT = 2  # words that may be inserted into a template at least; half of its words if that is more
 COVER = 0.6
-NEAR = 8  # of spans that start at most so many words apart, such as variants of one notice, those of the best cover count
+NEAR = 8  # of the SQL only: there, of spans that start at most so many words apart those of the best cover count
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Public license notices, by label.
@@ -45,12 +47,31 @@ TEMPLATES = {
 }
 #: Other wordings of the notices, by label, ``/`` and a name.
 VARIANTS = {
+    "agpl/free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "apache-2.0/terms": "licensed under the terms of the apache license version 2.0",
+    "gpl-2/free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-2/terms": "licensed under the terms of the gnu general public license version 2",
+    "gpl-3/free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-3/terms": "licensed under the terms of the gnu general public license version 3",
+    "lgpl/free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
     "mit/terms": "released under the terms of the mit license",
 }
-WORDINGS = TEMPLATES | VARIANTS
+#: The spellings of what Creative Commons licenses add to their attribution.
+ADDED = {"nc": ("noncommercial", "non commercial"), "nd": ("noderivatives", "no derivatives", "noderivs", "no derivs"), "sa": ("sharealike", "share alike")}
+
+
+def _commons() -> dict[str, str]:
+    """The names of the six licenses in all spellings, and their short forms."""
+    out = {}
+    for kinds in ((), ("nc",), ("nc", "nd"), ("nc", "sa"), ("nd",), ("sa",)):
+        label = "-".join(("cc-by", *kinds))
+        out[f"{label}/short"] = f"licensed under cc {label[3:]} 4.0"
+        for k, words in enumerate(product(*(ADDED[x] for x in kinds))):
+            out[f"{label}/name{k}"] = " ".join(["creative commons attribution", *words, "4.0 international license"])
+    return out
+
+
+WORDINGS = TEMPLATES | VARIANTS | _commons()
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -135,8 +156,10 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     cover = (F.col("chain.n") + 1) / F.col("size")
     hi = F.when(F.col("chain.n") > 0, -F.col("chain.end")).otherwise(F.col("pos"))
     fits = chained.select("id", "row_key", F.substring_index("template", "/", 1).alias("label"), F.col("pos").alias("lo"), hi.alias("hi"), cover.alias("cover")).where(F.col("cover") >= COVER)
-    near = Window.partitionBy("id", "row_key").orderBy("lo").rangeBetween(-NEAR, NEAR)
-    best = fits.withColumn("most", F.max("cover").over(near)).where(F.col("cover") >= F.col("most"))
+    # a span hides those of a smaller cover that share a word with it
+    near = Window.partitionBy("id", "row_key").orderBy("lo").rangeBetween(-reach - GRAM, reach + GRAM)
+    rivals = fits.withColumn("rivals", F.collect_set(F.struct("lo", "hi", "cover")).over(near))
+    best = rivals.where(F.expr(f"NOT exists(rivals, r -> r.cover > cover AND r.lo <= hi + {GRAM - 1} AND lo <= r.hi + {GRAM - 1})"))
     return best.select(F.col("id").alias(id_column), "row_key", "label", F.col("lo").cast("long").alias("first_word"), (F.col("hi") - F.col("lo") + GRAM).cast("long").alias("n_words"), "cover")
 
 

@@ -221,6 +221,7 @@ def test_licenses_with_inserted_words(spark):
     told = {
         "This work is licensed under the terms of the GNU General Public License version 3": "gpl,gpl-3",
         "Released under the terms of the MIT license": "mit",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License": "gpl,gpl-2",
         "GNU General Public License version 3 and under the work is licensed this": "gpl",  # not in order
     }
     bsd, gpl = licenses.words_of(licenses.TEMPLATES["bsd"]), licenses.words_of(licenses.TEMPLATES["gpl-3"])
@@ -234,6 +235,23 @@ def test_licenses_with_inserted_words(spark):
     assert plain["gpl-3"] == (5, len(gpl) + 6)
 
 
+def test_licenses_side_by_side(spark):
+    told = {
+        "Released under the MIT License, or licensed under the Apache License Version 2": "apache-2.0,mit",
+        "Licensed under the Apache License, Version 2.0. This work is licensed under the GNU General Public License version 3": "apache-2.0,gpl,gpl-3",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "Creative Commons Attribution 4.0 International License": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+        "This work is licensed under a Creative Commons Attribution-Share Alike 4.0 International License": "cc-by-sa",
+        "Creative Commons Attribution-NoDerivatives 4.0 International License": "cc-by-nd",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+    }
+    out = {r.doc_id: r.labels for r in licenses.scan(frame(spark, list(told))).collect()}
+    assert [out[i] for i in range(len(told))] == list(told.values())
+
+
 PAGE = """<html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="layout"><aside>Side</aside><article><h1>The  Title</h1><p>First &amp; <b>bold<br>text is long enough to be taken as content by its ratio.<p>Short.</p>
 <div class="ad">Buy</div><form><input>Subscribe</form><p>Last&nbsp;one, which goes on for some length as well, so that it counts.</article><section id="comments"><p>A reader says a lot of things that are as long as the text.</p></section></div><footer>&copy; us"""
