@@ -7,8 +7,9 @@ without a rule takes its component's decision: allow if any alias has an explici
 if any alias is blocked, else the default.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule and the default
-verdict. Null markup has no links; links that are not absolute urls are resolved against the page's scheme and
-host when they begin with ``/`` and ignored otherwise. Repeated pages have the same result each.
+verdict. Null markup has no links; every redirect and canonical tag of a page counts, and targets that are not absolute urls
+are resolved against the page's url, or its ``base``, as RFC 3986 says. Targets with a scheme but no host are ignored.
+Repeated pages have the same result each.
 """
 
 from __future__ import annotations
@@ -56,20 +57,53 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), path_of(url), query))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    step = lambda done, p: F.when(p == ".", done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The url that ``target`` names on the page ``base``; null if it has a scheme but no host."""
+    scheme = F.regexp_extract(base, r"^((?s:.*?):)//", 1)
+    origin = F.regexp_extract(base, r"^((?s:.*?)://[^/?#]*)", 1)
+    path, query = path_of(base), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    own, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*((?s:.*))", 1)
+    folder = F.regexp_extract(path, r"^((?s:.*)/)", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own))
+    return (
+        F.when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None).cast("string"))
+        .when(own != "", F.concat(origin, without_dots(joined), rest))
+        .when(target.startswith("?"), F.concat(origin, path, rest))
+        .otherwise(F.concat(origin, path, query, rest))
+    )
+
+
 def links(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Edges (a, b: urls) from each page to the targets its markup redirects to or calls canonical."""
     html, url = F.col(html_column), F.col(url_column)
     tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
     turn = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-    named = F.when(F.contains(html, F.lit("anonical")) | F.contains(html, F.lit("ANONICAL")), F.regexp_extract(F.regexp_extract(html, tag, 0), r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    turned = F.when(F.contains(F.lower(html), F.lit("refresh")), F.regexp_extract(F.regexp_extract(html, turn, 0), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    target = F.explode(F.filter(F.array(named, turned), lambda t: t.isNotNull() & (t != ""))).alias("target")
-    found = pages.where(url.contains("://") & html.isNotNull()).select(url.alias("a"), target)
-    origin = F.regexp_extract("a", r"^((?s:.*?)://[^/?#]*)", 1)
-    clean = F.replace(F.col("target"), F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract("a", r"^((?s:.*?):)//", 1)
-    absolute = F.when(clean.contains("://"), clean).when(clean.startswith("//"), F.concat(scheme, clean)).when(clean.startswith("/"), F.concat(origin, clean))
-    return found.select("a", absolute.alias("b")).where(F.col("b").isNotNull())
+    root = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+
+    def every(tags: str, name: str) -> Column:
+        return F.transform(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), lambda t: F.regexp_extract(t, rf"(?is)\b{name}\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
+
+    none = F.array().cast("array<string>")
+    named = F.when(F.contains(html, F.lit("anonical")) | F.contains(html, F.lit("ANONICAL")), every(tag, "href")).otherwise(none)
+    turned = F.when(F.contains(F.lower(html), F.lit("refresh")), every(turn, "url")).otherwise(none)
+    root_of = F.when(F.contains(F.lower(html), F.lit("<base")), F.regexp_extract(html, root, 1)).otherwise(F.lit(""))
+    target = F.explode(F.filter(F.concat(named, turned), lambda t: t != "")).alias("target")
+    found = pages.where(url.contains("://") & html.isNotNull()).select(url.alias("a"), root_of.alias("root"), target)
+    plain = lambda c: F.replace(F.col(c), F.lit("&amp;"), F.lit("&"))
+    based = found.select("a", F.when(F.col("root") == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), plain("root")), F.col("a"))).alias("root"), plain("target").alias("target"))
+    # exploded, so that no filter or later column repeats the long expression
+    return based.select("a", F.explode_outer(F.array(resolved(F.col("root"), F.col("target")))).alias("b")).where(F.col("b").isNotNull())
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, url_column: str = "url", default: str = "allow") -> DataFrame:

@@ -291,3 +291,22 @@ def test_url_verdicts(spark):
         6: ("org", "", None, "allow"), 7: ("z.net", "/a", None, "allow"), 8: ("z.net", "/b", None, "allow"), 9: ("z.net", "/c", None, "allow"), 10: ("w.net", "/c", None, "block"), 11: ("w.net", "/c", None, "block"),
     }
     assert urls.judge(df.where("false")).count() == 0
+
+
+def test_relative_and_repeated_links(spark):
+    from urllib.parse import urljoin
+
+    base = "https://Z.net/a/b/page?q=1#f"
+    targets = "en/index.html ../a ../../../x ?id=3 ./ . .. ../ /r/./s/../t /p?u=http://o.com/ //h.org/x https://k.org/y x#g ./../c/.d g?y/../z ;x".split()
+    link, turn = "<link rel='canonical' href='{}'>", '<meta http-equiv="Refresh" content="0; URL={}">'
+    pages = [(base, link.format(t)) for t in targets] + [("https://z.net", link.format("v"))]
+    df = spark.createDataFrame(pages, "url string, html string")
+    assert sorted(r.b for r in urls.links(df).collect()) == sorted([*(urljoin(base, t) for t in targets), "https://z.net/v"])
+    many = [
+        ("https://w.net/1", "".join(f.format(t) for f in (link, turn) for t in ("x", "../y"))), ("https://w.net/2", "<base href='/d/e/'>" + link.format("x")),
+        ("https://w.net/3", link.format("mailto:a") + link.format("https://b.com/de/1")), ("https://w.net/4/5", turn.format("../3")), ("https://w.net/6?id=1", link.format("?id=3")), ("https://w.net/6?id=3", link.format("3")),
+    ]
+    df = spark.createDataFrame(many, "url string, html string")
+    edges = sorted((r.a[-1], r.b) for r in urls.links(df.where("url < 'https://w.net/3'")).collect())
+    assert edges == [("1", "https://w.net/x"), ("1", "https://w.net/x"), ("1", "https://w.net/y"), ("1", "https://w.net/y"), ("2", "https://w.net/d/e/x")]
+    assert [r.verdict for r in urls.judge(df).orderBy("url").collect()] == ["allow", "allow", "block", "block", "block", "block"]
