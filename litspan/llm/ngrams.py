@@ -17,7 +17,8 @@ sets are one class with a count, whatever the number of copies.
 
 Words are runs of word characters of the lower-cased text. A text of one to four words has one
 n-gram, of all its words. Defined cases: a null or empty text, or one without words, has no n-gram, links
-with nothing and is kept. Rows with one id and text are copies. Rows with a null id follow their class.
+with nothing and is kept. Rows with one id and text are copies. Rows with a null id follow their class;
+a class without any id is linked like others, and of a component without any id the smallest hash of a text is kept.
 """
 
 from __future__ import annotations
@@ -271,7 +272,8 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, n: int = WOR
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("grams") * 8 / BLOCK_BYTES)).cast("int")
     wanted = members.join(sizes.select("component", blocks.alias("blocks")), "component").select("component", "blocks", "node", "id", "row_key", "copies")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("row_key"), F.col(text_column).alias("text"))
-    whole = rows.join(wanted, ["id", "row_key"]).select("component", "blocks", "node", "copies", "text")
+    wanted = wanted.withColumnsRenamed({"id": "wanted_id", "row_key": "wanted_key"})
+    whole = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("component", "blocks", "node", "copies", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -319,7 +321,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     set), ``n_links`` (other documents linked directly), ``component_id`` (smallest id reachable), ``kept``."""
     rows = checkpointed(signatures(docs, id_column, text_column, n))
     full = rows.where(F.col("node").isNotNull())
-    named = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_key"))).alias("name")
+    named = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_key"))), F.min(F.struct("id", "row_key"))).alias("name")
     classes = full.groupBy("node").agg(named, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes.select("node", "name.id", "name.row_key", "copies", "size", "tokens", "sketch"))
     pairs = candidates(buckets(classes, plan_runs(threshold, recall)), classes, threshold)
@@ -328,15 +330,15 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     found = checkpointed(verified(docs, members, threshold, n, id_column, text_column))
     links = found.groupBy("node").agg(F.sum("links").alias("more"))
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
-    first = groups.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    grouped = groups.join(first, "component").select("node", "component_id")
-    told = classes.select("node", F.col("id").alias("class_id"), "copies").join(links, "node", "left").join(grouped, "node", "left")
-    told = told.select(F.col("node").alias("of"), "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
+    first = groups.join(classes.select("node", "id", "row_key"), "node").groupBy("component").agg(F.min("id").alias("component_id"), F.min("row_key").alias("least_key"))
+    grouped = groups.join(first, "component").select("node", "component_id", "least_key")
+    told = classes.select("node", F.col("id").alias("class_id"), F.col("row_key").alias("class_key"), "copies").join(links, "node", "left").join(grouped, "node", "left")
+    told = told.select(F.col("node").alias("of"), "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("least_key", "class_key").alias("least_key"))
     # only classes of copies or links are joined back; other documents stand alone
     mixed = told.where("n_links > 0")
     out = rows.select("id", "row_key", "node").join(mixed, F.col("node") == F.col("of"), "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_column), "row_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+        component.alias("component_id"), F.when(component.isNull(), F.coalesce(F.col("row_key") == F.col("least_key"), F.lit(True))).otherwise(F.coalesce(F.col("id") == component, F.lit(False))).alias("kept"),
     )

@@ -124,3 +124,15 @@ def test_runs_reach_the_recall():
     assert ngrams.plan_runs(0.8, 0.9999) >= 7
     bits, tables = embeddings.plan_tables(10**9)
     assert bits >= 20 and tables > 50
+
+
+def test_near_copies_without_ids_are_linked(spark):
+    base = [f"w{k}" for k in range(60)]
+    near, lone, other = " ".join([*base, "end"]), [f"v{k}" for k in range(60)], "quite another text of some words"
+    rows = [(7, " ".join(base)), (None, near), (None, " ".join(lone)), (None, " ".join([*lone, "end"])), (None, other)]
+    out = ngrams.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = spark.createDataFrame(rows, "id long, t string").selectExpr("t", "xxhash64(t) AS row_key").join(out, "row_key").collect()
+    told = {r.t: (r.doc_id, r.n_links, r.component_id, r.kept) for r in found}
+    assert told[rows[0][1]] == (7, 1, 7, True) and told[near] == (None, 1, 7, False) and told[other] == (None, 0, None, True)
+    pair = [told[rows[k][1]] for k in (2, 3)]
+    assert [p[:3] for p in pair] == [(None, 1, None)] * 2 and sorted(p[3] for p in pair) == [False, True]
