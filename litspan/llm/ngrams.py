@@ -49,15 +49,27 @@ DEPTH = 5  # splits of a path; what is still large then is brute-forced
 ALIKE = 0.5  # mean similarity from which a bucket is not split further
 BLOCK = 2048  # sets of a block
 BLOCK_BYTES = 16 << 20  # and bytes of their n-grams
-SLACK = 3.5  # standard deviations of a signature's estimate that a candidate may be off
+SLACK = 4.5  # standard deviations of a signature's estimate that a candidate may be off
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plan_runs(threshold: float = THRESHOLD, recall: float = RECALL, branches: int = BRANCHES, depth: int = 3) -> int:
-    """Runs after which a pair at the threshold has met with the probability ``recall``."""
+def least_agreement(threshold: float) -> int:
+    """Bytes of two sketches that agree at least, for a candidate."""
+    return math.floor(SKETCH * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)))
+
+
+def sketch_miss(threshold: float) -> float:
+    """The probability that the sketches of a pair at the threshold agree too little."""
+    p = threshold + (1 - threshold) / 256
+    return sum(math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k) for k in range(least_agreement(threshold)))
+
+
+def plan_runs(threshold: float = THRESHOLD, recall: float = RECALL, branches: int = BRANCHES, depth: int = DEPTH + 1) -> int:
+    """Runs after which a pair at the threshold has met, at the full depth, and passed the sketches with the probability ``recall``."""
     meets = threshold * (1 - (1 - threshold) ** branches) ** (depth - 1)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    missed = max(1 - recall - sketch_miss(threshold), (1 - recall) / 2)
+    return math.ceil(math.log(missed) / math.log(1 - meets))
 
 
 class Words(dict):
@@ -200,7 +212,7 @@ def alike_pairs(left: np.ndarray, right: np.ndarray | None, least: int) -> tuple
 
 def candidates(paths: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Candidate links (a, b: nodes) that span the candidates of each bucket."""
-    least = math.floor(SKETCH * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)))
+    least = least_agreement(threshold)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["key", "p", "q"]):

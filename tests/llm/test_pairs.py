@@ -136,3 +136,8 @@ def test_near_copies_without_ids_are_linked(spark):
     assert told[rows[0][1]] == (7, 1, 7, True) and told[near] == (None, 1, 7, False) and told[other] == (None, 0, None, True)
     pair = [told[rows[k][1]] for k in (2, 3)]
     assert [p[:3] for p in pair] == [(None, 1, None)] * 2 and sorted(p[3] for p in pair) == [False, True]
+
+
+def test_recall_counts_every_split_and_the_sketches():
+    meets = 0.8 * (1 - 0.2**ngrams.BRANCHES) ** ngrams.DEPTH
+    assert (1 - meets) ** ngrams.plan_runs(0.8, 0.9999) + ngrams.sketch_miss(0.8) <= 1e-4
