@@ -8,17 +8,17 @@ each column's product is built, a prefix scan over the products gives each colum
 and one more sweep reads off the boundaries. Pieces are merged once and kept in a bounded cache.
 
 Null and empty texts have no tokens. A text is never cut: its pieces are merged one at a time, so
-memory is bounded by the longest text of a batch. Repeated texts are encoded each on its own.
+memory is bounded by the longest text of a batch. Repeated texts are encoded each on its own. Ids may be of any type.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,6 @@ from pyspark.sql import DataFrame
 
 from litspan.llm.common import slices, texts
 
-#: Code points with the Unicode property White_Space.
-WHITE_SPACE = [
-    0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006,
-    0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
-]
-
 #: Symbols of the automaton. A blank that a word follows binds to it (BIND); another white space
 #: before a word stands alone (LONE); the rest of a white-space run stays together (RUN).
 LETTER, NUMBER, OTHER, RUN, BIND, LONE, SHORT, LONG = range(8)
@@ -84,15 +78,17 @@ def _monoid(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @cache
 def _classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or RUN of every code point."""
+    """LETTER, NUMBER, OTHER or RUN of every code point, as the tokenizer libraries class them.
+
+    The table is asked of the library itself, whose Unicode version is not Python's: a tokenizer whose pieces are
+    single members of a class, with bytes for tokens, keeps the members of a text that holds every code point.
+    """
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
+    single = {bytes([b]): b for b in range(256)}
     kinds = np.full(0x110000, OTHER, np.uint8)
-    major = {"L": LETTER, "N": NUMBER}
-    category = unicodedata.category
-    for c in range(0x110000):
-        kind = major.get(category(chr(c))[0])
-        if kind is not None:
-            kinds[c] = kind
-    kinds[WHITE_SPACE] = RUN
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", RUN)):
+        kept = bytes(tiktoken.Encoding("members", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every))
+        kinds[np.frombuffer(kept.decode().encode("utf-32-le"), "<u4")] = kind
     return kinds
 
 
@@ -226,9 +222,10 @@ class Merged(dict):
         return ids
 
     def trim(self) -> None:
-        """Forget all when there are too many: memory stays bounded on any corpus."""
+        """Forget the older half when there are too many: memory stays bounded on any corpus."""
         if len(self) > self.most:
-            self.clear()
+            for piece in list(islice(self, len(self) // 2)):
+                del self[piece]
 
 
 @cache

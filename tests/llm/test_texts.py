@@ -44,6 +44,31 @@ def test_bpe_equals_the_library(spark):
         assert starts == sorted(set(starts)) and (not text or starts[0] == 0)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_multi_50k", "byte_bpe_50k"])
+def test_every_code_point_as_the_libraries(name):
+    """Alone and beside letters, digits, blanks and quotes; in one text for each block of code points."""
+    from tokenizers import Tokenizer
+
+    merged = bpe.Merged(bpe.read_ranks(public_tokenizers.path(f"{name}.tiktoken")), "I")
+    texts = []
+    for k in range(0, 0x110000, 512):
+        if not 0xD800 <= k < 0xE000:
+            texts.append("".join(f"a{c}1{c}x {c}'s{c}'{c}  {c}" for c in map(chr, range(k, k + 512))))
+    got = [np.frombuffer(ids, "<u4").tolist() for ids, _ in bpe.encode(texts, merged)]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merged.ranks, special_tokens={})
+    assert got == library.encode_ordinary_batch(texts)
+    if name == "byte_bpe_50k":
+        assert got == [x.ids for x in Tokenizer.from_file(public_tokenizers.path(f"{name}.json")).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_cache_forgets_the_older_half():
+    merged = bpe.Merged(bpe.read_ranks(MULTI), "I", most=4)
+    for piece in ("a", "b", "c", "d", "e"):
+        assert merged[piece]
+    merged.trim()
+    assert list(merged) == ["c", "d", "e"]
+
+
 def test_own_merges_equal_the_library():
     ranks = bpe.read_ranks(MULTI)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
