@@ -291,6 +291,133 @@ def test_main_text(spark):
     assert htmltext.extract(df.where("false")).count() == 0
 
 
+class Element:
+    def __init__(self, tag, marks, around):
+        self.tag, self.around, self.parts = tag, around, []
+        words = {w for m in marks for w in re.split(r"[\s_-]", re.sub(r"\b(?:no|has|with|without)[-_][\w-]+", " ", m.lower()))}
+        known = set("ad ads advert adverts banner comments sidebar search share notice cookie footer header nav menu promo related social".split()) & words
+        self.doubt = 9 if tag in ("nav", "footer", "button", "label") else 0.9 if "comments" in known else 0.5 if known or tag in ("aside", "form", "header", "fieldset", "dialog") else 0
+
+    def up(self):
+        return [self, *(self.around.up() if self.around else [])]
+
+
+def slow_main_text(html, reverse=False):
+    """The method again, on well-formed pages: a tree of elements, every sum made anew from the lines."""
+    from html.parser import HTMLParser
+
+    root = Element("html", [], None)
+    lines, state = [[[], 0]], {"at": root, "silent": 0}
+
+    class Tree(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in htmltext.BLOCKS:
+                lines.append([[], 0])
+            lines[-1][1] += 1
+            if tag in htmltext.EMPTY:
+                return
+            if tag in htmltext.SILENT:
+                state["silent"] += 1
+            state["at"] = Element(tag, [v for k, v in attrs if k in ("class", "id", "role")], state["at"])
+
+        def handle_endtag(self, tag):
+            if tag in htmltext.BLOCKS:
+                lines.append([[], 0])
+            lines[-1][1] += 1
+            if tag in htmltext.SILENT:
+                state["silent"] -= 1
+            while tag in [e.tag for e in state["at"].up()]:
+                out = state["at"].tag
+                state["at"] = state["at"].around
+                if out == tag:
+                    break
+
+        def handle_data(self, data):
+            if not state["silent"]:
+                lines[-1][0].append((state["at"], data))
+
+    parser = Tree()
+    parser.feed(html)
+    parser.close()
+    # tags between blocks count for the next line with text, as its own
+    kept, tags = [], 0
+    for parts, n in lines:
+        tags += n
+        if "".join(t for _, t in parts).strip():
+            kept.append((parts, n))
+    span = lambda t: len(" ".join(t.split()))
+    ratio = [sum(span(t) for _, t in parts) / max(1, n) for parts, n in kept]
+    weights = {d: np.exp(-d * d / 2) for d in range(-3, 4)}
+    smoothed = []
+    for k in range(len(ratio)):
+        near = [(weights[d], ratio[k + d]) for d in weights if 0 <= k + d < len(ratio)]
+        smoothed.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smoothed) / len(smoothed)
+    bar = min(mean / 2, mean - 0.5 * (sum((r - mean) ** 2 for r in smoothed) / len(smoothed)) ** 0.5)
+    content = [(r >= bar) != reverse for r in smoothed]
+    atoms = [(k, e, t) for k, (parts, _) in enumerate(kept) for e, t in parts]
+    every = {id(e): e for _, e, _ in atoms for e in e.up()}.values()
+    size = lambda e, some: sum(span(t) for _, x, t in some if e in x.up())
+    good = [a for a in atoms if content[a[0]]]
+    furniture = {e for e in every if e.doubt and size(e, good) <= e.doubt * size(root, good)}
+    if all(furniture & set(e.up()) for _, e, _ in good):
+        furniture = {e for e in every if e.doubt == 9}
+    atoms = [a for a in atoms if not furniture & set(a[1].up())]
+    good = [a for a in atoms if content[a[0]]]
+    agrees = {e: 2 * size(e, good) / max(1, size(e, atoms) + size(root, good)) for e in every if e.tag not in htmltext.PARTS}
+    best = max(agrees.values())
+    if not good:
+        return ""
+    if best < 0.5:
+        chosen = good
+    else:
+        core = max((e for e in agrees if agrees[e] == best), key=lambda e: len(e.up()))
+        wide = [e for e in core.up() if agrees.get(e, 0) >= 0.95 * best][-1]
+        chosen = [a for a in atoms if wide in a[1].up() or content[a[0]]]
+    return "\n".join(t for k in range(len(kept)) if (t := " ".join("".join(t for i, _, t in chosen if i == k).split())))
+
+
+def variants(html):
+    """The page as it is, without an article element, and wrapped in elements with the names of furniture."""
+    plain = html.replace("<article>", "<div>").replace("</article>", "</div>")
+    wrap = lambda a, b: plain.replace("<body>", f"<body>{a}").replace("</body>", f"{b}</body>")
+    return [html, plain, wrap("<form action='/x'>", "</form>"), wrap("<div id='search-page'>", "</div>"), wrap("<div class='with-sidebar sidebar'>", "</div>")]
+
+
+def test_main_text_against_a_slow_version(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect() if r.html]
+    assert all("<article>" in p and "<body>" in p for p in pages)
+    for page in pages:
+        texts = {htmltext.main_text(v) for v in variants(page)}
+        assert texts == {slow_main_text(page)}
+        article = re.search("(?s)<article>(.*)</article>", page)[1]
+        blocks = [" ".join(re.sub("<[^>]*>", "", b).split()) for b in re.split(r"</?(?:h1|p|li|ul)\b[^>]*>", article.replace("<br>", "\n"))]
+        import html
+
+        assert texts == {"\n".join(html.unescape(b) for b in blocks if b)}
+
+
+def test_ratios_decide_the_main_text(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect() if r.html]
+    straight = [htmltext.main_text(p) for p in pages]
+    right = htmltext.content_lines
+    monkeypatch.setattr(htmltext, "content_lines", lambda sizes, tags: [not x for x in right(sizes, tags)])
+    turned = [htmltext.main_text(p) for p in pages]
+    assert turned == [slow_main_text(p, reverse=True) for p in pages]
+    assert sum(a != b for a, b in zip(straight, turned, strict=True)) > 0.9 * len(pages)
+
+
+def test_names_of_furniture_and_comments():
+    say, reply = "<p>" + "An article of some length. " * 20 + "</p>", "<p>" + "A reader answers at length. " * 20 + "</p>"
+    text, answer = ("An article of some length. " * 20).strip(), ("A reader answers at length. " * 20).strip()
+    assert htmltext.main_text(f"<body><div class=post>{say}</div><div id=comments>{reply * 3}</div></body>") == text
+    assert htmltext.main_text(f"<body><div id=comments>{reply * 3}</div></body>") == "\n".join([answer] * 3)
+    assert htmltext.main_text(f"<body>{say}<p>Last. <span class='share'>Share this</span> Really.</p></body>") == f"{text}\nLast. Really."
+    assert htmltext.main_text(f"<body><nav>{reply}</nav><footer>{reply}</footer></body>") == ""
+    assert htmltext.main_text(f"<body><aside><p>Beside.</p></aside><form>{say}<label>Mail</label><button>Send</button></form></body>") == text
+    assert htmltext.main_text(f"<body>{say}<div class='sidebar'>{reply}</div><div>{'<p>x</p>' * 3}</div>{say}</body>") == f"{text}\nx\nx\nx\n{text}"
+
+
 def test_main_text_beside_a_dominant_block():
     long, menu = "word and more " * 400, "<a href=/1>Home</a> <a href=/2>News</a> <a href=/3>About</a>"
     say = " ".join(long.split())
