@@ -76,19 +76,24 @@ def _monoid(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table[:, OUT], by_symbol, by_function
 
 
-@cache
-def _classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or RUN of every code point, as the tokenizer libraries class them.
+def members(pattern: str) -> np.ndarray:
+    """The code points of a character class, as the tokenizer libraries know it.
 
-    The table is asked of the library itself, whose Unicode version is not Python's: a tokenizer whose pieces are
-    single members of a class, with bytes for tokens, keeps the members of a text that holds every code point.
+    The class is asked of the library itself, whose Unicode version is not Python's: a tokenizer whose pieces are
+    single members of it, with bytes for tokens, keeps the members of a text that holds every code point.
     """
     every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     single = {bytes([b]): b for b in range(256)}
+    kept = bytes(tiktoken.Encoding("members", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every))
+    return np.frombuffer(kept.decode().encode("utf-32-le"), "<u4")
+
+
+@cache
+def _classes() -> np.ndarray:
+    """LETTER, NUMBER, OTHER or RUN of every code point."""
     kinds = np.full(0x110000, OTHER, np.uint8)
     for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", RUN)):
-        kept = bytes(tiktoken.Encoding("members", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every))
-        kinds[np.frombuffer(kept.decode().encode("utf-32-le"), "<u4")] = kind
+        kinds[members(pattern)] = kind
     return kinds
 
 

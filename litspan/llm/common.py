@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +19,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting
-    is absent (tests in one process) a temporary folder of this machine is set.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that setting is absent, a session in
+    one process (tests) gets a temporary folder of its machine; on a cluster that is an error, as executors share no such folder.
     """
     context = df.sparkSession.sparkContext
     if context.getConf().get("spark.checkpoint.dir") is None and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="litspan-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+HOTTEST = 1024
+
+
+def join_told(rows: DataFrame, told: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined by ``key`` to ``told``, which has one row for each key; ``how`` is left or inner.
+
+    ``count`` is a column of ``told``: how many of the ``total`` rows have the key, at least. Keys with more than the share 1 / HOTTEST of
+    them, of which there are fewer than HOTTEST, are broadcast, so that their rows stay where they are; the others meet in a shuffle, and null keys don't.
+    """
+    hot = F.col(count) * HOTTEST > F.lit(total)
+    few, rest = told.where(hot), told.where(~hot)
+    here = rows.join(F.broadcast(few), key)
+    there = rows.where(F.col(key).isNotNull()).join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, how)
+    both = here.unionByName(there)
+    return both if how == "inner" else both.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def shuffle_width(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

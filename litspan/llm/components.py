@@ -4,7 +4,7 @@ The graph stays a DataFrame of edges from a node to a smaller one. A large-star
 neighbours to the smallest one around it, a small-star step links its smaller ones to it; both keep
 the components, and in the end every node hangs on its component's smallest. Each round is written
 to the checkpoint folder, so a lost executor costs at most that round; the driver sees two
-numbers of a round, never edges.
+numbers of a round, never edges. Nodes with a large share of all edges are met by broadcast, not in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspan.llm.common import checkpointed
+from litspan.llm.common import checkpointed, join_told
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,10 +29,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     before = _state(down)
     for _ in range(rounds if before[0] else 0):
         both = down.union(down.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_told(both.where("v > u"), least, "u", "n", 2 * before[0], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = checkpointed(large)
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_told(large, smallest, "u", "n", before[0], "inner").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = checkpointed(smallest.select("u", F.col("m").alias("v")).union(small).distinct())
         after = _state(down)
         if after == before:

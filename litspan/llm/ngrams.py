@@ -11,30 +11,32 @@ Brute force within a bucket compares sketches (a byte of each of ``SKETCH`` mini
 in blocks if it is crowded, each pair of blocks being a task. A pair is a candidate if its estimate is within ``SLACK`` standard
 deviations of the threshold; what leaves a task is a spanning forest of its candidates, no pairs.
 
-Candidate components get their whole sets back, and every pair in them is verified by the exact sizes of
-their intersections, in blocks; a task returns link counts and a spanning forest, no pairs. Equal
-sets are one class with a count, whatever the number of copies.
+Candidate components get their whole sets back, and every pair in them whose sizes can be alike is verified by the exact size of
+its intersection: a component too large for one task is cut into levels of size, of which only neighbours meet, and those into blocks; a task returns link
+counts and a spanning forest, no pairs. Equal sets are one class with a count, whatever the number of copies. Classes are keyed by a digest of 128 bits and numbered.
 
-Words are runs of word characters of the lower-cased text. A text of one to four words has one
+Words are runs of letters, numbers, combining marks and low lines of the lower-cased text, as in the SQL. A text of one to four words has one
 n-gram, of all its words. Defined cases: a null or empty text, or one without words, has no n-gram, links
 with nothing and is kept. Rows with one id and text are copies. Rows with a null id follow their class;
 a class without any id is linked like others, and of a component without any id the smallest hash of a text is kept.
+Ids may be of any ordered type.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspan.llm.common import checkpointed, shuffle_width, slices, sorted_groups, texts
+from litspan.llm import bpe
+from litspan.llm.common import checkpointed, join_told, shuffle_width, slices, sorted_groups, texts
 from litspan.llm.components import connected_components
 from litspan.llm.embeddings import spanning
 
@@ -50,7 +52,6 @@ ALIKE = 0.5  # mean similarity from which a bucket is not split further
 BLOCK = 2048  # sets of a block
 BLOCK_BYTES = 16 << 20  # and bytes of their n-grams
 SLACK = 4.5  # standard deviations of a signature's estimate that a candidate may be off
-_WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,18 +83,35 @@ class Words(dict):
         return h
 
 
-def ngram_set(text: str, words: Words, n: int = WORDS) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word n-grams."""
-    found = _WORD.findall(text.lower())
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    n = min(n, len(found))
-    mixed = np.full(len(found) - n + 1, n, np.uint64)
-    for k in range(n):
-        mixed = (mixed ^ hashes[k : k + len(mixed)]) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+@cache
+def _in_words() -> np.ndarray:
+    """Whether a code point is part of a word."""
+    table = np.zeros(0x110000, bool)
+    table[bpe.members(r"[\p{L}\p{N}\p{M}_]")] = True
+    return table
+
+
+def ngram_sets(batch: list[str], words: Words, n: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word n-grams."""
+    lower = [t.lower() for t in batch]
+    whole = "\n".join(["", *lower, ""])  # no word crosses a line
+    inside = _in_words()[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    hashes = np.fromiter(map(words.__getitem__, map(whole.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, len(starts))
+    borders = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in lower)]))
+    out = []
+    for lo, hi in zip(borders, borders[1:], strict=False):
+        size = min(n, hi - lo)
+        if not size:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        mixed = np.full(hi - lo - size + 1, size, np.uint64)
+        for k in range(lo, lo + size):
+            mixed = (mixed ^ hashes[k : k + len(mixed)]) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+        out.append(np.unique(mixed))
+    return out
 
 
 def _factors(count: int = SKETCH, seed: int = 11) -> np.ndarray:
@@ -115,8 +133,8 @@ def minima(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = WORDS) -> DataFrame:
-    """Columns id, row_key (hash of the text), node (64 bits of the set's digest, null if empty), size, tokens, sketch."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("row_key"), F.col(text_column).alias("text"))
+    """Columns id, row_key (hash of the text), digest (of the set, null if empty), size, tokens, sketch."""
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key"), F.col(text_column).alias("text"))
     factors = _factors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +142,18 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         for batch in batches:
             whole = texts(batch.column(2))
             for lo, hi in slices(batch, [len(t) for t in whole], 1 << 20):
-                sets = [ngram_set(t, words, n) for t in whole[lo:hi]]
-                nodes = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
+                sets = ngram_sets(whole[lo:hi], words, n)
+                digests = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
                 least = [minima(s, factors) if len(s) else None for s in sets]
                 tokens = [m[:COORDINATES].astype("<u4").tobytes() if m is not None else None for m in least]
                 marks = [m.astype(np.uint8).tobytes() if m is not None else None for m in least]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(tokens, pa.binary()), pa.array(marks, pa.binary())],
-                    names=["id", "row_key", "node", "size", "tokens", "sketch"],
+                    [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(tokens, pa.binary()), pa.array(marks, pa.binary())],
+                    names=["id", "row_key", "digest", "size", "tokens", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "id long, row_key long, node long, size long, tokens binary, sketch binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row_key long, digest binary, size long, tokens binary, sketch binary")
 
 
 def _token(at: str) -> str:
@@ -154,7 +172,8 @@ def buckets(classes: DataFrame, runs: int) -> DataFrame:
     done: DataFrame | None = None
     for depth in range(DEPTH + 1):
         paths = checkpointed(paths)
-        sized = checkpointed(paths.join(paths.groupBy("key").count().where("count > 1"), "key"))
+        counts = paths.groupBy("key").count().where("count > 1")
+        sized = checkpointed(join_told(paths, counts, "key", "count", paths.count(), "inner"))
         if depth == DEPTH:
             return done.union(sized.select("key", "node", crowd))
         small = sized.where(F.col("count") <= SMALL).select("key", "node", F.lit(1).alias("blocks"))
@@ -166,10 +185,10 @@ def buckets(classes: DataFrame, runs: int) -> DataFrame:
         # the mean similarity of a bucket: how often two members share one of four sampled tokens
         probes = members.select("key", "count", F.expr(f"explode(transform(sequence(0, 3), j -> xxhash64(j, {_token(f'pmod(hash(key, j, -1), {COORDINATES})')})))").alias("token"))
         shares = probes.groupBy("key", "token").agg(F.count("*").alias("n"), F.first("count").alias("count"))
-        alike = shares.groupBy("key").agg((F.sum(F.col("n") * F.col("n")) / F.first(4.0 * F.col("count") * F.col("count"))).alias("mean"))
-        alike = checkpointed(alike.select("key", (F.col("mean") >= ALIKE).alias("alike")))
-        done = done.union(members.join(alike.where("alike"), "key", "left_semi").select("key", "node", crowd))
-        split = members.join(alike.where("NOT alike"), "key", "left_semi")
+        alike = shares.groupBy("key").agg((F.sum(F.col("n") * F.col("n")) / F.first(4.0 * F.col("count") * F.col("count"))).alias("mean"), F.first("count").alias("many"))
+        judged = checkpointed(join_told(members, alike.select("key", "many", (F.col("mean") >= ALIKE).alias("alike")), "key", "many", members.count(), "inner"))
+        done = done.union(judged.where("alike").select("key", "node", crowd))
+        split = judged.where("NOT alike")
         branch = f"explode(transform(sequence(1, {BRANCHES}), j -> xxhash64(key, j, {_token(f'pmod(hash(key, j), {COORDINATES})')})))"
         paths = split.select(F.expr(branch).alias("key"), "node")
     return done
@@ -178,13 +197,21 @@ def buckets(classes: DataFrame, runs: int) -> DataFrame:
 def in_pairs_of_blocks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Deal rows (key, node, ``blocks``) out to every task in which their block takes part: key, p, q, own, columns; sorted.
 
-    A bucket of one block is one task; others have one for each pair of blocks p <= q.
+    A bucket of one block is one task; others have one for each pair of blocks p <= q. With columns ``level``, ``below`` and
+    ``above`` (blocks of the neighbouring levels) the blocks are those of a level, and pairs are made within it and with its neighbours only.
     """
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tasks = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("p"), F.greatest(b, F.col("own")).alias("q")))
+    level, below, above = (F.col(c) if c in rows.columns else F.lit(0) for c in ("level", "below", "above"))
+    name = lambda at, b: (at.cast("long") * (1 << 32) + b)
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = name(level, mine)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    tasks = F.concat(
+        F.transform(upto(F.col("blocks")), lambda b: pair(name(level, F.least(b, mine)), name(level, F.greatest(b, mine)))),
+        F.transform(upto(above), lambda b: pair(own, name(level + 1, b))),
+        F.transform(upto(below), lambda b: pair(name(level - 1, b), own)),
     )
-    dealt = rows.withColumn("own", own).select(key, F.explode(tasks).alias("task"), "own", *columns)
+    dealt = rows.select(key, F.explode(tasks).alias("task"), own.alias("own"), *columns)
     dealt = dealt.select(key, F.col("task.p").alias("p"), F.col("task.q").alias("q"), "own", *columns)
     return dealt.repartition(shuffle_width(rows), key, "p", "q").sortWithinPartitions(key, "p", "q", "own", "node")
 
@@ -277,25 +304,37 @@ def intersections(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
 def verified(docs: DataFrame, members: DataFrame, threshold: float, n: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each class with exact links: node, links, parent.
 
-    ``members`` has component, node, id, row_key, copies, size. Every pair of a component is
-    compared, in blocks of components that are large; the texts of candidates are shuffled once.
+    ``members`` has component, node, id, row_key, copies, size. Every pair of a component whose sizes can be alike is
+    compared; the texts of candidates are shuffled once.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("grams") * 8 / BLOCK_BYTES)).cast("int")
-    wanted = members.join(sizes.select("component", blocks.alias("blocks")), "component").select("component", "blocks", "node", "id", "row_key", "copies")
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("row_key"), F.col(text_column).alias("text"))
-    wanted = wanted.withColumnsRenamed({"id": "wanted_id", "row_key": "wanted_key"})
-    whole = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select("component", "blocks", "node", "copies", "text")
+    graded = members.withColumn("level", F.floor(F.log("size") / -math.log(threshold)).cast("int"))
+    levels = graded.groupBy("component", "level").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
+    whole = Window.partitionBy("component")
+    order = whole.orderBy("level")
+    beside = lambda f, by: F.coalesce(F.when(f("level").over(order) == F.col("level") + by, f("blocks").over(order)), F.lit(0))
+    levels = levels.withColumn("blocks", blocks).withColumns({"all_sets": F.sum("sets").over(whole), "all_grams": F.sum("grams").over(whole), "below": beside(F.lag, -1), "above": beside(F.lead, 1)})
+    one = (F.col("all_sets") <= BLOCK) & (F.col("all_grams") * 8 <= BLOCK_BYTES)  # of the whole component: no levels
+    levels = levels.select(F.struct("component", "level").alias("at"), "sets", one.alias("one"), *[F.when(one, other).otherwise(F.col(c)).alias(c) for c, other in (("blocks", 1), ("below", 0), ("above", 0))])
+    wanted = join_told(graded.withColumn("at", F.struct("component", "level")), levels, "at", "sets", members.count(), "inner")
+    wanted = wanted.withColumn("level", F.when(F.col("one"), 0).otherwise(F.col("level")))
+    columns = ["component", "blocks", "level", "below", "above", "node", "copies"]
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key"), F.col(text_column).alias("text"))
+    wanted = wanted.select(*columns, F.col("id").alias("wanted_id"), F.col("row_key").alias("wanted_key"))
+    whole = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("row_key") == F.col("wanted_key"))).select(*columns, "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
+        seen: set[int] = set()  # rows that repeat an id and a text come back for one class
         for batch in batches:
-            whole = texts(batch.column(4))
+            fresh = [n not in seen and not seen.add(n) for n in batch.column(5).to_pylist()]
+            batch = batch.filter(pa.array(fresh))
+            whole = texts(batch.column(7))
             for lo, hi in slices(batch, [len(t) for t in whole], 1 << 20):
-                found = [ngram_set(t, words, n).tobytes() for t in whole[lo:hi]]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:4], pa.array(found, pa.binary())], names=["component", "blocks", "node", "copies", "grams"])
+                found = [s.tobytes() for s in ngram_sets(whole[lo:hi], words, n)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:7], pa.array(found, pa.binary())], names=[*columns, "grams"])
 
-    grams = whole.mapInArrow(sets, "component long, blocks int, node long, copies long, grams binary")
+    grams = whole.mapInArrow(sets, "component long, blocks int, level int, below int, above int, node long, copies long, grams binary")
     dealt = in_pairs_of_blocks(grams, "component", ["node", "copies", "grams"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,23 +371,24 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row for each document: the id, ``row_key`` (hash of the text), ``class_id`` (smallest id with an equal
     set), ``n_links`` (other documents linked directly), ``component_id`` (smallest id reachable), ``kept``."""
     rows = checkpointed(signatures(docs, id_column, text_column, n))
-    full = rows.where(F.col("node").isNotNull())
+    full = rows.where(F.col("digest").isNotNull())
     named = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_key"))), F.min(F.struct("id", "row_key"))).alias("name")
-    classes = full.groupBy("node").agg(named, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
-    classes = checkpointed(classes.select("node", "name.id", "name.row_key", "copies", "size", "tokens", "sketch"))
+    classes = full.groupBy("digest").agg(named, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    # numbered and written at once, so the numbers stay
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "name.id", "name.row_key", "copies", "size", "tokens", "sketch"))
     pairs = candidates(buckets(classes, plan_runs(threshold, recall)), classes, threshold)
     loose = connected_components(pairs)
-    members = classes.drop("tokens", "sketch").join(loose, "node")
-    found = checkpointed(verified(docs, members, threshold, n, id_column, text_column))
+    members = classes.drop("digest", "tokens", "sketch").join(loose, "node")
+    found = checkpointed(verified(docs, checkpointed(members), threshold, n, id_column, text_column))
     links = found.groupBy("node").agg(F.sum("links").alias("more"))
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
-    first = groups.join(classes.select("node", "id", "row_key"), "node").groupBy("component").agg(F.min("id").alias("component_id"), F.min("row_key").alias("least_key"))
-    grouped = groups.join(first, "component").select("node", "component_id", "least_key")
-    told = classes.select("node", F.col("id").alias("class_id"), F.col("row_key").alias("class_key"), "copies").join(links, "node", "left").join(grouped, "node", "left")
-    told = told.select(F.col("node").alias("of"), "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("least_key", "class_key").alias("least_key"))
+    named = checkpointed(groups.join(classes.select("node", "id", "row_key"), "node"))
+    first = named.groupBy("component").agg(F.min("id").alias("component_id"), F.min("row_key").alias("least_key"), F.count("*").alias("n"))
+    grouped = join_told(named.select("component", "node"), first, "component", "n", named.count(), "inner").select("node", "component_id", "least_key")
+    told = classes.select("node", "digest", F.col("id").alias("class_id"), F.col("row_key").alias("class_key"), "copies").join(links, "node", "left").join(grouped, "node", "left")
+    told = told.select("digest", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("least_key", "class_key").alias("least_key"))
     # only classes of copies or links are joined back; other documents stand alone
-    mixed = told.where("n_links > 0")
-    out = rows.select("id", "row_key", "node").join(mixed, F.col("node") == F.col("of"), "left")
+    out = join_told(rows.select("id", "row_key", "digest"), checkpointed(told.where("n_links > 0")), "digest", "copies", rows.count())
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_column), "row_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

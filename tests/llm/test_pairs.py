@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+import regex
 
-from litspan.llm import components, embeddings, ngrams
+from litspan.llm import common, components, embeddings, ngrams
 
 
 def brute_components(n, edges):
@@ -35,6 +36,15 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_components_around_hubs(spark, monkeypatch):
+    """Stars, and hubs that are the largest of their neighbours, with hubs met by broadcast."""
+    monkeypatch.setattr(common, "HOTTEST", 4)
+    edges = [(0, k) for k in range(1, 200)] + [(900, k) for k in range(300, 400)] + [(399, 950), (950, 951), (10, 960), (960, 970)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = brute_components(1000, edges)
+    assert got == {x: want[x] for e in edges for x in e}
+
+
 def vectors():
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
@@ -67,6 +77,18 @@ def test_crowded_buckets_in_blocks(spark):
     check_vectors(spark, [], recall=0.999999, block=16)
 
 
+def test_one_id_for_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 0.99]), (4, [0.05, 1.0]), (4, [1.0, -0.05])]
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    want = []
+    near = [[a[0] * b[0] + a[1] * b[1] >= 0.9 * np.hypot(*a) * np.hypot(*b) for _, b in rows] for _, a in rows]
+    groups = brute_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if near[i][j]])
+    for k, (i, _) in enumerate(rows):
+        least = min(x for (x, _), g in zip(rows, groups, strict=True) if g == groups[k])
+        want.append((i, sum(near[k]) - 1, least, i == least))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out.collect()) == sorted(want)
+
+
 def test_vectors_empty_and_null_ids(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     df = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
@@ -86,13 +108,35 @@ def texts():
         for _ in range(rng.randint(0, 3)):
             x[rng.randrange(80)] = rng.choice(words)
         out.append(" ".join(x))
-    out += [out[0]] * 7 + [out[3].upper() + "!", "", "  ", "one two", "One  two", None, "?!", "x" * 200_000, ("long " * 3) + " ".join(make(30_000))]
+    out += SCRIPTS + [out[0]] * 7 + [out[3].upper() + "!", "", "  ", "one two", "One  two", None, "?!", "x" * 200_000, ("long " * 3) + " ".join(make(30_000))]
     return out
 
 
+SCRIPTS = [
+    "नमस्ते दुनिया कैसे हो आप आज यहाँ", "नमस्तो दुनिये कैसा हे आपा आजु यहाि", "สวัสดี ชาวโลก วันนี้ เป็น อย่างไร บ้าง", "สวัสดู ชาวโลกี วันนู้ เป็ด อย่างใร บ้าน", "مُحَمَّد كَتَبَ كِتَابًا فِي المَدِينَة الكَبِيرَة", "مُحِمَّد كُتِبَ كُتَّابًا فَي المُدِينَة الكُبِيرَة",
+    "e\u0301te\u0301 a\u0300 la plage de nice avec toi", "ete a la plage de nice avec toi", "\u1c89 \ua7cb \U000105c0 x y z", "\u1c89 \ua7cb \U000105c1 x y z", "İstanbul ve ÇOK güzel bir şehir", "snake_case_word and two more of them",
+]
+
+
+def grams_of(text):
+    """The n-grams by a tokenizer of its own."""
+    words = regex.findall(r"[\p{L}\p{N}\p{M}_]+", (text or "").lower())
+    n = min(5, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+
+
+def test_ngrams_by_another_tokenizer():
+    rng = random.Random(3)
+    every = SCRIPTS + texts() + ["".join(rng.choice("ab é\u0301\u0302,_1\n") for _ in range(60)) for _ in range(300)]
+    many = ngrams.ngram_sets([t or "" for t in every], ngrams.Words())
+    for t, found in zip(every, many, strict=True):
+        assert len(found) == len(grams_of(t))
+        assert (found == ngrams.ngram_sets([t or ""], ngrams.Words())[0]).all()
+    assert len({f.tobytes() for f in many[: len(SCRIPTS)]}) == len(SCRIPTS)
+
+
 def brute_documents(rows):
-    words = ngrams.Words()
-    sets = [set(ngrams.ngram_set(t or "", words).tolist()) for _, t in rows]
+    sets = [grams_of(t) for _, t in rows]
     n = len(rows)
     near = [[bool(sets[i] and sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) - 1e-9 for j in range(n)] for i in range(n)]
     groups = brute_components(n, [(i, j) for i in range(n) for j in range(i) if near[i][j]])
@@ -102,8 +146,9 @@ def brute_documents(rows):
 @pytest.mark.parametrize("small", [512, 8])
 def test_documents_against_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(ngrams, "SMALL", small)
-    if small == 8:
+    if small == 8:  # splits, blocks, levels of size and keys that are broadcast
         monkeypatch.setattr(ngrams, "BLOCK", 16)
+        monkeypatch.setattr(common, "HOTTEST", 8)
     rows = list(enumerate(texts()))
     df = spark.createDataFrame([(i, t, i % 3, "clash", 1.0) for i, t in rows], "doc_id long, text string, node int, key string, sketch double")
     out = {r.doc_id: r for r in ngrams.jaccard_join(df).collect()}
@@ -120,6 +165,43 @@ def test_documents_empty_and_repeated(spark):
     assert sorted((r.doc_id or 0, r.n_links, r.component_id, r.kept) for r in out) == [(0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)]
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Isolated pairs with a similarity from 0.8 to 0.85: 0.99 of them are linked, at least."""
+    rng = random.Random(12)
+    rows, pairs = [], 0
+    while pairs < 1500:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 120))]
+        other = base[: rng.randint(int(len(base) * 0.85), len(base) - 1)]
+        a, b = grams_of(" ".join(base)), grams_of(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    found = ngrams.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+    assert found >= 0.99 * 2 * pairs
+
+
+def test_levels_of_size_compare_all_that_can_be_alike(spark, monkeypatch):
+    """One component of texts that grow word by word: no pair within reach is lost."""
+    monkeypatch.setattr(ngrams, "BLOCK", 8)
+    rows = [(k, " ".join(f"w{i}" for i in range(20 + k))) for k in range(60)]
+    out = {r.doc_id: r.n_links for r in ngrams.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size = [16 + k for k in range(60)]
+    assert all(out[k] == sum(5 * min(a, b) >= 4 * max(a, b) for b in size) - 1 for k, a in enumerate(size))
+
+
+def test_ids_of_another_type_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOTTEST", 4)
+    rows = [("a", "one two three four five six"), ("b", "one two three four five six"), ("c", "another text of a few words"), (None, None), ("d", None)]
+    rows += [(None, None)] * 20 + [("e", "said the very same thing once more")] * 30
+    out = ngrams.jaccard_join(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    told = {(r.doc_id, r.n_links, r.component_id, r.kept) for r in out}
+    assert len(out) == len(rows)
+    assert told == {("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True), (None, 0, None, True), ("d", 0, "d", True), ("e", 29, "e", True)}
+    vectors = [("x", [1.0, 0.0])] * 20 + [("y", [0.0, 1.0]), ("z", [0.01, 1.0])]
+    out = embeddings.near_duplicates(spark.createDataFrame(vectors, "vec_id string, embedding array<float>")).distinct().collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in out} == {("x", 19, "x", True), ("y", 1, "y", True), ("z", 1, "y", False)}
+
+
 def test_runs_reach_the_recall():
     assert ngrams.plan_runs(0.8, 0.9999) >= 7
     bits, tables = embeddings.plan_tables(10**9)
