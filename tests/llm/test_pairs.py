@@ -73,7 +73,11 @@ def test_vectors_against_all_pairs(spark):
         assert (out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True)
 
 
-def test_crowded_buckets_in_blocks(spark):
+def test_crowded_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CROWD", 20)
+    check_vectors(spark, [], recall=0.999999, block=16)
+    monkeypatch.setattr(embeddings, "FEW_KEYS", 0)
+    monkeypatch.setattr(common, "HOTTEST", 4)
     check_vectors(spark, [], recall=0.999999, block=16)
 
 
