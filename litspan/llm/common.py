@@ -52,6 +52,15 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+TASK_BYTES = 64 << 20
+
+
+def measured(docs: DataFrame, text_column: str) -> tuple[int, int]:
+    """The number of rows, and of shuffle partitions for their texts: the session's, or more so that one holds about TASK_BYTES."""
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_column)), F.lit(0))).first()
+    return rows, max(shuffle_width(docs), -(-size // TASK_BYTES))
+
+
 def slices(batch: pa.RecordBatch, weights: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` whose weights add up to about ``most`` (a row above it stands alone)."""
     start = total = 0

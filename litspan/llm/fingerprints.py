@@ -13,7 +13,8 @@ separated by ``,``, a paragraph being the short hashes (8 hex digits) of its sen
 texts' (below 1 at most 0.999999, so that 1 means equal).
 
 Defined cases: a null text counts as empty and has a root; two empty texts are alike by 1. Repeated
-rows keep one result each. Rows without id come last in descending order.
+rows keep one result each. Rows without id come last in descending order, rows of one id follow each other by a hash of their texts, descending.
+Ids are integers (any other type is a TypeError); other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspan.llm.common import shuffle_width
+from litspan.llm.common import measured
 
 SECTION = 8
 WORDS = 4
@@ -128,43 +129,70 @@ def edited_text(text: str, other: str) -> str:
 def with_successor(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int | None = None) -> DataFrame:
     """Rows dealt into ranges of descending id, each range sorted and followed by the document after it.
 
-    Columns: ``bucket``, ``follows`` (0 for a document of the range, 1 for copies of the next range's
-    first), ``id``, ``text``. The text is shuffled once. The driver holds only the range borders (one for each
-    bucket), the ids' quantiles.
+    Columns: ``bucket``, ``follows`` (0 for a document of the range, 1 for the next range's
+    first, 2 for a row that repeats another one, which it follows), ``id``, ``tie`` (a hash of the text), ``text``. The text is shuffled once. The driver holds
+    only the range borders and tops (one for each bucket), the ids' quantiles. An id that fills several ranges is cut by ``tie``; of rows that repeat an id and a text
+    each task sends one to its range and deals the others out evenly.
     """
-    width = shuffle_width(docs)
+    _, width = measured(docs, text_column)
     buckets = buckets or 8 * width
-    rank = F.coalesce(F.col(id_column).cast("long"), F.lit(_LOWEST))
-    cuts = docs.select(rank.alias("id")).approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    borders = np.unique(np.array(cuts).astype(np.int64))
+    kind = docs.schema[id_column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids must be integers, not {kind}")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    cuts = rows.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
+    border_ids, repeats = np.unique(np.array(cuts, float).astype(np.int64), return_counts=True)
+    # an id that is several borders has so many ranges, of equal widths of the hash
+    inner = {i: np.array([k * ((1 << 64) // n) - (1 << 63) for k in range(1, n)], np.int64) for i, n in zip(border_ids.tolist(), repeats.tolist(), strict=True) if n > 1}
+    shift = np.concatenate([[0], np.cumsum(repeats)])
+
+    def bucket_of(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        bucket = shift[np.searchsorted(border_ids, ids)]
+        for i in set(np.unique(ids).tolist()) & inner.keys():
+            own = ids == i
+            bucket[own] += np.searchsorted(inner[i], ties[own])
+        return bucket
 
     def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            order = np.sort(ids)
-            bucket = np.searchsorted(borders, order)
+            ids, ties = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.lexsort((ties, ids))
+            ids, ties = ids[order], ties[order]
+            bucket = bucket_of(ids, ties)
             last = np.flatnonzero(np.diff(bucket, append=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[last], pa.int64()), pa.array(order[last])], names=["bucket", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[last], pa.int64()), pa.array(ids[last]), pa.array(ties[last])], names=["bucket", "id", "tie"])
 
-    tops = docs.select(rank.alias("id")).mapInArrow(first_of, "bucket long, id long").groupBy("bucket").agg(F.max("id").alias("id")).collect()
-    tops = sorted((r.bucket, r.id) for r in tops)
-    top_ids = np.array([t[1] for t in tops], np.int64)
-    before = np.array([tops[(i + 1) % len(tops)][0] for i in range(len(tops))], np.int64)  # the range that the top follows
+    tops = rows.select("id", "tie").mapInArrow(first_of, "bucket long, id long, tie long").groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("top")).collect()
+    tops = sorted((r.bucket, r.top.id, r.top.tie) for r in tops)
+    follower_of = {(i, t): tops[(k + 1) % len(tops)][0] for k, (_, i, t) in enumerate(tops)}  # the range that the top follows
+    names = ["bucket", "follows", "id", "tie", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        repeated = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            bucket = np.searchsorted(borders, ids)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(np.zeros(len(ids), np.int32)), batch.column(0), batch.column(1)], names=["bucket", "follows", "id", "text"])
-            at = np.minimum(np.searchsorted(top_ids, ids), len(top_ids) - 1)
-            copied = np.flatnonzero(top_ids[at] == ids)
-            if len(copied):
+            if len(seen) > 1 << 18:
+                seen.clear()
+            ids, ties = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            bucket, follows = bucket_of(ids, ties), np.zeros(len(ids), np.int32)
+            copied, to = [], []
+            for k, key in enumerate(zip(ids.tolist(), ties.tolist(), strict=True)):
+                if key in seen:
+                    bucket[k], follows[k] = repeated % buckets, 2
+                    repeated += 1
+                    continue
+                seen.add(key)
+                if key in follower_of:
+                    copied.append(k)
+                    to.append(follower_of[key])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(follows), *batch.columns], names=names)
+            if copied:
                 part = batch.take(pa.array(copied))
-                yield pa.RecordBatch.from_arrays([pa.array(before[at[copied]]), pa.array(np.ones(len(copied), np.int32)), part.column(0), part.column(1)], names=["bucket", "follows", "id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.ones(len(copied), np.int32)), *part.columns], names=names)
 
-    rows = docs.select(rank.alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    dealt = rows.mapInArrow(deal, "bucket long, follows int, id long, text string").repartition(width, "bucket")
-    return dealt.sortWithinPartitions("bucket", "follows", F.desc("id"), "text")
+    dealt = rows.mapInArrow(deal, "bucket long, follows int, id long, tie long, text string").repartition(width, "bucket")
+    return dealt.sortWithinPartitions("bucket", "follows", F.desc("id"), F.desc("tie"), "text")
 
 
 def fingerprint_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -174,19 +202,27 @@ def fingerprint_documents(docs: DataFrame, id_column: str = "doc_id", text_colum
     ``near_edited``, ``near_next``. A task holds two texts beside its batch.
     """
 
+    def result(i: int, text: str, mark: str, following: str, follower: str) -> tuple:
+        changed = edited_text(text, following)
+        edited = fingerprint(changed)
+        return (None if i == _LOWEST else i, len(text), hashlib.sha256(changed.encode()).hexdigest(), mark, edited, likeness(mark, edited), likeness(mark, follower))
+
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        last = None  # bucket, id, text, fingerprint of a document that waits for the next one
+        last = None  # id, text, fingerprint of a document that waits for the next one
+        same = None  # the last repeated row's text and result
         for batch in batches:
-            for bucket, follows, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last is None and follows:
-                    continue  # further copies of the one that closed the range
-                mark = fingerprint(text)
-                if last is not None:
-                    changed = edited_text(last[2], text)
-                    edited = fingerprint(changed)
-                    rows.append((None if last[1] == _LOWEST else last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), last[3], edited, likeness(last[3], edited), likeness(last[3], mark)))
-                last = None if follows else (bucket, i, text, mark)
+            for _, follows, i, _, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if follows == 2:
+                    if same is None or same[0] != text:
+                        mark = fingerprint(text)
+                        same = text, result(i, text, mark, text, mark)
+                    rows.append((None if i == _LOWEST else i, *same[1][1:]))
+                elif last is not None or not follows:  # else one more copy of the one that closed the range
+                    mark = fingerprint(text)
+                    if last is not None:
+                        rows.append(result(*last, text, mark))
+                    last = None if follows else (i, text, mark)
                 if len(rows) >= 512:
                     yield pack(rows)
                     rows = []

@@ -7,8 +7,11 @@ room for it; where none has, the piece is cut and fills the roomiest. A block op
 sequences as its remainders fill, and sequences of distinct powers of two for what is left, so
 nothing is padded.
 
+Blocks are dealt by id, text and a part of the scan, so rows that share an id, or even repeat whole, don't meet in one block; a block is packed in parts of bounded size
+as it streams by.
+
 Defined cases: a null or empty text is the closing id alone. Repeated rows, also with the same id,
-are packed as separate documents. An empty table gives no pieces.
+are packed as separate documents. An empty table gives no pieces. Ids may be of any type, other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litspan.llm.bpe import CHUNK, Merged, encode, encoder
-from litspan.llm.common import shuffle_width, slices, sorted_groups, texts
+from litspan.llm.common import measured, slices, texts
 
 LENGTH = 2048
 CLOSING = 1
 SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's one special token, and its id
 SPECIAL_ID = 50256
 BLOCK_DOCS = 1024  # mean documents of a block
-MOST_DOCS = 8192  # a block with more (many rows of one id) is packed in parts of so many
+MOST_DOCS = 8192  # a block with more is packed in parts of so many,
+PART_BYTES = 64 << 20  # and so many bytes of ids (a document above that is a part of its own)
+SCANS = 64  # parts of the scan by which rows are dealt
 
 
 def encode_with_special(batch: list[str], merged: Merged) -> list[bytes]:
@@ -96,45 +101,66 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id",
 
     Columns: the id, ``start`` (ids of the document before the piece), ``length``, ``ids`` binary
     (the piece's unsigned 16-bit ids), ``doc_tokens``, ``sequence_id``, ``offset``. One shuffle, of the
-    two-byte ids; a task holds one block.
+    two-byte ids; a task holds one part of a block. Sequences are numbered through each block.
     """
-    blocks = max(1, math.ceil(docs.count() / block_docs))
-    rows = token_rows(docs, vocabulary, id_column, text_column).select(
-        F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias("block"), id_column, F.length("ids").alias("n"), "ids"
-    )
-    kind = rows.schema[id_column].dataType.simpleString()
+    count, width = measured(docs, text_column)
+    blocks = max(1, math.ceil(count / block_docs))
+    rows = token_rows(docs, vocabulary, id_column, text_column)
+    block = F.pmod(F.xxhash64(id_column, "ids", F.pmod(F.spark_partition_id(), F.lit(SCANS))), F.lit(blocks))
+    rows = rows.select(block.alias("block"), F.col(id_column).alias("id"), F.length("ids").alias("n"), "ids")
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["block"]):
-            block, part = group.column(0)[0].as_py(), 0
-            for k in range(0, group.num_rows, MOST_DOCS):
-                yield pack_block(group.slice(k, MOST_DOCS), (block << 32) + (part << 20), length)
-                part += 1
+        current, made = None, 0
+        for block, group in parts(batches):
+            current, made = block, made if block == current else 0
+            pieces, sequences = pack_block(group, (block << 32) + made, length, id_column)
+            made += sequences
+            yield pieces
 
     schema = f"`{id_column}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     # The order within a block decides the packing, so it must not hang on how rows arrive.
-    dealt = rows.repartition(shuffle_width(docs), "block").sortWithinPartitions("block", id_column, "n", F.crc32("ids"))
+    dealt = rows.repartition(width, "block").sortWithinPartitions("block", "id", "n", F.crc32("ids"))
     return dealt.mapInArrow(run, schema)
 
 
-def pack_block(group: pa.Table, first: int, length: int) -> pa.RecordBatch:
-    """The pieces of one block; sequences are numbered from ``first``."""
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Cut rows (block, id, n, ids) sorted by block into parts of one block and of bounded numbers of rows and bytes."""
+    held: list[pa.RecordBatch] = []
+    last, rows, size = None, 0, 0
+    for batch in batches:
+        start = 0
+        for i, (block, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if block != last or rows == MOST_DOCS or size + n > PART_BYTES:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield last, pa.Table.from_batches(held)
+                held, last, rows, size, start = [], block, 0, 0, i
+            rows += 1
+            size += n
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def pack_block(group: pa.Table, first: int, length: int, id_column: str) -> tuple[pa.RecordBatch, int]:
+    """The pieces of one part of a block, and its number of sequences, numbered from ``first``."""
     ids = [np.frombuffer(x, "<u2") for x in group.column("ids").to_pylist()]
-    names = group.column(1).combine_chunks()
+    names = group.column("id").combine_chunks()
     pieces = pack_lengths(np.array([len(x) for x in ids], np.int64), length)
     doc, start, size, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-    return pa.RecordBatch.from_arrays(
-        [
-            names.take(pa.array(doc)),
-            pa.array(start),
-            pa.array(size),
-            pa.array([ids[d][a : a + n].tobytes() for d, a, n in zip(doc, start, size, strict=True)], pa.binary()),
-            pa.array([len(ids[d]) for d in doc], pa.int64()),
-            pa.array(sequence + first),
-            pa.array(offset),
-        ],
-        names=[group.column_names[1], "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-    )
+    columns = [
+        names.take(pa.array(doc)),
+        pa.array(start),
+        pa.array(size),
+        pa.array([ids[d][a : a + n].tobytes() for d, a, n in zip(doc, start, size, strict=True)], pa.binary()),
+        pa.array([len(ids[d]) for d in doc], pa.int64()),
+        pa.array(sequence + first),
+        pa.array(offset),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]), int(sequence.max()) + 1
 
 
 def piece_checksums(pieces: DataFrame) -> DataFrame:

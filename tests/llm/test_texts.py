@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -111,6 +112,56 @@ def test_packing(spark):
     assert all(summed[r.doc_id, r.start] == zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in out)
 
 
+def slow_pack(lengths, length=2048):
+    """Lowest cost that has room, else the roomiest, by lists; costs are n + n * n / 2048 for each piece."""
+    pieces, sequences = [], []
+    for d, n in enumerate(lengths):
+        for k in range(n // length):
+            pieces.append((d, k * length, length, len(sequences), 0))
+            sequences.append(None)
+    left = sum(n % length for n in lengths)
+    first, rooms = len(sequences), [length] * (left // length)
+    rooms += [1 << b for b in reversed(range(12)) if left % length >> b & 1]
+    filled = [[] for _ in rooms]
+    for d in sorted(range(len(lengths)), key=lambda d: (-(lengths[d] % length), d)):
+        need = lengths[d] % length
+        while need:
+            room = [r - sum(f) for r, f in zip(rooms, filled, strict=True)]
+            cost = [sum(n + n * n / 2048 for n in f) for f in filled]
+            able = [s for s in range(len(rooms)) if room[s] >= need]
+            s = min(able, key=lambda s: (cost[s], s)) if able else max(range(len(rooms)), key=lambda s: (room[s], -s))
+            n = min(need, room[s])
+            pieces.append((d, lengths[d] - need, n, first + s, sum(filled[s])))
+            filled[s].append(n)
+            need -= n
+    return pieces
+
+
+def test_balance_equals_a_slow_version():
+    rng = random.Random(9)
+    for size in (1, 2, 7, 40):
+        for top in (30, 3000, 9000):
+            lengths = [rng.randint(1, top) for _ in range(size)] + [500] * 5
+            assert packing.pack_lengths(np.array(lengths)) == slow_pack(lengths)
+
+
+def test_packing_of_hot_ids_in_parts(spark, monkeypatch):
+    """Half of all rows have one id, a quarter repeats whole: blocks stay near their mean, and no sequence number is used twice."""
+    rows = [(7, f"text {k} of it") for k in range(200)] + [(7, "same")] * 200 + [(k, f"other {k} one") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    out = packing.pack_documents(df, PLAIN, block_docs=40).collect()
+    per_block: dict[int, int] = {}
+    for r in out:
+        if r.start == 0:
+            per_block[r.sequence_id >> 32] = per_block.get(r.sequence_id >> 32, 0) + 1
+    assert sum(per_block.values()) == len(rows) and max(per_block.values()) <= 100
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * 50 + [4] * 5), pa.array(range(55)), pa.array([2000] * 55), pa.array([b"ab" * 1000] * 55)], names=["block", "id", "n", "ids"])
+    monkeypatch.setattr(packing, "MOST_DOCS", 8)
+    monkeypatch.setattr(packing, "PART_BYTES", 10_000)
+    cut = [(block, t.num_rows) for block, t in packing.parts(iter([batch.slice(0, 7), batch.slice(7)]))]
+    assert cut == [(3, 5)] * 10 + [(4, 5)]
+
+
 def test_packing_empty_and_repeated(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(none, PLAIN).count() == 0
@@ -165,6 +216,73 @@ def test_fingerprints_of_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.n_chars) for r in fingerprints.fingerprint_documents(df).collect()) == [(0, 1), (5, 1), (5, 1), (5, 1), (7, 0)]
 
 
+def slow_fingerprint(text):
+    """The tree by its description, and the leaves it has."""
+    h = lambda b: hashlib.blake2b(b, digest_size=16).digest()
+    sections, leaves, body, tops = [[]], [], "", b""
+    for paragraph in text.split("\n"):
+        sentences = []
+        for sentence in paragraph.split(". "):
+            runs = [[]]
+            for word in sentence.split(" "):
+                runs[-1].append(word)
+                if zlib.crc32(word.encode()) % 4 == 0:
+                    runs.append([])
+            sentences.append([h(" ".join(r).encode()) for r in runs if r])
+        leaves += [x[:4].hex() for s in sentences for x in s]
+        node = h(b".".join(b"".join(s) for s in sentences))
+        sections[-1].append((node, "".join(x[:4].hex() for s in sentences for x in s)))
+        if node[0] % 8 == 0:
+            sections.append([])
+    for s in sections:
+        tops += h(b"".join(n for n, _ in s))
+    body = ";".join(",".join(m for _, m in s) for s in sections)
+    return f"{h(tops).hex()};{body}", sorted(leaves)
+
+
+def slow_likeness(a, b):
+    (mark, x), (other, y) = slow_fingerprint(a), slow_fingerprint(b)
+    if mark[:32] == other[:32]:
+        return 1.0
+    rest, shared = list(y), 0
+    for leaf in x:
+        if leaf in rest:
+            rest.remove(leaf)
+            shared += 1
+    return min(2 * shared / (len(x) + len(y)), 0.999999)
+
+
+def test_fingerprints_against_a_slow_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: -r.doc_id)
+    out = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs).collect()}
+    plain = [r.text or "" for r in rows]
+    for k, r in enumerate(rows):
+        following = plain[(k + 1) % len(plain)]
+        changed = fingerprints.edited_text(plain[k], following)
+        got = out[r.doc_id]
+        assert (got.fingerprint, got.edited_fingerprint) == (slow_fingerprint(plain[k])[0], slow_fingerprint(changed)[0])
+        assert got.near_edited == slow_likeness(plain[k], changed) and got.near_next == slow_likeness(plain[k], following)
+
+
+def test_fingerprints_of_hot_ids(spark):
+    """Half of all rows have one id: copies of a text, and different texts."""
+    rows = [(7, "the same text")] * 200 + [(7, f"text {k} of it") for k in range(200)] + [(k, f"other {k} one") for k in range(100, 300)] + [(None, f"none {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(6)
+    dealt = fingerprints.with_successor(df, buckets=64)
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 40 and sum(sizes) <= len(rows) + 64 * 6
+    out = fingerprints.fingerprint_documents(df).collect()
+    assert len(out) == len(rows) and sum(r.near_next == 1 for r in out) == 199
+    order = sorted(set(rows), key=lambda r: -(r[0] if r[0] is not None else -1))
+    want = {r.doc_id: r for r in out if r.doc_id in range(101, 300)}
+    for (i, t), (_, following) in zip(order, order[1:], strict=False):
+        if i is not None and 100 < i:
+            assert want[i].near_next == slow_likeness(t, following)
+    with pytest.raises(TypeError):
+        fingerprints.fingerprint_documents(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_edits_are_located():
     lines = [f"line {i} of the text. It goes on." for i in range(60)]
     other = list(lines)
