@@ -73,6 +73,14 @@ def slices(batch: pa.RecordBatch, weights: list[int], most: int) -> Iterator[tup
         yield start, len(weights)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (case counts for nothing)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """A string column as a list; null counts as the empty text."""
     return [x or "" for x in column.to_pylist()]

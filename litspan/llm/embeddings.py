@@ -176,9 +176,11 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def linked(members: DataFrame, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """For each class and bucket in which it has links: ``node``, ``links`` (counted once), ``parent``. ``members``: node, copies, v, keys.
 
-    ``block`` is the number of vectors of a block; by default those that fill BLOCK_BYTES.
+    ``block`` is the number of vectors of a block; by default so many that all members in one bucket would make as many pairs of blocks as there are
+    partitions, but 256 at least and BLOCK_BYTES at most.
     """
-    room = F.lit(block) if block else F.greatest(F.lit(256), F.floor(F.lit(BLOCK_BYTES / 8) / F.size("v")))
+    spread = math.ceil(members.count() / math.sqrt(2 * shuffle_width(members)))
+    room = F.lit(block) if block else F.greatest(F.lit(256), F.least(F.floor(F.lit(BLOCK_BYTES / 8) / F.size("v")), F.lit(spread)))
     rows = with_crowds(members.select(F.explode("keys").alias("key"), "node", "copies", "v", "keys"), block or 256)
     rows = rows.withColumn("blocks", F.coalesce(F.ceil(F.col("crowd") / room).cast("int"), F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

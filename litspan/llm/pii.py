@@ -1,15 +1,15 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-Base spans come from four patterns (email, ip, card, phone). They seed the bootstrapping: every
-identifier-like token and every base span is an instance, the words beside it (to the left, with a ``key=``
-before it if there is one, and to the right) are lexical patterns. A pattern scores the mean
-confidence of its distinct instances, an instance the best score of its patterns with enough
-seeds; seeds keep confidence 1. Spark joins the pattern-instance graph in rounds. Instances that
-reach the threshold are unseen identifiers; their places are spans of kind ``id``, beside the base ones.
-
-Defined cases: a null text is empty and has no span. Rows are told apart by id and text; repeated rows
-have the same result each. Matches that fail a check (an address part above 255, Luhn, the number of digits)
-are dropped without a retry. Spans are code points, the end exclusive.
+Base spans come from four patterns (email, ip, card, phone). Their matches, and identifier-like tokens assigned to a name that
+tells a secret, are the seeds. Every seed and every identifier-like token is an instance, what stands around it are lexical patterns: the name it is assigned
+to, the two and the three words before it, the two words after it, and the pair of words beside it. For each kind of seed a pattern scores the mean
+confidence of its distinct instances, if ``SUPPORT`` of them are confident, and an instance the best score of its patterns; seeds keep confidence 1. Spark joins
+the pattern-instance graph in rounds. Discovered instances count like seeds in the next round, so scores only grow, and rounds go on until
+they grow by less than ``SETTLED`` in all. Instances that reach the threshold are unseen identifiers; their places are spans of kind ``id`` (``secret`` if that is
+what they are like), beside the base ones.
+
+Defined cases: a null text is empty and has no span. Repeated rows have the same result each, rows of one id too, each by its own text. Matches that fail a check (an address
+part above 255, Luhn, the number of digits) are dropped without a retry. Spans are code points, the end exclusive. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -18,16 +18,22 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspan.llm.common import checkpointed, slices, texts
+from litspan.llm.common import checkpointed, fresh, join_told, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
-FOUND = "id"
-ROUNDS = 3
-SUPPORT = 3  # distinct seeds that a pattern needs
+SECRET, FOUND = "secret", "id"
+ROUNDS = 30  # at most; scores that still grow then are taken as they are
+SETTLED = 0.01  # growth of all scores together, for each thousand of them, at which rounds end
+SUPPORT = 3  # distinct confident instances that a pattern needs
 CONFIDENT = 0.6  # from which an instance counts as an identifier
+CONTEXT = 96  # code points around an instance in which patterns are sought
+
+#: Names to which secrets are assigned (the last part of a name counts, as in api_token).
+SECRET_NAMES = frozenset("token secret password passwd passphrase pwd apikey credential credentials".split())
 
 #: The base patterns. An address' local part is the whole run before its "@", and digits are tried at the
 #: start of their run only, which finds the same matches without going over a run again and again.
@@ -37,11 +43,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: An identifier-like token: eight characters or more with three digits or more.
-_TOKEN = re.compile(r"\S+")
+#: An identifier-like token: eight characters or more with three digits or more, or groups of capitals and digits that make one.
+_TOKEN = re.compile(r"[^\s;,|&<>()\[\]{}\"'=]+")
+_GROUPS = re.compile(r"(?<![^\s:=\"'])[A-Z0-9]{2,6}(?:[ -][A-Z0-9]{1,6}){1,9}(?![^\s.,;:!?\"')\]])")
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
-_KEY = re.compile(r"[^\W\d_]{2,32}(?:[-_.][^\W\d_]{1,32}){0,3}[=:]")
+_KEY = re.compile(r"[^\W\d_]{2,32}(?:[-_.][^\W\d_]{1,32}){0,3}:")
 _WORD = re.compile(r"\w+")
+_NAME = re.compile(r"([^\W\d_]\w*)\s?(?:[=:]|=>|:=)\s?$")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_A-Za-z]+")
+_DIGITS = re.compile(r"\d")
 
 
 def luhn(digits: str) -> bool:
@@ -83,43 +93,63 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, str, bool, int, int]]:
-    """Instances with their patterns: text, left and right pattern, whether a seed, start, end."""
-    places = [(a, b, True) for _, a, b in spans]
-    taken = sorted((a, b) for a, b, _ in places)
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places of identifier-like tokens beside the ``taken`` spans (sorted), in order."""
+    out: list[tuple[int, int]] = []
     k = 0
-    if _DIGIT.search(text):
-        for m in _TOKEN.finditer(text):
-            word = m[0]
-            if len(word) < 8 or sum(map(word.count, "0123456789")) < 3:
+    groups = [m.span() for m in _GROUPS.finditer(text)]
+    for first, last in sorted([*groups, *(m.span() for m in _TOKEN.finditer(text) if len(m[0]) >= 8)]):
+        while k < len(taken) and taken[k][1] <= first:
+            k += 1
+        holes, at = [], k
+        while at < len(taken) and taken[at][0] < last:
+            holes.append(taken[at])
+            at += 1
+        edges = [first, *(x for hole in holes for x in hole), last]
+        for start, end in zip(edges[::2], edges[1::2], strict=True):
+            if end - start < 8 or sum(map(text[start:end].count, "0123456789")) < 3:
                 continue
-            start, end = m.span()
-            if key := _KEY.match(word):
-                start += key.end()
+            if key := _KEY.match(text, start, end):
+                start = key.end()
             core = _CORE.search(text, start, end)
-            if not core:
+            if not core or len(core[0]) < 8 or sum(map(core[0].count, "0123456789")) < 3:
                 continue
             start, end = core.span()
-            while k < len(taken) and taken[k][1] <= start:
-                k += 1
-            if end - start >= 8 and not (k < len(taken) and taken[k][0] < end):
-                places.append((start, end, False))
-    out = []
-    for start, end, seed in places:
-        before, after = text[max(0, start - 96) : start], text[end : end + 96]
-        before = before.rstrip("\"'([{<")
-        if key := re.search(r"(\w+)\s?[=:]\s?$", before):
-            left = key[1].lower() + "="
-        else:
-            words = _WORD.findall(before)
-            left = words[-1].lower() if words else "^"
-        words = _WORD.findall(after)
-        right = words[0].lower() if words else "$"
-        out.append((text[start:end], f"L {left}", f"R {right}", seed, start, end))
+            if not out or start >= out[-1][1]:
+                out.append((start, end))
+            elif end - start > out[-1][1] - out[-1][0]:
+                out[-1] = start, end
     return out
 
 
-_SCAN = "base array<struct<kind:string,start:bigint,stop:bigint>>, places array<struct<instance:bigint,left:bigint,right:bigint,seed:boolean,start:bigint,stop:bigint>>"
+def named(text: str, start: int) -> str:
+    """The last part of the name to which what starts there is assigned, in lower case; empty if there is none."""
+    found = _NAME.search(text[max(0, start - CONTEXT) : start].rstrip("\"'([{<`"))
+    parts = _PART.findall(found[1]) if found else []
+    return parts[-1].lower() if parts else ""
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns around a place; digits in them are alike."""
+    before = _WORD.findall(_DIGITS.sub("0", text[max(0, start - CONTEXT) : start].lower()))[-3:]
+    after = _WORD.findall(_DIGITS.sub("0", text[end : end + CONTEXT].lower()))[:2]
+    out = [f"= {name}"] if (name := named(text, start)) else []
+    out += [f"< {' '.join(before[-n:])}" for n in (2, 3) if len(before) >= n]
+    if len(after) == 2:
+        out.append(f"> {' '.join(after)}")
+    return [*out, f"<> {before[-1] if before else '^'} {after[0] if after else '$'}"]
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[str], str | None, int, int]]:
+    """Instances: text, patterns, the kind of seed (null if none), start, end."""
+    places = [(a, b, kind) for kind, a, b in spans]
+    if _DIGIT.search(text):
+        for a, b in candidates(text, sorted((a, b) for _, a, b in spans)):
+            places.append((a, b, SECRET if named(text, a) in SECRET_NAMES else None))
+    return [(text[a:b], patterns(text, a, b), kind, a, b) for a, b, kind in places]
+
+
+_SCAN = "base array<struct<kind:string,start:bigint,stop:bigint>>, places array<struct<instance:bigint,patterns:array<bigint>,kind:string,start:bigint,stop:bigint>>"
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -127,15 +157,13 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-    place = pa.list_(pa.struct([("instance", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("seed", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64())]))
+    place = pa.list_(pa.struct([("instance", pa.int64()), ("patterns", pa.list_(pa.int64())), ("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        def h(x: str) -> int:
-            n = xxhash.xxh3_64_intdigest(x)
-            return n - (1 << 64) if n >> 63 else n
+    def h(x: str) -> int:
+        n = xxhash.xxh3_64_intdigest(x)
+        return n - (1 << 64) if n >> 63 else n
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = texts(batch.column(2))
             for lo, hi in slices(batch, [len(t) for t in whole], 1 << 22):
@@ -143,7 +171,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 for t in whole[lo:hi]:
                     spans = base_spans(t)
                     base.append([{"kind": k, "start": a, "stop": b} for k, a, b in spans])
-                    places.append([{"instance": h(x), "left": h(le), "right": h(ri), "seed": s, "start": a, "stop": b} for x, le, ri, s, a, b in contexts(t, spans)])
+                    places.append([{"instance": h(x), "patterns": [h(p) for p in around], "kind": k, "start": a, "stop": b} for x, around, k, a, b in contexts(t, spans)])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(base, span), pa.array(places, place)], names=["id", "row_key", "base", "places"])
 
@@ -151,35 +179,47 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 def discovered(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """Instances (hashes) that are no seeds and reach the threshold.
+    """Instances (hashes) that are no base spans and reach the threshold, with ``kind``.
 
-    Pattern and instance scores are partial aggregates; a frequent pattern is one row after them.
+    Every edge carries the numbers of edges of its pattern and of its instance, so means need no further join, and ends with a large share of all edges are
+    met by broadcast. The driver sees two numbers of a round.
     """
-    places = scanned.select(F.explode("places").alias("p")).select("p.instance", "p.left", "p.right", "p.seed")
-    edges = places.select("instance", "seed", F.explode(F.array("left", "right")).alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    edges = checkpointed(edges)
-    seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("sure"))
-    known = seeds
-    for _ in range(rounds):
-        scored = edges.join(known, "instance").groupBy("pattern").agg(F.avg("sure").alias("mean"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        good = scored.where(F.col("seeds") >= support).select("pattern", "mean")
-        best = edges.join(good, "pattern").groupBy("instance").agg(F.max("mean").alias("best"))
-        known = checkpointed(seeds.join(best, "instance", "left").select("instance", F.greatest("sure", F.coalesce("best", F.lit(0.0))).alias("sure")))
-    return known.join(seeds.where("sure = 0").select("instance"), "instance", "left_semi").where(F.col("sure") >= confident).select("instance")
+    places = scanned.select(F.explode("places").alias("p")).select("p.instance", "p.kind", F.explode("p.patterns").alias("pattern"))
+    plain = checkpointed(places.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+    total = plain.count()
+    edges = join_told(plain, plain.groupBy("pattern").agg(F.count("*").alias("of_pattern")), "pattern", "of_pattern", total, "inner")
+    edges = checkpointed(join_told(edges, plain.groupBy("instance").agg(F.count("*").alias("of_instance")), "instance", "of_instance", total, "inner"))
+    first = lambda name: F.first(name).alias(name)
+    seeds = checkpointed(edges.where(F.col("kind").isNotNull()).groupBy("instance", "kind").agg(F.lit(1.0).alias("sure"), first("of_instance")))
+    known, before = seeds, (seeds.count(), float(seeds.count()))
+    ends = edges.select("pattern", "instance", "of_pattern")
+    for _ in range(rounds if before[0] else 0):
+        met = join_told(ends, known, "instance", "of_instance", total, "inner")
+        scored = met.groupBy("pattern", "kind").agg((F.sum("sure") / F.first("of_pattern")).alias("mean"), F.sum((F.col("sure") >= confident).cast("int")).alias("n"), first("of_pattern"))
+        good = scored.where(F.col("n") >= support).select("pattern", "kind", "mean", "of_pattern")
+        best = join_told(edges.select("pattern", "instance", "of_instance"), good, "pattern", "of_pattern", total, "inner").select("instance", "kind", F.col("mean").alias("sure"), "of_instance")
+        known = checkpointed(seeds.unionByName(best).groupBy("instance", "kind").agg(F.max("sure").alias("sure"), first("of_instance")))
+        after = tuple(known.agg(F.count("*"), F.coalesce(F.sum("sure"), F.lit(0.0))).first())
+        if after[1] - before[1] <= SETTLED * after[0] / 1000:
+            break
+        before = after
+    sure = known.where(F.col("sure") >= confident).groupBy("instance").agg(F.max_by("kind", F.struct("sure", "kind")).alias("like"))
+    based = seeds.where(F.col("kind") != SECRET).select("instance")
+    return sure.join(based, "instance", "left_anti").select("instance", F.when(F.col("like") == SECRET, SECRET).otherwise(FOUND).alias("kind"))
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: the id, row_key, ``base`` and ``more`` (arrays of kind, start, stop).
 
-    The texts are read once and not shuffled; spans are.
+    The texts are read once and not shuffled; spans are. Rows are numbered, so that rows of one id don't meet.
     """
-    scanned = checkpointed(scan(docs, id_column, text_column))
-    unseen = scanned.select("id", "row_key", F.explode("places").alias("p")).where("NOT p.seed")
-    spans = unseen.select("id", "row_key", F.col("p.instance").alias("instance"), F.col("p.start").alias("start"), F.col("p.stop").alias("stop")).join(discovered(scanned), "instance")
-    more = spans.groupBy(F.col("id").alias("of"), F.col("row_key").alias("of_key")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("m"))
-    out = scanned.select("id", "row_key", "base").join(more, F.col("id").eqNullSafe(F.col("of")) & (F.col("row_key") == F.col("of_key")), "left")
-    named = F.expr(f"transform(coalesce(m, array()), s -> named_struct('kind', '{FOUND}', 'start', s.start, 'stop', s.stop))")
-    return out.select(F.col("id").alias(id_column), "row_key", "base", named.alias("more"))
+    scanned = checkpointed(scan(docs, id_column, text_column).withColumn("row", F.monotonically_increasing_id()))
+    unseen = scanned.select("row", F.explode("places").alias("p")).select("row", "p.instance", "p.start", "p.stop", F.col("p.kind").alias("seed")).where(f"seed IS NULL OR seed = '{SECRET}'")
+    told = discovered(scanned).join(unseen.groupBy("instance").agg(F.count("*").alias("n")), "instance")
+    spans = join_told(unseen.drop("seed"), checkpointed(told), "instance", "n", unseen.count(), "inner")
+    more = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind"))).alias("m"))
+    shaped = F.expr("transform(coalesce(m, array()), s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop))")
+    return scanned.select("row", "id", "row_key", "base").join(more, "row", "left").select(F.col("id").alias(id_column), "row_key", "base", shaped.alias("more"))
 
 
 def joined(spans: str) -> str:
@@ -192,10 +232,12 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     Overlapping spans become one, named by the first. Documents without a span are passed on as they are.
     """
-    spans = find(docs, id_column, text_column).select(F.col(id_column).alias("__id"), F.col("row_key").alias("__key"), F.concat("base", "more").alias("__spans")).where(F.size("__spans") > 0)
-    spans = spans.dropDuplicates(["__id", "__key"])
-    keyed = docs.withColumn("__text", F.xxhash64(text_column))
-    both = keyed.join(spans, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left").select(*docs.columns, "__spans")
+    mark, held = fresh(docs.columns, "mark"), fresh(docs.columns, "spans")
+    found = find(docs, id_column, text_column).select(F.struct(F.col(id_column).alias("id"), "row_key").alias(mark), F.concat("base", "more").alias("s")).where(F.size("s") > 0)
+    spans = found.groupBy(mark).agg(F.first("s").alias(held), F.count("*").alias("n"))  # equal texts have equal spans
+    keyed = docs.withColumn(mark, F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key")))
+    count = fresh([*docs.columns, mark, held], "n")
+    both = join_told(keyed, spans.withColumnRenamed("n", count), mark, count, docs.count()).select(*docs.columns, held)
     at = docs.columns.index(text_column)
     long = docs.columns.index(length_column) if length_column in docs.columns else -1
     names = docs.columns
