@@ -1,17 +1,17 @@
 """License scan by diagonal voting, in DataFrame functions only.
 
 A text's words are lower-cased runs of ASCII letters and digits and of anything beyond ASCII. The
-hash of every run of ``GRAM`` words is joined to the positions it has in the templates (a fixed list
-in this file, so its broadcast is bounded). A match votes for the diagonal, its place in the text minus
-its place in the template. From every vote the longest chain of later votes is followed whose places keep
-the template's order and whose diagonals lie above the first one's by half of the template's words at most (so many words may
-be inserted, in one place or in several), and a chain counts if it covers enough of the template. Of
-spans that share words, such as variants of one notice, those of the best cover stay.
+hashes of all runs of ``GRAM`` words are held against those of the templates (fixed lists of notices and of whole license texts,
+so what is broadcast is bounded), and the runs found are joined to the positions that they have in the templates, word by word. A match votes for the diagonal, its place in the text minus
+its place in the template. Votes are aggregated by diagonal into runs of consecutive places, and runs on neighbouring diagonals are merged: from every run
+the longest chain of later runs is followed that keeps the template's order and whose diagonals lie above the first one's by half of the template's words at most (so many words may
+be inserted, in one place or in several; any may be missing). A merged span is verified by the share of the template's places that it covers. Of
+spans that share words, such as variants of one notice, those of the best cover stay; but a span that matches ``WHOLE_TIMES`` as much, such as a whole text around a notice, stays too.
 
-Base phrases are counted beside that, wherever their words stand consecutively.
+Base phrases are counted beside that, wherever their words stand consecutively. Texts are read once; what is kept of them, with the runs found, is
+written to the checkpoint folder with a number for each row, so rows that share an id don't meet.
 
-Defined cases: a null text is empty, has no word, no label and score 0. Rows are told apart by id and
-text, so repeated rows have the same result each. All votes are used, however often a line occurs.
+Defined cases: a null text is empty, has no word, no label and score 0. Repeated rows have the same result each. All votes are used, however often a line occurs. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -19,12 +19,17 @@ from __future__ import annotations
 import re
 from itertools import product
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litspan.llm.common import checkpointed
+from litspan.llm.license_texts import WHOLE
+
 GRAM = 3
 DRIFT = 2  # words that may be inserted into a template at least; half of its words if that is more
 COVER = 0.6
+WHOLE_TIMES = 4
 NEAR = 8  # of the SQL only: there, of spans that start at most so many words apart those of the best cover count
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -71,7 +76,7 @@ def _commons() -> dict[str, str]:
     return out
 
 
-WORDINGS = TEMPLATES | VARIANTS | _commons()
+WORDINGS = TEMPLATES | VARIANTS | _commons() | WHOLE
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,14 +102,21 @@ def drift_of(words: list[str]) -> int:
     return max(DRIFT, (len(words) + 1) // 2)
 
 
+def gram_hash(words: list[str]) -> int:
+    """The hash that xxhash64 gives to some words."""
+    h = 42
+    for word in words:
+        h = xxhash.xxh64_intdigest(word.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def template_grams(spark, templates: dict[str, str] = WORDINGS, gram: int = GRAM) -> DataFrame:
-    """Columns template (its key), place, size (grams of the template), drift, hash."""
+    """Columns template (its key), place, size (grams of the template), drift, hash, words."""
     rows = []
     for label, text in templates.items():
         words = words_of(text)
-        rows += [(label, i, len(words) - gram + 1, drift_of(words), words[i : i + gram]) for i in range(len(words) - gram + 1)]
-    frame = spark.createDataFrame(rows, "template string, place int, size int, drift int, words array<string>")
-    return frame.select("template", "place", "size", "drift", F.xxhash64(*[F.col("words")[i] for i in range(gram)]).alias("hash"))
+        rows += [(label, i, len(words) - gram + 1, drift_of(words), gram_hash(words[i : i + gram]), words[i : i + gram]) for i in range(len(words) - gram + 1)]
+    return spark.createDataFrame(rows, "template string, place int, size int, drift int, hash long, words array<string>")
 
 
 def base_places(line: str, words: str) -> list[Column]:
@@ -130,37 +142,48 @@ def base_places(line: str, words: str) -> list[Column]:
     ]
 
 
-def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = WORDINGS) -> DataFrame:
-    """Verified template spans: the id, ``row_key`` (a hash of the text), label, first_word, n_words, cover.
-
-    The grams meet the templates in the map stage; only votes are shuffled.
-    """
-    # no filter on the words: it would be pushed below and find them once more
-    words = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key"), F.split(F.btrim(normalised(F.col(text_column))), " ").alias("w"))
-    hashes = f"CASE WHEN size(w) >= {GRAM} THEN transform(sequence(0, size(w) - {GRAM}), i -> xxhash64({', '.join(f'w[i + {k}]' for k in range(GRAM))})) END"
-    # an outer explode: for an inner one the optimizer adds a filter that hashes everything a second time
-    grams = words.select("id", "row_key", F.posexplode_outer(F.expr(hashes)).alias("pos", "hash"))
-    votes = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), "hash")
-    key = ["id", "row_key", "template"]
-    votes = votes.select(*key, "size", "drift", "pos", "place").distinct()
+def found_grams(docs: DataFrame, id_column: str, text_column: str, templates: dict[str, str]) -> DataFrame:
+    """One pass over the texts: row (a number), id, n_words, the base columns, and ``hits``, the grams that some template has (pos, hash, words)."""
+    known = sorted({gram_hash(w[i : i + GRAM]) for w in map(words_of, templates.values()) for i in range(len(w) - GRAM + 1)})
+    hashed = f"xxhash64({', '.join(f'w[i + {k}]' for k in range(GRAM))})"
+    places = f"CASE WHEN size(w) >= {GRAM} THEN filter(sequence(0, size(w) - {GRAM}), i -> {hashed} IN ({', '.join(f'{h}L' for h in known) or 'NULL'})) END"
+    lines = docs.select(F.col(id_column).alias("id"), normalised(F.col(text_column)).alias("line"))
+    counted = lines.withColumn("n", F.when(F.col("line") == "  ", 0).otherwise(_blanks(F.col("line")) - 1))
+    based = counted.select("id", F.col("n").cast("long").alias("n_words"), *base_places("line", "n"), F.split(F.btrim("line"), " ").alias("w"))
+    hits = f"coalesce(transform({places}, i -> named_struct('pos', i, 'hash', {hashed}, 'words', slice(w, i + 1, {GRAM}))), array())"
+    return based.select(F.monotonically_increasing_id().alias("row"), "id", "n_words", "n_base", "first_word", "last_word", "base", F.expr(hits).alias("hits"))
+
+
+def spans_of(rows: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """Verified spans of rows with ``hits``: row, label, first_word, n_words, cover."""
+    grams = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
+    votes = grams.join(F.broadcast(template_grams(rows.sparkSession, templates)), ["hash", "words"])
+    votes = votes.withColumn("diagonal", F.col("pos") - F.col("place"))
+    key = ["row", "template"]
+    run = F.col("place") - F.row_number().over(Window.partitionBy(*key, "diagonal").orderBy("place"))
+    runs = votes.withColumn("run", run).groupBy(*key, "diagonal", "run").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.first("size").alias("size"), F.first("drift").alias("drift"))
+    runs = runs.withColumns({"start": F.col("lo") + F.col("diagonal"), "stop": F.col("hi") + F.col("diagonal")})
     reach = max((len(w) - GRAM + 1 + drift_of(w) for w in map(words_of, templates.values())), default=1)
-    after = Window.partitionBy(*key).orderBy("pos").rangeBetween(1, reach)
-    # at one position the higher place comes first, so that a chain takes one of them
-    seen = votes.withColumn("seen", F.collect_list(F.struct("pos", (-F.col("place")).alias("back"))).over(after))
-    later = seen.withColumn("later", F.expr("filter(array_sort(seen), v -> -v.back > place AND v.pos - pos <= drift - v.back - place)"))
-    # of each place: the longest chain that ends with it, and minus its last position; the result is the best of all places
-    chain = """aggregate(later, transform(sequence(1, size), i -> named_struct('n', 0, 'end', 0)),
-        (best, v) -> transform(best, (b, i) -> CASE WHEN i = -v.back THEN greatest(b, named_struct('n', 1 + coalesce(array_max(slice(best, 1, -v.back)).n, 0), 'end', -v.pos)) ELSE b END),
-        best -> array_max(best))"""
-    chained = later.where((F.size("later") + 1) / F.col("size") >= COVER).withColumn("chain", F.expr(chain))
-    cover = (F.col("chain.n") + 1) / F.col("size")
-    hi = F.when(F.col("chain.n") > 0, -F.col("chain.end")).otherwise(F.col("pos"))
-    fits = chained.select("id", "row_key", F.substring_index("template", "/", 1).alias("label"), F.col("pos").alias("lo"), hi.alias("hi"), cover.alias("cover")).where(F.col("cover") >= COVER)
+    after = Window.partitionBy(*key).orderBy("start").rangeBetween(0, reach)
+    seen = runs.withColumn("seen", F.collect_list(F.struct(F.col("stop").alias("s_stop"), F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"), F.col("diagonal").alias("s_diagonal"))).over(after))
+    later = seen.withColumn("later", F.expr("filter(array_sort(seen), s -> s.s_stop > stop AND s.s_hi > hi AND s.s_diagonal - diagonal <= drift)"))
+    able = later.where(F.expr(f"(hi - lo + 1 + aggregate(later, 0, (n, s) -> n + s.s_hi - s.s_lo + 1)) / size >= {COVER}"))
+    # chains by their last run: grams, minus the last position, the last place; a run adds the places beyond those that its chain has
+    gain = "(s.s_hi - greatest(s.s_lo, b.hi + 1, 1 - b.back - s.s_diagonal) + 1)"
+    grown = f"array_max(transform(chains, b -> named_struct('n', CASE WHEN {gain} > 0 THEN b.n + {gain} ELSE 0 END, 'back', -s.s_stop, 'hi', s.s_hi)))"
+    chain = f"array_max(aggregate(later, array(named_struct('n', hi - lo + 1, 'back', -stop, 'hi', hi)), (chains, s) -> concat(chains, array({grown}))))"
+    fits = able.withColumn("chain", F.expr(chain)).select("row", F.substring_index("template", "/", 1).alias("label"), F.col("start").alias("lo"), (-F.col("chain.back")).alias("hi"), (F.col("chain.n") / F.col("size")).alias("cover"), F.col("chain.n").alias("n"))
     # a span hides those of a smaller cover that share a word with it
-    near = Window.partitionBy("id", "row_key").orderBy("lo").rangeBetween(-reach - GRAM, reach + GRAM)
-    rivals = fits.withColumn("rivals", F.collect_set(F.struct("lo", "hi", "cover")).over(near))
-    best = rivals.where(F.expr(f"NOT exists(rivals, r -> r.cover > cover AND r.lo <= hi + {GRAM - 1} AND lo <= r.hi + {GRAM - 1})"))
-    return best.select(F.col("id").alias(id_column), "row_key", "label", F.col("lo").cast("long").alias("first_word"), (F.col("hi") - F.col("lo") + GRAM).cast("long").alias("n_words"), "cover")
+    near = Window.partitionBy("row").orderBy("lo").rangeBetween(-reach - GRAM, reach + GRAM)
+    rivals = fits.where(F.col("cover") >= COVER).withColumn("rivals", F.collect_set(F.struct("lo", "hi", "cover", "n")).over(near))
+    best = rivals.where(F.expr(f"NOT exists(rivals, r -> r.cover > cover AND {WHOLE_TIMES} * r.n >= n AND r.lo <= hi + {GRAM - 1} AND lo <= r.hi + {GRAM - 1})"))
+    return best.select("row", "label", F.col("lo").cast("long").alias("first_word"), (F.col("hi") - F.col("lo") + GRAM).cast("long").alias("n_words"), "cover")
+
+
+def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = WORDINGS) -> DataFrame:
+    """Verified template spans: the id, label, first_word, n_words, cover."""
+    rows = checkpointed(found_grams(docs, id_column, text_column, templates))
+    return spans_of(rows, templates).join(rows.select("row", F.col("id").alias(id_column)), "row").select(id_column, "label", "first_word", "n_words", "cover")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = WORDINGS) -> DataFrame:
@@ -168,13 +191,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     ``score`` is 1 with a base phrase, else the best cover of a verified span, else 0.
     """
-    lines = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("row_key"), normalised(F.col(text_column)).alias("line"))
-    counted = lines.withColumn("n", F.when(F.col("line") == "  ", 0).otherwise(_blanks(F.col("line")) - 1))
-    based = counted.select("id", "row_key", F.col("n").cast("long").alias("n_words"), *base_places("line", "n"))
-    found = spans(docs, id_column, text_column, templates).groupBy(F.col(id_column).alias("other"), F.col("row_key").alias("other_key")).agg(
-        F.collect_set("label").alias("more"), F.max("cover").alias("cover")
-    )
-    both = based.join(found, F.col("id").eqNullSafe(F.col("other")) & (F.col("row_key") == F.col("other_key")), "left")
+    rows = checkpointed(found_grams(docs, id_column, text_column, templates))
+    found = spans_of(rows, templates).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
+    both = rows.drop("hits").join(found, "row", "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return both.select(
         F.col("id").alias(id_column), "n_words", "n_base", "first_word", "last_word",
@@ -182,4 +201,3 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         F.array_join(every, ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("cover", F.lit(0.0))).alias("score"),
     )
-

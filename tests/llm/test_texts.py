@@ -469,6 +469,78 @@ def test_licenses_with_inserted_words(spark):
     assert plain["gpl-3"] == (5, len(gpl) + 6)
 
 
+def test_whole_license_texts(spark):
+    """Whole texts, with words changed, missing and inserted, and a text that only shares their hashes' words out of order."""
+    from litspan.llm.license_texts import WHOLE
+
+    rng = random.Random(4)
+    rows, want = [], []
+    for key, text in WHOLE.items():
+        words = text.split()
+        for edits in (0, 4, 10):
+            edited = list(words)
+            for _ in range(edits if len(words) > 90 else edits // 4):
+                k = rng.randrange(len(edited))
+                edited[k : k + rng.randint(0, 1)] = rng.choice([["inserted", "words"], ["changed"], []])
+            rows.append("Copyright 1999 somebody. " + " ".join(edited) + " And more.")
+            want.append(key.split("/")[0])
+    rows.append(" ".join(rng.sample(WHOLE["mit/whole"].split(), 150)))
+    out = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for i, label in enumerate(want):
+        assert label in out[i].labels.split(","), (i, label, out[i].labels)
+    assert out[len(want)].labels == ""
+    found = {r.label: (r.first_word, r.n_words, r.cover) for r in licenses.spans(frame(spark, [rows[0]]), templates={"mit": WHOLE["mit/whole"]}).collect()}
+    assert found == {"mit": (3, len(licenses.words_of(WHOLE["mit/whole"])), 1.0)}
+
+
+def slow_spans(words, template):
+    """Chains of votes, place by place: the best cover of all first votes, with its span."""
+    size, drift = len(template) - 2, licenses.drift_of(template)
+    votes = sorted((p, q) for p in range(len(words) - 2) for q in range(size) if words[p : p + 3] == template[q : q + 3])
+    best = (0, 0, 0)
+    for p0, q0 in votes:
+        ends = {(p0, q0): 1}
+        for p, q in votes:
+            if p > p0 and q > q0 and p - p0 <= drift + q - q0:
+                ends[p, q] = max([n for (a, b), n in ends.items() if a < p and b < q], default=-1) + 1
+        n = max(ends.values())
+        best = max(best, (n, -p0, -min(p for (p, _), m in ends.items() if m == n)))
+    return best[0] / size, -best[1], -best[2] - -best[1] + 3
+
+
+def test_license_chains_against_a_slow_version(spark):
+    rng = random.Random(6)
+    template = licenses.words_of(licenses.VARIANTS["gpl-3/free"])
+    rows = []
+    for _ in range(60):
+        words = list(template)
+        for _ in range(rng.randint(0, 7)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randint(0, 2)] = rng.choice([["the"], ["free", "software"], ["x"] * rng.randint(1, 6), []])
+        rows.append(["y"] * rng.randint(0, 4) + words)
+    found = {}
+    for r in licenses.spans(frame(spark, [" ".join(w) for w in rows]), templates={"t": " ".join(template)}).collect():
+        found[r.doc_id] = max(found.get(r.doc_id, (0,)), (r.cover, -r.first_word, -r.n_words))
+    for i, words in enumerate(rows):
+        cover, first, n = slow_spans(words, template)
+        if cover >= licenses.COVER:
+            assert found[i][0] == pytest.approx(cover) and (-found[i][1], -found[i][2]) == (first, n)
+        else:
+            assert i not in found
+
+
+def test_licenses_of_rows_with_one_id(spark):
+    rows = [(1, "Released under the MIT license"), (1, "nothing"), (None, "All rights reserved"), (None, None)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.labels) for r in out) == [(0, ""), (0, "reserved"), (1, ""), (1, "mit")]
+
+
+def test_gram_hashes_equal_the_engines(spark):
+    words = [["licensed", "under", "the"], ["é", "漢字", "x" * 50], ["a", "b", "c"]]
+    got = spark.createDataFrame([(w,) for w in words], "w array<string>").selectExpr("xxhash64(w[0], w[1], w[2]) AS h").collect()
+    assert [r.h for r in got] == [licenses.gram_hash(w) for w in words]
+
+
 def test_licenses_side_by_side(spark):
     told = {
         "Released under the MIT License, or licensed under the Apache License Version 2": "apache-2.0,mit",
