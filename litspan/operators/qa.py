@@ -17,7 +17,10 @@ TRIGGERS = (
     ("implementation", "implementation"), ("architecture", "architecture"), ("contribution", "contribution"),
 )
 COUNT_PHRASES = ("number of references", "number of citations", "total references", "total citations", "count the references", "count of references")
-LAST_PHRASES = tuple(f"{a} reference number" for a in ("last", "highest", "largest", "final")) + tuple(f"{a} citation number" for a in ("last", "highest", "largest"))
+LAST_PHRASES = (
+    "last reference number", "highest reference number", "largest reference number", "final reference number",
+    "last citation number", "highest citation number", "largest citation number",
+)
 NUMBER = r"\b(?:reference|citation)\s*(?:number\s*)?(\d{1,4})\b"
 LABELS = ("outline", "structural", "references", "specific")
 
