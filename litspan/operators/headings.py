@@ -15,6 +15,9 @@ KEEP = 0.62
 #: Weights of the confidence, and words that hint at a section.
 WEIGHTS = {"prior": 0.20, "text": 0.22, "typography": 0.20, "position": 0.14, "scheme": 0.16, "semantics": 0.08}
 HINTS = ("introduction", "method", "result", "discussion", "conclusion", "reference")
+#: A number before a heading; headings without one that are sought, with the first or the last so many pages.
+ROMAN, ARABIC = r"^\s*([IVXivx]+)[.)]\s+", r"^\s*(\d+)[.)]\s+"
+UNNUMBERED = (("abstract", 5), ("acknowledgements", -10), ("acknowledgments", -10))
 BATCH, SHARED = 10, 2  # pages of a detection batch, and pages that two batches share
 
 
@@ -79,6 +82,36 @@ def anchor(rows: DataFrame, pages: DataFrame, paper: str = "paper", before: int
     return both.withColumn("anchored", F.col("__page").isNotNull()).withColumn("page_start", F.coalesce("__page", "page_start")).drop("__id", "__page")
 
 
+def anchor_lines(rows: DataFrame, lines: DataFrame, paper: str = "paper", before: int = 2, after: int = 1) -> DataFrame:
+    """Move each heading to the first page around its own on which it stands as a heading; others stay. Adds ``anchored``.
+
+    A numbered heading is found where its page's text holds it, number and all. Any heading is found in a line of the body that holds its name and little more, in a span of the body's size
+    at least. ``lines`` has paper, page, line_no, line, size, mid_y, page_height, body_size and, if known, ``spans`` (array of text and size); without them a line is one span.
+    """
+    guess = rows.withColumn("__id", F.struct(paper, "heading", "page_start"))
+    near = guess.select("__id", paper, F.explode(F.sequence(F.greatest(F.lit(1), F.col("page_start") - before), F.col("page_start") + after)).alias("page"))
+    near = near.select("*", T.heading_norm(T.strip(F.col("__id.heading"))).alias("__full"), T.heading_norm(T.strip_prefix(T.strip(F.col("__id.heading")))).alias("__name"), numbered(F.col("__id.heading")).alias("__numbered"))
+    whole = lines.groupBy(paper, "page").agg(T.heading_norm(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")).alias("__text"))
+    by_text = near.where("__numbered").join(whole, [paper, "page"]).where(F.contains("__text", "__full")).select("__id", "page")
+    spans = F.col("spans") if "spans" in lines.columns else F.array(F.struct(F.col("line").alias("text"), F.col("size").alias("size")))
+    body = lines.where(~in_margin(F.col("mid_y"), F.col("page_height"))).select(paper, "page", T.heading_norm(F.col("line")).alias("__line"), spans.alias("__spans"), "body_size")
+    both = near.where("__name <> ''").join(body, [paper, "page"]).where(F.contains("__line", "__name") & (F.length("__line") - F.length("__name") <= 20))
+
+    def carries(s: Column) -> Column:
+        own = T.heading_norm(s["text"])
+        return (F.contains(own, F.col("__name")) | F.contains(F.col("__name"), own)) & (s["size"] >= F.col("body_size") * 0.95)
+
+    by_line = both.where(F.exists("__spans", carries)).select("__id", "page")
+    found = by_text.union(by_line).groupBy("__id").agg(F.min("page").alias("__page"))
+    out = guess.join(found, "__id", "left")
+    return out.withColumn("anchored", F.col("__page").isNotNull()).withColumn("page_start", F.coalesce("__page", "page_start")).drop("__id", "__page")
+
+
+def numbered(heading: Column) -> Column:
+    """Whether a heading begins with a roman or an arabic number."""
+    return F.rlike(heading, F.lit(ROMAN)) | F.rlike(heading, F.lit(ARABIC))
+
+
 def number_gaps(rows: DataFrame, paper: str = "paper", number: str = "n", page: str = "page") -> DataFrame:
     """Numbers missing below each paper's largest, with the pages of the numbers before and after."""
     seen = rows.groupBy(paper, number).agg(F.min(page).alias("__page"))
@@ -98,24 +131,55 @@ def looks_like_top_heading(line: Column, size: Column, body_size: Column) -> Col
     return (norm != "") & (F.length(norm) <= 120) & (words <= 18) & ~F.endswith(s, F.lit(".")) & ~no & (size >= body_size * 0.98)
 
 
-def gap_candidates(gaps: DataFrame, lines: DataFrame, known: DataFrame, paper: str = "paper", number: str = "n") -> DataFrame:
-    """For each gap the best line on the pages between its neighbours: a line with the number as prefix, else the first page's largest that looks like a heading.
+def searches(merged: DataFrame, totals: DataFrame, paper: str = "paper") -> DataFrame:
+    """What is missing from papers whose numbering has gaps, and where it may stand: paper, n, prefix, lo, hi (pages), known (names of the paper's headings).
 
-    ``lines`` has paper, page, line, size, body_size; ``known`` the headings found so far.
+    Only the paper's dominant numbering counts (the first seen of equals). A gap lies between its neighbours' pages; without the one before it begins at the nearest
+    heading before the one after, without the one after it ends with the paper. Papers with a gap also miss what ``UNNUMBERED`` names, if they have no such heading.
+    """
+    h = F.col("heading")
+    order = F.struct("page_start", T.heading_norm(h), "heading")
+    roman = T.roman_to_int(F.regexp_extract(h, ROMAN, 1))
+    kind = F.when(F.rlike(h, F.lit(ROMAN)), F.when(roman.isNotNull(), "roman")).when(F.rlike(h, F.lit(ARABIC)), "arabic")
+    n = F.when(kind == "roman", roman).otherwise(F.try_to_number(F.regexp_extract(h, ARABIC, 1), F.lit("999999999")).cast("int"))
+    typed = merged.select(paper, "page_start", kind.alias("kind"), n.alias("n"), order.alias("o")).where("kind IS NOT NULL AND n IS NOT NULL")
+    counts = typed.groupBy(paper, "kind").agg(F.struct(-F.count("*"), F.min("o")).alias("r"))
+    dominant = counts.groupBy(paper).agg(F.min_by("kind", "r").alias("kind"))
+    seen = typed.join(dominant, [paper, "kind"]).groupBy(paper, "kind", "n").agg(F.max("page_start").alias("page"))
+    page_of = F.map_from_entries(F.collect_list(F.struct("n", "page")))  # a paper's own few numbers
+    told = seen.groupBy(paper, "kind").agg(F.max("n").alias("most"), page_of.alias("pages"))
+    clean = T.strip(F.regexp_replace(F.lower(h), r"^[ivx]+[.)]\s*|^\d+[.)]\s*", ""))
+    known = merged.groupBy(paper).agg(F.collect_set(T.heading_norm(T.strip_prefix(h))).alias("known"), F.collect_set(clean).alias("named"), F.collect_set("page_start").alias("starts"))
+    gaps = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("most"))), lambda i: (i <= F.col("most")) & ~F.map_contains_key("pages", i))
+    papers = told.join(known, paper).join(totals.select(paper, "total_pages"), paper).withColumn("gaps", gaps).where(F.size("gaps") > 0)
+    at = papers.select("*", F.explode("gaps").alias("n")).withColumn("next", F.coalesce(F.try_element_at("pages", F.col("n") + 1), "total_pages"))
+    before = F.coalesce(F.try_element_at("pages", F.col("n") - 1), F.array_max(F.filter("starts", lambda p: p < F.col("next"))), F.lit(1))
+    prefix = F.concat(F.when(F.col("kind") == "roman", T.int_to_roman(F.col("n"))).otherwise(F.col("n").cast("string")), F.lit("."))
+    numbers = at.select(paper, "n", prefix.alias("prefix"), F.greatest(F.lit(1), before).alias("lo"), F.least("total_pages", "next").alias("hi"), "known")
+    labels = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pages).alias("pages")) for name, pages in UNNUMBERED])
+    others = papers.select("*", F.explode(F.filter(labels, lambda x: ~F.array_contains(F.col("named"), x["name"]))).alias("l"))
+    lo = F.when(F.col("l.pages") > 0, 1).otherwise(F.greatest(F.lit(1), F.col("total_pages") + F.col("l.pages")))
+    hi = F.when(F.col("l.pages") > 0, F.least("l.pages", "total_pages")).otherwise(F.col("total_pages"))
+    return numbers.unionByName(others.select(paper, F.lit(None).cast("int").alias("n"), F.col("l.name").alias("prefix"), lo.alias("lo"), hi.alias("hi"), "known")).where("lo <= hi")
+
+
+def recovered(wanted: DataFrame, lines: DataFrame, paper: str = "paper") -> DataFrame:
+    """The headings that ``searches`` finds on ``lines`` (paper, page, line_no, line, size, body_size, mid_y, page_height): paper, n, heading, page_start.
+
+    The first line that begins with the prefix, else (for numbers) of the first page with any the largest line that looks like a heading, isn't known and has no number; it gets the prefix.
     """
-    last = F.coalesce("page_hi", "page_lo")
-    ranged = gaps.where(F.col("page_lo").isNotNull() | F.col("page_hi").isNotNull())
-    pages = ranged.select(paper, number, F.explode(F.sequence(F.least(F.coalesce("page_lo", "page_hi"), last), F.greatest(F.coalesce("page_lo", "page_hi"), last))).alias("page"))
-    names = known.select(paper, T.heading_norm(T.strip_prefix(F.col("heading"))).alias("__k")).distinct()
-    usable = lines.where(looks_like_top_heading(F.col("line"), F.col("size"), F.col("body_size"))).withColumn("__k", T.heading_norm(T.strip_prefix(F.col("line")))).join(names, [paper, "__k"], "left_anti")
-    both = pages.join(usable, [paper, "page"])
-    digits = F.regexp_extract(F.col("line"), r"^\s*(\d+)[.)]\s+", 1)
-    roman = T.roman_to_int(F.regexp_extract(F.col("line"), r"^\s*([IVXivx]+)[.)]\s+", 1))
-    prefixed = F.coalesce((digits == F.col(number).cast("string")) | (roman == F.col(number)), F.lit(False))
-    rank = F.struct((~prefixed).cast("int"), "page", (0.01 * F.length("line") - F.col("size")), "line")
-    best = both.where(prefixed | (F.size(F.split("__k", " ")) <= 12)).groupBy(paper, number).agg(F.min_by(F.struct("line", "page", prefixed.alias("p")), rank).alias("b"))
-    named = F.when(F.col("b.p"), F.col("b.line")).otherwise(F.concat(F.col(number).cast("string"), F.lit(". "), F.col("b.line")))
-    return best.select(paper, number, named.alias("heading"), F.col("b.page").alias("page_start"))
+    pages = wanted.select("*", F.explode(F.sequence("lo", "hi")).alias("page"))
+    line = T.strip(F.col("line"))
+    both = pages.join(lines.withColumn("line", line), [paper, "page"]).where(~in_margin(F.col("mid_y"), F.col("page_height")) & looks_like_top_heading(F.col("line"), F.col("size"), F.col("body_size")))
+    name = T.heading_norm(T.strip_prefix(F.col("line")))
+    exact = F.startswith(T.heading_norm(F.col("line")), T.heading_norm(F.col("prefix")))
+    free = F.col("n").isNotNull() & ~F.array_contains("known", name) & ~numbered(F.col("line")) & (name != "") & (F.size(F.split(name, " ")) <= 12)
+    at, hit = F.struct("page", "line_no", "line"), F.struct("page", "line")
+    best = both.groupBy(paper, "n", "prefix").agg(
+        F.min_by(F.when(exact, hit), F.when(exact, at)).alias("a"), F.min_by(F.when(free, hit), F.when(free, F.struct("page", 0.01 * F.length(name) - F.col("size"), "line_no", "line"))).alias("b"),
+    )
+    heading = F.coalesce("a.line", F.concat(F.col("prefix"), F.lit(" "), F.col("b.line")))
+    return best.select(paper, "n", heading.alias("heading"), F.coalesce("a.page", "b.page").alias("page_start")).where("heading IS NOT NULL")
 
 
 def typography(ratio: Column) -> Column:
