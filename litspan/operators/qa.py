@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspan.functions import text as T
+from litspan.functions.providers import answered
 from litspan.operators import retrieval as R
 
 #: Words that route a question to the references, and section names by words of a question, in order.
@@ -93,19 +96,45 @@ def reference_facts(question: Column, count: Column, last: Column, heading: Colu
     return F.coalesce(F.when(asks_count(question), total), F.when(asks_last(question), final), F.when(number > last, none))
 
 
-def answer_batch(questions: DataFrame, chunks: DataFrame, headings: DataFrame, paper: str = "paper_id") -> DataFrame:
-    """Context of each question (question_id, paper, question, vector): label, section and the packed hits, joined as excerpts.
+#: Replies that need no retrieval, and what stands before excerpts without a model.
+NO_PAPER = "No paper is currently loaded. Open a paper first with `open <n>`."
+NO_QUESTION = "Please ask a question about the paper."
+PROCESSING = "The paper is still being processed. Please try again in a moment."
+NOT_INGESTED = "This paper hasn't been ingested yet. Open it first with `open <n>`."
+NO_CONTENT = "I have no content stored for this paper. Try re-opening it with `open <n>`."
+NO_MODEL = "LLM not configured. Here are the most relevant excerpts:\n\n"
+EMPTY_REPLY = "The model returned an empty response."
+
 
-    Without a model the answer is the three best excerpts. Questions with a section take all its chunks; others the nearest by their mode.
+def stored_answers(questions: DataFrame, papers: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """What can be said from a paper's row alone: adds ``answer`` (null where chunks are needed), ``label`` (an outline question without a stored tree is structural), ``title``.
+
+    ``questions`` has question_id, paper, question, label. ``papers`` has paper, title, status, tree (array of level, text, page) and the reference columns of the store.
+    """
+    facts = ("reference_count", "last_reference_number", "reference_heading", "reference_start_page", "reference_end_page")
+    rows = papers.select(F.col(paper).alias("__p"), "title", "status", "tree", *facts)
+    both = questions.join(rows, F.col(paper) == F.col("__p"), "left")
+    shown = F.when((F.col("label") == "outline") & (F.size(F.coalesce("tree", F.array().cast("array<struct<level:int,text:string,page:int>>"))) > 0), T.outline(T.display_outline(F.col("tree"))))
+    fact = F.when(F.col("label") == "references", reference_facts(F.col("question"), *[F.col(c) for c in facts]))
+    answer = (
+        F.when(T.strip(F.col(paper).cast("string")) == "", NO_PAPER).when(T.strip(F.col("question")) == "", NO_QUESTION)
+        .when(F.col("status") == "processing", PROCESSING).when(~F.col("status").eqNullSafe(F.lit("ready")), NOT_INGESTED).otherwise(F.coalesce(shown, fact))
+    )
+    label = F.when((F.col("label") == "outline") & shown.isNull(), "structural").otherwise(F.col("label"))
+    return both.withColumns({"answer": answer, "label": label}).select(*questions.columns, "title", "answer")
+
+
+def contexts(told: DataFrame, chunks: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """The packed excerpts of questions (question_id, paper, label, section, vector): question_id, ``excerpts``.
+
+    A question on a section takes all chunks whose heading matches it (with wildcards, as stored headings have them); others the nearest by their label, references with the tail.
     """
-    told = section_filter(questions.withColumn("label", question_label(F.col("question"))), headings, paper)
-    told = told.withColumn("section", F.when(F.col("label") != "references", F.col("section")))
-    mode = F.when(F.col("section").isNotNull(), "section").when(F.col("label") == "outline", "structural").otherwise(F.col("label"))
+    mode = F.when(F.col("section").isNotNull(), "section").otherwise(F.col("label"))
     told = told.withColumn("mode", mode)
     most = {m: k for m, (k, _) in R.MODES.items() if k}
     pick = lambda values: F.coalesce(*[F.when(F.col("mode") == m, F.lit(v)) for m, v in values.items()])
     columns = ["question_id", "mode", "chunk_index", "text", "score"]
-    by_section = told.where("mode = 'section'").join(chunks, paper).where(F.contains(F.lower(T.text("section_heading")), F.lower("section")))
+    by_section = told.where("mode = 'section'").select("question_id", paper, "mode", "section").join(chunks, paper).where(R.heading_like(F.col("section_heading"), F.col("section")))
     asked = told.where("mode <> 'section'").select("question_id", paper, "mode", "vector")
     near = R.top_k_batch(asked, chunks, max(most.values()), [paper]).where(F.col("rank") <= pick(most)).select(*columns)
     last = asked.where("mode = 'references'").select("question_id", paper, "mode").join(R.tail(chunks, paper), paper).select(*columns)
@@ -114,5 +143,26 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, headings: DataFrame, p
     rank = F.when(F.col("mode") == "specific", -F.col("score")).otherwise(F.col("chunk_index").cast("double"))
     packed = R.pack_context(hits, "question_id", [rank, F.col("chunk_index")], "text", pick({m: b for m, (_, b) in R.MODES.items()}))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col("chunk_index").alias("i"), F.col("packed").alias("p")))), lambda x: x["p"])
-    grouped = packed.groupBy("question_id").agg(parts.alias("excerpts"))
-    return told.drop("vector").join(grouped, "question_id", "left").withColumn("answer", F.array_join(F.slice("excerpts", 1, 3), "\n\n---\n\n"))
+    return packed.groupBy("question_id").agg(parts.alias("excerpts"))
+
+
+def answer_batch(questions: DataFrame, chunks: DataFrame, headings: DataFrame, papers: DataFrame | None = None, paper: str = "paper_id", model: str | None = None, chat: Callable | None = None) -> DataFrame:
+    """Answers of many questions (question_id, paper, question, vector): label, section, mode, excerpts, ``answer``.
+
+    Given ``papers`` (see ``stored_answers``), statuses, outlines and facts on references are answered without a look at the chunks. ``model`` names a column of labels that a classifier gave;
+    ``chat`` makes a provider whose ``answer`` gets title, excerpts and question. Without it, or where it says nothing at all, the answer is the three best excerpts.
+    """
+    told = questions.withColumn("label", question_label(F.col("question"), F.col(model) if model else None))
+    if papers is None:
+        told = told.withColumns({"title": F.lit(""), "answer": F.lit(None).cast("string"), "label": F.when(F.col("label") == "outline", "structural").otherwise(F.col("label"))})
+    else:
+        told = stored_answers(told, papers, paper)
+    told = section_filter(told, headings, paper)
+    told = told.withColumn("section", F.when((F.col("label") != "references") & F.col("answer").isNull(), F.col("section")))
+    both = told.join(contexts(told.where("answer IS NULL"), chunks, paper), "question_id", "left")
+    plain = F.concat(F.lit(NO_MODEL), F.array_join(F.slice("excerpts", 1, 3), R.BETWEEN))
+    if chat is not None:
+        plain = F.coalesce(answered(R.prompt(F.col("title"), F.col("excerpts"), F.col("question")), chat), plain)
+    found = F.coalesce("answer", F.when(F.col("excerpts").isNull(), NO_CONTENT), plain)
+    mode = F.when(F.col("answer").isNotNull(), "stored").when(F.col("section").isNotNull(), "section").otherwise(F.col("label"))
+    return both.withColumns({"mode": mode, "answer": found}).drop("vector")

@@ -14,6 +14,7 @@ from litspan.functions import text as T
 #: Hits and characters of context by kind of question.
 MODES = {"specific": (12, 12_000), "structural": (50, 20_000), "references": (80, 40_000), "section": (None, 80_000)}
 TAIL = 30
+BETWEEN = "\n\n---\n\n"
 LEAST_PART = 200  # a hit that overflows the budget gives its beginning only if more than so much room is left
 
 
@@ -42,6 +43,12 @@ def section_like(heading: Column, fragment: str) -> Column:
     return heading.ilike("%" + "".join(pattern) + "%")
 
 
+def heading_like(heading: Column, fragment: Column) -> Column:
+    """As ``section_like``, with a fragment for each row."""
+    plain = F.regexp_replace(fragment, r"(?<!\\)\\(?![%_\\])", r"\\\\")
+    return F.ilike(heading, F.concat(F.lit("%"), plain, F.lit("%")))
+
+
 def top_k(chunks: DataFrame, vector: list[float], k: int, embedding: str = "embedding", order: str = "chunk_index") -> DataFrame:
     """The k chunks nearest to one question, by score and then by number."""
     scored = chunks.withColumn("score", cosine(F.col(embedding), F.array(*[F.lit(float(x)) for x in vector])))
@@ -92,7 +99,8 @@ def pack_context(hits: DataFrame, group: str, order: list[Column], body: str, bu
 
 def prompt(title: Column, parts: Column, question: Column) -> Column:
     """Title, excerpts and question as one text."""
-    return F.concat_ws("\n\n", F.when(T.text(title) != "", F.concat(F.lit("Paper: "), title)), F.concat(F.lit("Excerpts:\n\n"), F.array_join(parts, "\n\n---\n\n")), F.concat(F.lit("Question: "), question))
+    head = F.when(T.text(title) != "", F.concat(F.lit("Paper: "), title, F.lit("\n\n"))).otherwise("")
+    return F.concat(head, F.lit("Excerpts from the paper:\n\n"), F.array_join(parts, BETWEEN), F.lit(f"{BETWEEN}Question: "), question)
 
 
 def hit_order(hits: DataFrame, mode: str, tail_first: bool = False) -> list[Column]:
