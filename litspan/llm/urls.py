@@ -1,24 +1,28 @@
 """URL filter with redirect equivalence.
 
 A rule ``host/path`` fits its host and every subdomain when the url's path starts with the rule's
-path; the longest rule wins. Pages are nodes, redirects (a refresh directive) and canonical links in their
+path; the longest rule wins. A few rules are literals; a table of rules is joined on the suffixes of hosts and on the beginnings of paths that have a rule's length, so a blocklist of any size fits. Pages are nodes, redirects (a refresh directive) and canonical links in their
 markup are edges to the nodes they name, and connected components make aliases equivalent. A url
 without a rule takes its component's decision: allow if any alias has an explicit allow, else block
 if any alias is blocked, else the default.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule and the default
-verdict. Null markup has no links; every redirect and canonical tag of a page counts, and targets that are not absolute urls
-are resolved against the page's url, or its ``base``, as RFC 3986 says. Targets with a scheme but no host are ignored.
-Repeated pages have the same result each.
+verdict. Null markup has no links; every redirect and canonical tag of a page counts, but for those in comments, ``canonical`` being any of the words of ``rel``. Targets that are not absolute urls
+are resolved against the page's url, or its ``base``, as RFC 3986 says, after their character references are decoded. Targets with a scheme but no host are ignored. In the graph an empty path is ``/``.
+Repeated pages have the same result each. Columns of the pages called host, path, rule or verdict are replaced by the result's; others may have any name.
 """
 
 from __future__ import annotations
 
+import html as markup
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from litspan.llm.common import checkpointed, fresh, join_told
 from litspan.llm.components import connected_components
 
 #: The rules of the query: rule and verdict.
@@ -51,10 +55,48 @@ def verdict_of(rule: Column, rules: list[tuple[str, str]] = RULES) -> Column:
     return reduce(lambda c, r: F.when(rule == r[0], F.lit(r[1])).otherwise(c), rules, F.lit(None).cast("string"))
 
 
+def fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """For each row of ``urls`` (at: struct of host and path, all different) with a fitting rule of ``rules`` (rule, verdict): at, rule, own (its verdict).
+
+    A url is tried with every suffix of its host that some rule has, and the beginnings of its path of the lengths that this host's rules have; both joins are on equal keys.
+    """
+    split = F.substring_index("rule", "/", 1)
+    keyed = checkpointed(rules.where(F.contains("rule", F.lit("/"))).select(split.alias("suffix"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("start"), "rule", F.col("verdict").alias("own")))
+    lengths = keyed.groupBy("suffix").agg(F.collect_set(F.length("start")).alias("lengths"))
+    labels = F.split("at.host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    tried = checkpointed(urls.select("at", F.explode(suffixes).alias("suffix")))
+    known = checkpointed(tried.groupBy("suffix").agg(F.count("*").alias("n")).join(lengths, "suffix"))
+    sized = join_told(tried, known, "suffix", "n", tried.count(), "inner").select("at", "suffix", F.explode("lengths").alias("k")).where(F.length("at.path") >= F.col("k"))
+    cut = checkpointed(sized.select("at", F.concat("suffix", F.substring(F.col("at.path"), F.lit(1), F.col("k"))).alias("rule")))
+    hits = checkpointed(cut.groupBy("rule").agg(F.count("*").alias("n")).join(keyed.groupBy("rule").agg(F.min("own").alias("own")), "rule"))
+    found = join_told(cut, hits, "rule", "n", cut.count(), "inner")
+    best = found.groupBy("at").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "own")).alias("best"))
+    return best.select("at", "best.rule", "best.own")
+
+
+def with_rules(rows: DataFrame, host: str, path: str, rule: str, own: str, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """``rows`` with the columns ``rule`` and ``own`` (its verdict) for the columns ``host`` and ``path``."""
+    if isinstance(rules, list):
+        return rows.withColumn(rule, rule_of(F.col(host), F.col(path), rules)).withColumn(own, verdict_of(F.col(rule), rules))
+    at, n = fresh(rows.columns, "at"), fresh(rows.columns, "n")
+    keyed = rows.withColumn(at, F.struct(F.col(host).alias("host"), F.col(path).alias("path")))
+    counts = checkpointed(keyed.groupBy(F.col(at).alias("at")).agg(F.count("*").alias("n")))
+    told = fitting(counts.select("at"), rules).join(counts, "at").select(F.col("at").alias(at), F.col("n").alias(n), F.col("rule").alias(rule), F.col("own").alias(own))
+    return join_told(keyed, checkpointed(told), at, n, rows.count()).drop(at, n)
+
+
 def node_of(url: Column) -> Column:
-    """What stands for a url in the graph: no scheme, host in lower case, no fragment."""
+    """What stands for a url in the graph: no scheme, host in lower case, ``/`` for an empty path, no fragment."""
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), path_of(url), query))
+    path = path_of(url)
+    return F.when(url.contains("://"), F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query))
+
+
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """With character references decoded."""
+    return texts.map(markup.unescape, na_action="ignore").astype(object)
 
 
 def without_dots(path: Column) -> Column:
@@ -87,49 +129,59 @@ def resolved(base: Column, target: Column) -> Column:
 def links(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Edges (a, b: urls) from each page to the targets its markup redirects to or calls canonical."""
     html, url = F.col(html_column), F.col(url_column)
-    tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-    turn = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-    root = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+    cue = F.lower(html)
+    seen = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    word = r"(?<![\w-])canonical(?![\w-])"
+    canonical = rf"(?is)(?<![\w-])rel\s*=\s*(?:\"[^\"]*{word}[^\"]*\"|'[^']*{word}[^']*'|{word})"
+    refresh = r"(?is)(?<![\w-])http-equiv\s*=\s*[\"']?\s*refresh\b"
 
-    def every(tags: str, name: str) -> Column:
-        return F.transform(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), lambda t: F.regexp_extract(t, rf"(?is)\b{name}\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
+    def value(tag: Column, name: str) -> Column:
+        return F.regexp_extract(tag, rf"(?is)(?<![\w-]){name}\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+
+    def every(tag: str, which: str, name: str) -> Column:
+        found = F.regexp_extract_all(seen, F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0))
+        return F.transform(F.filter(found, lambda t: F.rlike(t, F.lit(which))), lambda t: value(t, name))
 
     none = F.array().cast("array<string>")
-    named = F.when(F.contains(html, F.lit("anonical")) | F.contains(html, F.lit("ANONICAL")), every(tag, "href")).otherwise(none)
-    turned = F.when(F.contains(F.lower(html), F.lit("refresh")), every(turn, "url")).otherwise(none)
-    root_of = F.when(F.contains(F.lower(html), F.lit("<base")), F.regexp_extract(html, root, 1)).otherwise(F.lit(""))
-    target = F.explode(F.filter(F.concat(named, turned), lambda t: t != "")).alias("target")
-    found = pages.where(url.contains("://") & html.isNotNull()).select(url.alias("a"), root_of.alias("root"), target)
-    plain = lambda c: F.replace(F.col(c), F.lit("&amp;"), F.lit("&"))
-    based = found.select("a", F.when(F.col("root") == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), plain("root")), F.col("a"))).alias("root"), plain("target").alias("target"))
+    named = F.when(F.contains(cue, F.lit("canonical")), every("link", canonical, "href")).otherwise(none)
+    turned = F.when(F.contains(cue, F.lit("refresh")), every("meta", refresh, "url")).otherwise(none)
+    root_of = F.when(F.contains(cue, F.lit("<base")), value(F.regexp_extract(seen, r"(?is)<base\b[^>]*>", 0), "href")).otherwise(F.lit(""))
+    targets = F.filter(F.concat(named, turned), lambda t: t != "")
+    found = pages.where(url.contains("://") & html.isNotNull()).select(url.alias("a"), root_of.alias("root"), F.explode(targets).alias("target"))
+    based = found.select("a", unescaped("root").alias("root"), unescaped("target").alias("target"))
+    based = based.select("a", F.when(F.col("root") == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), F.col("root")), F.col("a"))).alias("root"), "target")
     # exploded, so that no filter or later column repeats the long expression
     return based.select("a", F.explode_outer(F.array(resolved(F.col("root"), F.col("target")))).alias("b")).where(F.col("b").isNotNull())
 
 
-def judge(pages: DataFrame, edges: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, url_column: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, edges: DataFrame | None = None, rules: list[tuple[str, str]] | DataFrame = RULES, url_column: str = "url", default: str = "allow") -> DataFrame:
     """The columns of ``pages``, with host, path, rule, verdict.
 
-    ``edges`` has urls in columns a and b (by default those in the pages' markup). Only urls that are
-    part of an edge enter the graph; the markup stays out of every shuffle. With no edge at all
+    ``edges`` has urls in columns a and b (by default those in the pages' markup), ``rules`` is a short list or a table (rule, verdict). Only urls that are
+    part of an edge enter the graph; the markup stays out of every shuffle unless it is among the result's columns. With no edge at all
     nothing is joined.
     """
     edges = links(pages, url_column) if edges is None else edges
     url = F.col(url_column)
-    host, path = host_of(url), path_of(url)
     nodes = edges.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     groups = connected_components(nodes)
-    joined = F.concat(F.lit("//"), F.col("node"))
-    own = verdict_of(rule_of(host_of(F.concat(F.lit("x:"), joined)), path_of(F.concat(F.lit("x:"), joined)), rules), rules)
-    decided = groups.withColumn("own", own).groupBy("component").agg(
-        F.when(F.max((F.col("own") == "allow").cast("int")) == 1, "allow").when(F.max((F.col("own") == "block").cast("int")) == 1, "block").alias("decision")
-    )
-    aliases = groups.join(decided, "component").where(F.col("decision").isNotNull()).select(F.col("node").alias("__node"), F.col("decision").alias("__decision"))
-    ruled = pages.withColumns({"host": host, "path": path}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("__of", node_of(url))
-    if aliases.isEmpty():
-        told = ruled.withColumn("__decision", F.lit(None).cast("string"))
+    ruled = pages.withColumns({"host": host_of(url), "path": path_of(url)})
+    own, of, decision, n = (fresh([*ruled.columns, "rule", "verdict"], c) for c in ("own", "of", "decision", "n"))
+    ruled = with_rules(ruled.drop("rule", "verdict"), "host", "path", "rule", own, rules)
+    if groups.isEmpty():
+        told = ruled.withColumn(decision, F.lit(None).cast("string"))
     else:
-        told = ruled.join(aliases, F.col("__of") == F.col("__node"), "left").drop("__node")
-    return told.withColumn("verdict", F.coalesce(verdict_of(F.col("rule"), rules), F.col("__decision"), F.lit(default))).drop("__of", "__decision")
+        joined = F.concat(F.lit("x://"), F.col("node"))
+        judged = checkpointed(with_rules(groups.withColumns({"host": host_of(joined), "path": path_of(joined)}), "host", "path", "rule", "own", rules).select("node", "component", "own"))
+        decided = judged.groupBy("component").agg(
+            F.when(F.max((F.col("own") == "allow").cast("int")) == 1, "allow").when(F.max((F.col("own") == "block").cast("int")) == 1, "block").alias("decision"), F.count("*").alias("n")
+        )
+        aliases = join_told(judged.select("node", "component"), checkpointed(decided), "component", "n", judged.count(), "inner").where(F.col("decision").isNotNull())
+        ruled = ruled.withColumn(of, node_of(url))
+        counts = pages.select(node_of(url).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+        met = aliases.select("node", "decision").join(counts, "node").select(F.col("node").alias(of), F.col("decision").alias(decision), F.col("n").alias(n))
+        told = join_told(ruled, checkpointed(met), of, n, pages.count()).drop(of, n)
+    return told.withColumn("verdict", F.coalesce(own, decision, F.lit(default))).drop(own, decision)
 
 
 #: op2 in DuckDB. The recursion carries labels along the edges found in the markup.
