@@ -24,6 +24,37 @@ CANCEL = r"(?i)^(?:forget it|never mind|nevermind|cancel|drop it|ignore that)\b"
 RESET_WORDS = ("reset", "clear", "start over", "restart")
 ACTIONS = ("search", "next", "open", "summary", "paper", "ask", "help", "reset", "chat")
 ACCEPT, SUGGEST = 0.82, 0.72
+#: The help text, and replies that need no data, by handler.
+HELP = """Actions allowed:
+- `help`
+- `reset`
+- `search <topic>` (or just type a topic)
+- `search ... by <author>`
+- `search ... between <YYYY> and <YYYY>`
+- `search ... in <category>` (e.g., cs.AI, cs.LG, stat.ML)
+- `next`
+- `summary <n>` (shows abstract/details for nth paper on current page)
+- `open <n>` (downloads paper into DB and enables Q&A)
+- `open <title>` (downloads best matching paper from current search)
+- `paper <arxiv_id>` (shows details)
+- After opening a paper, ask any question about its content:
+  e.g. `what methodology did they use?`
+       `what datasets were used?`
+       `what are the main findings?`
+
+Examples:
+- ai in healthcare
+- papers by Andrew Ng
+- ai in healthcare between 2020 and 2022
+- cs.AI papers between 2020 and 2022
+"""
+REPLIES = {
+    "help": HELP,
+    "reset": "Reset done. You can `search <topic>` again.",
+    "search-usage": "Please provide at least one search constraint. Examples:\n- `ai in healthcare`\n- `papers by Andrew Ng`\n- `ai in healthcare between 2020 and 2022`\n- `cs.AI papers between 2020 and 2022`",
+    "no-search": "No active search yet. Use: `search <topic>` (example: `search transformers in nlp`).",
+    "open-usage": "Usage: `open 5` / `summary 5` or `open <title>`",
+}
 
 
 def wants(message: Column, cues: tuple[str, ...]) -> Column:
@@ -76,6 +107,11 @@ def route(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"handler": handler, "mode": mode})
 
 
+def fixed_reply(handler: Column) -> Column:
+    """The reply of a handler that needs no data, else null."""
+    return F.coalesce(*[F.when(handler == name, F.lit(text)) for name, text in REPLIES.items()])
+
+
 def _grams(t: Column) -> Column:
     """The distinct substrings of one, two and three characters."""
     cut = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))

@@ -27,6 +27,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def unit(v: Column) -> Column:
+    """The vector with norm 1, in double precision; null where it is null, empty or zero."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+
+
 def section_like(heading: Column, fragment: str) -> Column:
     """Whether a heading contains the fragment in any case; ``%`` and ``_`` in it are wildcards, a lone ``\\`` is itself."""
     pattern, k = [], 0
@@ -49,19 +55,20 @@ def heading_like(heading: Column, fragment: Column) -> Column:
     return F.ilike(heading, F.concat(F.lit("%"), plain, F.lit("%")))
 
 
-def top_k(chunks: DataFrame, vector: list[float], k: int, embedding: str = "embedding", order: str = "chunk_index") -> DataFrame:
-    """The k chunks nearest to one question, by score and then by number."""
-    scored = chunks.withColumn("score", cosine(F.col(embedding), F.array(*[F.lit(float(x)) for x in vector])))
+def top_k(chunks: DataFrame, vector: list[float] | Column, k: int, embedding: str = "embedding", order: str = "chunk_index") -> DataFrame:
+    """The k chunks nearest to one question, by score and then by number. ``vector`` is a list or a column, such as a scalar subquery."""
+    asked = vector if isinstance(vector, Column) else F.array(*[F.lit(float(x)) for x in vector])
+    scored = chunks.withColumn("__q", asked).withColumn("score", cosine(F.col(embedding), F.col("__q"))).drop("__q")
     return scored.orderBy(F.desc_nulls_last("score"), order).limit(k)
 
 
 def top_k_batch(questions: DataFrame, chunks: DataFrame, k: int, on: list[str], embedding: str = "embedding", order: str = "chunk_index") -> DataFrame:
     """For each question (question_id, the keys ``on``, vector) the k nearest chunks of its paper.
 
-    Joined on the paper's key, so either side may be shuffled; ranks are cut before and after the exchange.
+    Joined on the paper's key, so either side may be shuffled; ranks are cut before and after the exchange. Vectors are scaled once, so a pair costs one product.
     """
-    both = questions.join(chunks, on)
-    scored = both.withColumn("score", cosine(F.col(embedding), F.col("vector"))).drop(embedding, "vector")
+    both = questions.withColumn("vector", unit(F.col("vector"))).join(chunks.withColumn(embedding, unit(F.col(embedding))), on)
+    scored = both.withColumn("score", dot(F.col(embedding), F.col("vector"))).drop(embedding, "vector")
     ranked = Window.partitionBy("question_id").orderBy(F.desc_nulls_last("score"), order)
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 

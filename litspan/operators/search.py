@@ -123,12 +123,31 @@ def page(df: DataFrame, order: list[Column], start: int, size: int) -> DataFrame
     return top.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + start)
 
 
+def seek(df: DataFrame, order: list[tuple[str, bool]], last: tuple, size: int) -> DataFrame:
+    """The ``size`` rows after the one with the values ``last`` of the columns of ``order`` (name, whether descending).
+
+    A deep page without an offset: a predicate that can be pushed down, and a top-k of one page whatever its depth. The columns hold no null and end with a unique one.
+    """
+    past, equal = F.lit(False), F.lit(True)
+    for (name, down), value in zip(order, last, strict=True):
+        c, v = F.col(name), F.lit(value)
+        past, equal = past | (equal & ((c < v) if down else (c > v))), equal & (c == v)
+    return df.where(past).orderBy(*[F.desc(n) if down else F.asc(n) for n, down in order]).limit(size)
+
+
 def chunk_plan(start: int, needed: int, chunk: int = 200, most: int = 5000, total: int | None = None) -> list[tuple[int, int]]:
     """Offsets and sizes with which a session loads up to ``needed`` rows."""
     end = min(needed, most, total if total is not None else most)
     return [(at, min(chunk, most - at, (total if total is not None else most) - at)) for at in range(start, end, chunk)]
 
 
+def chunk_plans(totals: DataFrame, needed: int, total: str = "total", chunk: int = 200, most: int = 5000) -> DataFrame:
+    """As ``chunk_plan`` from 0 for each row with a total: start_at, size."""
+    end = F.least(F.lit(needed), F.lit(most), F.col(total))
+    starts = F.explode(F.when(end > 0, F.sequence(F.lit(0), end - 1, F.lit(chunk))).otherwise(F.array().cast("array<int>"))).alias("start_at")
+    return totals.select("*", starts).withColumn("size", F.least(F.lit(chunk), F.lit(most) - F.col("start_at"), F.col(total) - F.col("start_at")))
+
+
 def search(papers: DataFrame, r: Request) -> tuple[DataFrame, DataFrame]:
     """A page of the papers (title, abstract, authors, published, updated, categories as one code) that fit a request, and their total.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litspan.functions import text as T
 from litspan.operators.folds import fold
 
 TTL, STALE = 600.0, 3600.0  # seconds
@@ -55,6 +56,20 @@ def retry_schedule(attempts: Column, base: float = RETRY_BASE, most: int = RETRI
     return F.when(n < 1, F.array().cast("array<double>")).otherwise(clipped)
 
 
+def retry_decision(status: Column, error: Column, attempt: Column, retry_after: Column, elapsed: Column, base: float = RETRY_BASE, most: int = RETRIES, budget: float = RETRY_BUDGET) -> tuple[Column, Column]:
+    """What follows an attempt (from 1) at the upstream after ``elapsed`` seconds of the chain: ``done``, ``retry``, ``fail`` or ``deadline``, and the wait before a retry.
+
+    429, 502, 503, 504 and errors of the network are tried again; a 429 waits as long as its Retry-After says if that is a number. No wait goes beyond the budget, and a chain that has used it up ends.
+    """
+    transient = status.isin(429, 502, 503, 504) | F.lower(T.text(error)).isin("readtimeout", "connecttimeout", "remoteprotocolerror", "connecterror")
+    transient = F.coalesce(transient, F.lit(False))
+    left = F.lit(budget) - elapsed
+    told = (status == 429) & F.rlike(T.text(retry_after), F.lit(r"^[0-9]+$"))
+    wait = F.when(F.coalesce(told, F.lit(False)), retry_after.cast("double")).otherwise(F.lit(base) * F.pow(F.lit(2.0), attempt - 1))
+    ended = F.when((T.text(error) == "") & (status < 400), "done").when(~transient | (attempt > most), "fail").when(left <= 0, "deadline").otherwise("retry")
+    return ended, F.when(ended == "retry", F.least(wait, F.greatest(left, F.lit(0.0))))
+
+
 def active_paper(turns: DataFrame, session: str, turn: str, opened: Column) -> DataFrame:
     """The paper opened last, at each turn of a session."""
     so_far = Window.partitionBy(session).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)

@@ -52,6 +52,14 @@ def intent_route(spark, sf_dir):
     return N.route(rows).select("n", "handler")
 
 
+@query("SELECT event_type, action, CAST(count(*) AS BIGINT) AS turns, CAST(sum(CASE action WHEN 'help' THEN " + str(len(N.HELP)) + " WHEN 'reset' THEN 43 ELSE 0 END) AS BIGINT) AS chars FROM (SELECT event_type, CASE event_type WHEN 'view' THEN 'help' WHEN 'click' THEN 'reset' ELSE 'chat' END AS action FROM events) GROUP BY ALL")
+def fixed_replies(spark, sf_dir):
+    """Replies of handlers that need no data, the help text among them."""
+    action = F.when(F.col("event_type") == "view", "help").when(F.col("event_type") == "click", "reset").otherwise("chat")
+    rows = table(spark, sf_dir, "events").select("event_type", action.alias("action"))
+    return rows.groupBy("event_type", "action").agg(F.count("*").alias("turns"), F.coalesce(F.sum(F.length(N.fixed_reply(F.col("action")))), F.lit(0)).cast("long").alias("chars"))
+
+
 @query("SELECT * FROM (VALUES (1, 'reset'), (2, 'chat'), (3, 'chat'), (4, 'ask'), (5, 'chat')) t(n, action)")
 def intent_guard(spark, sf_dir):
     """Guards of reset and ask, unknown actions."""

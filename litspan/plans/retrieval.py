@@ -14,7 +14,8 @@ def _chunks(spark, sf_dir):
 
 
 def _vector(spark, sf_dir, vec_id):
-    return [float(x) for x in table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first().embedding]
+    """One stored vector as a scalar subquery: part of the plan, nothing runs while it is made."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").limit(1).scalar()
 
 
 COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"

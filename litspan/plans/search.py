@@ -35,6 +35,13 @@ def search_page_offset_limit(spark, sf_dir):
     return S.page(scored, [F.desc("score"), F.asc("doc_id")], 20, 10).select(F.col("position").cast("long").alias("position"), "doc_id", "score")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 5) ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def search_seek(spark, sf_dir):
+    """K2: a page deep in an order, from the last row of the page before it."""
+    found = S.seek(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", False)], (200_000.0, 5), 25)
+    return found
+
+
 @query("SELECT count(*) AS total FROM documents WHERE contains(lower(text), 'tion')")
 def search_total_count(spark, sf_dir):
     """S3: the total of a search."""
@@ -50,11 +57,13 @@ def order_year_range(spark, sf_dir):
     return found.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) >= 1995 AND year(o_orderdate) <= 1994")
+@query("""SELECT o_orderkey, year(o_orderdate) BETWEEN 1994 AND 1995 AS between_years, false AS reversed_years, year(o_orderdate) >= 1995 AS since, o_orderkey % 7 <> 0 AND year(o_orderdate) <= 1994 AS until, true AS unbounded FROM orders""")
 def order_year_match(spark, sf_dir):
-    """reversed bounds aren't swapped in a session, so nothing matches."""
+    """bounds on either side; reversed ones aren't swapped in a session, an unknown year matches no bound."""
     dated = table(spark, sf_dir, "orders").withColumn("y", T.published_year(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")))
-    return dated.where(S.year_match(F.col("y"), 1995, 1994)).select("o_orderkey")
+    y, some = F.col("y"), F.when(F.col("o_orderkey") % 7 != 0, F.col("y"))
+    told = {"between_years": (y, 1994, 1995), "reversed_years": (y, 1995, 1994), "since": (y, 1995, None), "until": (some, None, 1994), "unbounded": (some, None, None)}
+    return dated.select("o_orderkey", *[S.year_match(*args).alias(name) for name, args in told.items()])
 
 
 KEYED = f"regexp_replace(translate(lower(trim(%s, {BLANKS})), '\"''', ''), '\\s+', ' ', 'g')"
@@ -130,10 +139,11 @@ def search_description(spark, sf_dir):
     return docs.select("doc_id", T.describe_search(F.when(n % 2 == 0, F.col("lang")), F.when(n % 3 == 0, F.col("source")), first, last, cats).alias("described"))
 
 
-@query("SELECT CAST(b AS INT) AS start_at, CAST(least(200, 5000 - b, 1130 - b) AS INT) AS size FROM range(0, 1130, 200) t(b)")
+@query("SELECT o_custkey, CAST(b AS INT) AS start_at, CAST(least(200, 5000 - b, total - b) AS INT) AS size FROM (SELECT o_custkey, total, unnest(range(0, least(4000, 5000, total), 200)) AS b FROM (SELECT o_custkey, CAST(sum(o_totalprice) / 1000 AS INT) AS total FROM orders GROUP BY o_custkey))")
 def prefetch_plan(spark, sf_dir):
-    """K5: in which chunks a session loads its results."""
-    return spark.createDataFrame(S.chunk_plan(0, 4000, total=1130), "start_at int, size int")
+    """K5: in which chunks sessions load their results, each by its own total."""
+    totals = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice") / 1000, 0).cast("int").alias("total"))
+    return S.chunk_plans(totals, 4000).select("o_custkey", "start_at", "size")
 
 
 FEED = """SELECT id, replace(trim(title), chr(10), ' ') AS title, split_part(split_part(id, '/abs/', -1), 'v', 1) AS paper_id, pdf FROM (VALUES

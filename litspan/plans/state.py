@@ -55,6 +55,22 @@ def retry_schedule(spark, sf_dir):
     return waits.select("n", (F.col("pos") + 1).alias("attempt"), F.round("wait", 6).alias("wait"))
 
 
+CALLS = "SELECT event_id, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 200 WHEN 3 THEN 404 END AS status, CASE WHEN event_id % 5 = 4 THEN CASE WHEN event_id % 2 = 0 THEN 'ReadTimeout' ELSE 'ValueError' END END AS error, CAST(event_id % 6 + 1 AS INT) AS attempt, CASE WHEN event_id % 3 = 0 THEN '7' WHEN event_id % 3 = 1 THEN 'soon' END AS retry_after, CAST(event_id % 100 AS DOUBLE) AS elapsed FROM events"
+
+
+@query(f"""SELECT event_id, outcome, CASE WHEN outcome = 'retry' THEN least(CASE WHEN status = 429 AND retry_after = '7' THEN 7 ELSE 0.5 * power(2, attempt - 1) END, greatest(0, 90 - elapsed)) END::DOUBLE AS wait FROM (SELECT *, CASE WHEN error IS NULL AND status < 400 THEN 'done'
+    WHEN attempt > 3 OR NOT (coalesce(status, 0) IN (429, 503) OR coalesce(error, '') = 'ReadTimeout') THEN 'fail' WHEN elapsed >= 90 THEN 'deadline' ELSE 'retry' END AS outcome FROM ({CALLS}))""")
+def retry_decisions(spark, sf_dir):
+    """ST6, S13, E7: which failures are tried again, how long later, and when a chain of attempts ends."""
+    n = F.col("event_id")
+    calls = table(spark, sf_dir, "events").select(
+        "event_id", F.when(n % 5 == 0, 429).when(n % 5 == 1, 503).when(n % 5 == 2, 200).when(n % 5 == 3, 404).alias("status"), F.when(n % 5 == 4, F.when(n % 2 == 0, "ReadTimeout").otherwise("ValueError")).alias("error"),
+        (n % 6 + 1).cast("int").alias("attempt"), F.when(n % 3 == 0, "7").when(n % 3 == 1, "soon").alias("retry_after"), (n % 100).cast("double").alias("elapsed"),
+    )
+    outcome, wait = S.retry_decision(*[F.col(c) for c in ("status", "error", "attempt", "retry_after", "elapsed")])
+    return calls.select("event_id", outcome.alias("outcome"), wait.alias("wait"))
+
+
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS turns, max_by(event_type, (ts, event_id)) AS last_action FROM events GROUP BY user_id")
 def session_get_or_create(spark, sf_dir):
     """ST7: the state of each session after its log."""

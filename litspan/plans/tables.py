@@ -68,3 +68,29 @@ def paper_get(spark, sf_dir):
 def chunk_count(spark, sf_dir):
     """A1: chunks and sections of each paper."""
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("lang").alias("n_sections"))
+
+
+def _papers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, "ready").when(F.col("doc_id") % 3 == 1, "").alias("status"), F.lit("References").alias("reference_heading"), F.col("n_chars").cast("long").alias("reference_count"), "source")
+
+
+@query("SELECT doc_id AS paper_id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL ELSE 'References' END AS reference_heading, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL ELSE n_chars END::BIGINT AS reference_count FROM documents")
+def references_cleared(spark, sf_dir):
+    """What is known of references is taken back for chosen papers."""
+    chosen = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("paper_id"))
+    return store.clear_references(_papers(spark, sf_dir), chosen).drop("status")
+
+
+@query("SELECT l.doc_id * 2 AS paper_id, CASE WHEN d.doc_id IS NOT NULL AND d.doc_id % 3 = 0 THEN 'ready' ELSE 'not_found' END AS status FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 2")
+def paper_statuses(spark, sf_dir):
+    """Statuses of requested papers."""
+    asked = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("paper_id"))
+    return store.statuses(asked, _papers(spark, sf_dir))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(NULL AS VARCHAR) AS title, CAST(n_chars AS INT) AS reference_count, 20 AS n_columns FROM documents")
+def paper_schema(spark, sf_dir):
+    """L1: rows brought to the declared columns and types."""
+    found = store.declared(_papers(spark, sf_dir), store.PAPERS)
+    return found.select("paper_id", "title", "reference_count", F.lit(len(found.columns)).alias("n_columns"))
