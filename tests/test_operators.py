@@ -120,3 +120,81 @@ def test_reference_hits_tail_first(spark):
     hits = spark.createDataFrame([(1, 0.4), (9, 0.0), (3, 0.9)], "chunk_index int, score double")
     order = lambda **k: [r.chunk_index for r in hits.orderBy(*retrieval.hit_order(hits, "references", **k)).collect()]
     assert order() == [1, 3, 9] and order(tail_first=True) == [9, 3, 1]
+
+
+def test_markdown_against_plain_substitutions(spark, sf_dir):
+    """The thirteen substitutions one after the other, by Python's own engine, on documents and on marks of all kinds."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from litspan.functions import text as T
+
+    marks = ["# Title\n> quote\n**bold** and *it* and __u__ and _v_ `code`\n---\n![pic](http://x) [link](http://y) ~~gone~~", "```py\nx = 1\n```\n***both***", "a * b * c _ d _", None, ""]
+    docs = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rows = [(k, t) for k, t in enumerate(marks + docs)]
+    out = {r.k: r.plain for r in spark.createDataFrame(rows, "k int, t string").select("k", T.strip_markdown(F.col("t")).alias("plain")).collect()}
+    for k, t in rows:
+        plain = t or ""
+        for pattern, kept in T.MARKDOWN:
+            plain = re.sub(pattern, kept.replace("$1", r"\1"), plain)
+        assert out[k] == plain
+
+
+def test_fuzzy_titles_against_all_pairs(spark):
+    """Accepted titles and suggestions as all pairs of titles give them."""
+    import difflib
+    import random
+
+    from litspan.operators import navigation as N
+
+    rng = random.Random(2)
+    words = "deep shallow network graph learning of for vision language model survey study".split()
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 6))) for _ in range(150)]
+    titles = list(dict.fromkeys(titles))
+    asked = ["".join(c for c in t if rng.random() > 0.08) for t in titles[:30]] + ["nothing like it at all 123", ""]
+    papers = spark.createDataFrame(list(enumerate(titles)), "paper_id int, title string")
+    requests = spark.createDataFrame(list(enumerate(asked)), "request_id int, query string")
+    got: dict[int, list] = {}
+    for r in N.fuzzy_titles(requests, papers).collect():
+        got.setdefault(r.request_id, []).append((r.paper_id, round(r.ratio, 9), r.accepted))
+    key = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    for i, q in enumerate(asked):
+        ratios = [(p, difflib.SequenceMatcher(a=key(q), b=key(t)).ratio()) for p, t in enumerate(titles)] if key(q) else []
+        best = sorted([x for x in ratios if x[1] >= N.SUGGEST], key=lambda x: (-x[1], x[0]))[:10]
+        if best and best[0][1] >= N.ACCEPT:
+            best = best[:1]
+        assert sorted(got.get(i, [])) == sorted((p, round(x, 9), best[0][1] >= N.ACCEPT) for p, x in best)
+
+
+class Chat:
+    """A model that says what it was asked; questions with a bang make it fail."""
+
+    def classify(self, question):
+        return " Structural.\n" if "whole" in question else "nonsense"
+
+    def intent(self, message):
+        if "!" in message:
+            raise RuntimeError("down")
+        return {"action": "search", "topic": message, "from_year": 2020}
+
+    def answer(self, prompt):
+        return f"  says {len(prompt)} " if "Alpha" in prompt else ""
+
+
+def test_models_through_providers(spark):
+    from pyspark.sql import functions as F
+
+    from litspan.functions import providers as P
+    from litspan.operators import qa as Q
+
+    rows = spark.createDataFrame([(1, "what is the whole of it"), (2, "why"), (3, None), (4, "no!")], "n int, q string")
+    found = rows.withColumn("label", P.classified(F.col("q"), Chat)).withColumn("i", P.intended(F.col("q"), Chat)).select("n", Q.question_label(F.col("q"), F.col("label")).alias("label"), "i.action", "i.topic", "i.from_year")
+    got = {r.n: (r.label, r.action, r.topic, r.from_year) for r in found.collect()}
+    assert got == {1: ("structural", "search", "what is the whole of it", 2020), 2: ("specific", "search", "why", 2020), 3: ("specific", None, None, None), 4: ("specific", None, None, None)}
+    chunks = spark.createDataFrame([("p", 0, "Alpha text", "I", [1.0, 0.0]), ("q", 0, "other", "I", [1.0, 0.0])], "paper_id string, chunk_index int, text string, section_heading string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "p", "why so", [1.0, 0.0]), (2, "q", "why so", [1.0, 0.0]), (3, "r", "why so", [1.0, 0.0])], "question_id int, paper_id string, question string, vector array<float>")
+    heads = spark.createDataFrame([], "paper_id string, pos int, heading string")
+    out = {r.question_id: r.answer for r in Q.answer_batch(asked, chunks, heads, chat=Chat).collect()}
+    prompt = "Excerpts from the paper:\n\nAlpha text\n\n---\n\nQuestion: why so"
+    assert out == {1: f"says {len(prompt)}", 2: Q.NO_MODEL + "other", 3: Q.NO_CONTENT}
