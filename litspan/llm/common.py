@@ -27,7 +27,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="litspan-checkpoint-"))
-    return df.checkpoint(eager=True)
+    # what a plan knows of its columns is kept with a checkpoint, and grows with every union of joins in a loop until planning takes all memory
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
 
 
 HOTTEST = 1024
@@ -41,9 +48,11 @@ def join_told(rows: DataFrame, told: DataFrame, key: str, count: str, total: int
     """
     hot = F.col(count) * HOTTEST > F.lit(total)
     few, rest = told.where(hot), told.where(~hot)
-    here = rows.join(F.broadcast(few), key)
-    there = rows.where(F.col(key).isNotNull()).join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, how)
-    both = here.unionByName(there)
+    full = rows.where(F.col(key).isNotNull())
+    if few.isEmpty():
+        both = full.join(told, key, how)
+    else:
+        both = full.join(F.broadcast(few), key).unionByName(full.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, how))
     return both if how == "inner" else both.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 

@@ -186,7 +186,8 @@ def buckets(classes: DataFrame, runs: int) -> DataFrame:
         probes = members.select("key", "count", F.expr(f"explode(transform(sequence(0, 3), j -> xxhash64(j, {_token(f'pmod(hash(key, j, -1), {COORDINATES})')})))").alias("token"))
         shares = probes.groupBy("key", "token").agg(F.count("*").alias("n"), F.first("count").alias("count"))
         alike = shares.groupBy("key").agg((F.sum(F.col("n") * F.col("n")) / F.first(4.0 * F.col("count") * F.col("count"))).alias("mean"), F.first("count").alias("many"))
-        judged = checkpointed(join_told(members, alike.select("key", "many", (F.col("mean") >= ALIKE).alias("alike")), "key", "many", members.count(), "inner"))
+        alike = checkpointed(alike.select("key", "many", (F.col("mean") >= ALIKE).alias("alike")))  # joined in parts, so probed once before that
+        judged = checkpointed(join_told(members, alike, "key", "many", members.count(), "inner"))
         done = done.union(judged.where("alike").select("key", "node", crowd))
         split = judged.where("NOT alike")
         branch = f"explode(transform(sequence(1, {BRANCHES}), j -> xxhash64(key, j, {_token(f'pmod(hash(key, j), {COORDINATES})')})))"
