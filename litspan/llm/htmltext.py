@@ -25,8 +25,9 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from litspan.llm.common import slices, texts
+from litspan.llm.common import fresh, slices, texts
 
 #: Elements that begin and end lines.
 BLOCKS = frozenset(
@@ -244,9 +245,9 @@ def ancestors(parent: list[int], element: int) -> Iterator[int]:
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (by default the id), and ``text``, of every page. One pass, no shuffle."""
-    carry = carry or [id_column]
-    frame = pages.select(*carry, html_column)
+    """The columns ``carry`` (by default the id; one called text is left out), and ``text``, of every page. One pass, no shuffle."""
+    carry = [c for c in carry or [id_column] if c.lower() != "text"]
+    frame = pages.select(*carry, F.col(html_column).alias(fresh(carry, "markup")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

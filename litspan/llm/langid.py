@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspan.llm.bpe import LETTER, _classes
-from litspan.llm.common import shuffle_width, slices, texts
+from litspan.llm.common import fresh, shuffle_width, slices, texts
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
     A column that has one of those names already is replaced. One pass over the scan; the model is broadcast (see ``fit`` for its bound).
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in out]
-    frame = docs.select(*carry, F.col(text_column).alias("__text"))
+    frame = docs.select(*carry, F.col(text_column).alias(fresh(carry, "words")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,21 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_pipeline_of_no_documents(spark, tmp_path, sf_dir):
     spark.read.parquet(f"{sf_dir}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_repeated_ids(spark, sf_dir):
+    """One id with different texts, null ids, and extra columns with the names that the stages use inside."""
+    say = "the cat and the dog went to the house with the man and they said that it was good for all of them"
+    near = say.replace("good", "fine")
+    rows = [(1, say), (1, say), (1, "write to a@b.org about the house and the garden that they have"), (2, say), (3, near + " indeed"), (None, say), (None, "another text that is for the people of the town and the land"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or ""), 1, 2, 3, 4, 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, mark int, Words int, language_ int, spans int, row_key int")
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["language"](spark, docs, sf_dir)
+    assert first.columns == docs.columns and sorted((r.doc_id or 0 for r in first.collect())) == [0, 0, 1, 1, 1, 2, 3]
+    second = stages["near_duplicates"](spark, first, sf_dir)
+    assert second.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text[:5]) for r in second.collect()) == [(0, "anoth"), (1, "the c"), (1, "write"), (3, "the c")]
+    third = stages["personal_data"](spark, second, sf_dir)
+    assert third.columns == docs.columns and sorted(r.text[:16] for r in third.collect() if r.doc_id == 1) == ["the cat and the ", "write to [EMAIL]"]
+    assert all((r.mark, r.Words, r.language_, r.spans, r.row_key) == (1, 2, 3, 4, 5) and r.n_chars == len(r.text) for r in third.collect())
+    assert stages["packing"](spark, third, sf_dir).count() >= 4
