@@ -61,7 +61,12 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-TASK_BYTES = 64 << 20
+TASK_BYTES, TASK_ROWS = 64 << 20, 500_000
+
+
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in partitions of about TASK_ROWS: a loop over a small table doesn't write a file for each shuffle partition in each round."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
 
 
 def measured(docs: DataFrame, text_column: str) -> tuple[int, int]:

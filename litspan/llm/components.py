@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspan.llm.common import checkpointed, join_told
+from litspan.llm.common import checkpointed, join_told, narrowed
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,10 +31,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         both = down.union(down.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_told(both.where("v > u"), least, "u", "n", 2 * before[0], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpointed(large)
+        large = checkpointed(narrowed(large, before[0]))
         smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_told(large, smallest, "u", "n", before[0], "inner").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = checkpointed(smallest.select("u", F.col("m").alias("v")).union(small).distinct())
+        down = checkpointed(narrowed(smallest.select("u", F.col("m").alias("v")).union(small).distinct(), before[0]))
         after = _state(down)
         if after == before:
             break

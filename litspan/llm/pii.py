@@ -3,9 +3,9 @@
 Base spans come from four patterns (email, ip, card, phone). Their matches, and identifier-like tokens assigned to a name that
 tells a secret, are the seeds. Every seed and every identifier-like token is an instance, what stands around it are lexical patterns: the name it is assigned
 to, the two and the three words before it, the two words after it, and the pair of words beside it. For each kind of seed a pattern scores the mean
-confidence of its distinct instances, if ``SUPPORT`` of them are confident, and an instance the best score of its patterns; seeds keep confidence 1. Spark joins
+confidence of its distinct instances, if ``SUPPORT`` of them are confident, and an instance the best score of its patterns; seeds keep confidence 1, base spans in their own kind only. Spark joins
 the pattern-instance graph in rounds. Discovered instances count like seeds in the next round, so scores only grow, and rounds go on until
-they grow by less than ``SETTLED`` in all. Instances that reach the threshold are unseen identifiers; their places are spans of kind ``id`` (``secret`` if that is
+they grow by less than ``SETTLED`` in all. What base spans say of a pattern is the same in each round, so it is summed once, and rounds join only the edges of other instances. Instances that reach the threshold are unseen identifiers; their places are spans of kind ``id`` (``secret`` if that is
 what they are like), beside the base ones.
 
 Defined cases: a null text is empty and has no span. Repeated rows have the same result each, rows of one id too, each by its own text. Matches that fail a check (an address
@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspan.llm.common import checkpointed, fresh, join_told, slices, texts
+from litspan.llm.common import checkpointed, fresh, join_told, narrowed, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET, FOUND = "secret", "id"
 ROUNDS = 30  # at most; scores that still grow then are taken as they are
-SETTLED = 0.01  # growth of all scores together, for each thousand of them, at which rounds end
+SETTLED = 0.1  # growth of all scores together, for each thousand of them, at which rounds end
 SUPPORT = 3  # distinct confident instances that a pattern needs
 CONFIDENT = 0.6  # from which an instance counts as an identifier
 CONTEXT = 96  # code points around an instance in which patterns are sought
@@ -184,28 +184,37 @@ def discovered(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
     Every edge carries the numbers of edges of its pattern and of its instance, so means need no further join, and ends with a large share of all edges are
     met by broadcast. The driver sees two numbers of a round.
     """
-    places = scanned.select(F.explode("places").alias("p")).select("p.instance", "p.kind", F.explode("p.patterns").alias("pattern"))
-    plain = checkpointed(places.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+    first = lambda name: F.first(name).alias(name)
+    places = scanned.select(F.explode("places").alias("p")).select("p.*")
+    plain = checkpointed(places.select(F.explode("patterns").alias("pattern"), "instance").distinct())
     total = plain.count()
     edges = join_told(plain, plain.groupBy("pattern").agg(F.count("*").alias("of_pattern")), "pattern", "of_pattern", total, "inner")
     edges = checkpointed(join_told(edges, plain.groupBy("instance").agg(F.count("*").alias("of_instance")), "instance", "of_instance", total, "inner"))
-    first = lambda name: F.first(name).alias(name)
-    seeds = checkpointed(edges.where(F.col("kind").isNotNull()).groupBy("instance", "kind").agg(F.lit(1.0).alias("sure"), first("of_instance")))
-    known, before = seeds, (seeds.count(), float(seeds.count()))
-    ends = edges.select("pattern", "instance", "of_pattern")
-    for _ in range(rounds if before[0] else 0):
-        met = join_told(ends, known, "instance", "of_instance", total, "inner")
-        scored = met.groupBy("pattern", "kind").agg((F.sum("sure") / F.first("of_pattern")).alias("mean"), F.sum((F.col("sure") >= confident).cast("int")).alias("n"), first("of_pattern"))
-        good = scored.where(F.col("n") >= support).select("pattern", "kind", "mean", "of_pattern")
-        best = join_told(edges.select("pattern", "instance", "of_instance"), good, "pattern", "of_pattern", total, "inner").select("instance", "kind", F.col("mean").alias("sure"), "of_instance")
-        known = checkpointed(seeds.unionByName(best).groupBy("instance", "kind").agg(F.max("sure").alias("sure"), first("of_instance")))
-        after = tuple(known.agg(F.count("*"), F.coalesce(F.sum("sure"), F.lit(0.0))).first())
-        if after[1] - before[1] <= SETTLED * after[0] / 1000:
+    kinds = places.where("kind IS NOT NULL").select("instance", "kind").distinct()
+    seeds = checkpointed(kinds.join(edges.groupBy("instance").agg(F.count("*").alias("n")), "instance"))
+    base = seeds.where(F.col("kind") != SECRET)
+    told = join_told(edges, base.groupBy("instance").agg(first("n"), F.lit(True).alias("based")), "instance", "n", total)
+    free = checkpointed(told.where("based IS NULL").select("pattern", "instance", "of_pattern", "of_instance"))
+    left = free.count()
+    patterns = free.groupBy("pattern").agg(F.count("*").alias("in_free"))
+    said = join_told(edges.select("pattern", "instance", "of_pattern"), base, "instance", "n", total, "inner").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sum"), F.count("*").alias("n"), first("of_pattern"))
+    said = checkpointed(narrowed(said.join(patterns, "pattern"), left))
+    free = checkpointed(narrowed(join_told(free, patterns, "pattern", "in_free", left, "inner"), left))
+    fixed = checkpointed(narrowed(seeds.where(F.col("kind") == SECRET).join(base.select("instance"), "instance", "left_anti").select("instance", "kind", F.lit(1.0).alias("sure"), F.col("n").alias("of_instance")), left))
+    known, before = fixed, float(fixed.count())
+    for _ in range(rounds if left else 0):
+        met = join_told(free.drop("of_instance"), known, "instance", "of_instance", left, "inner")
+        met = met.groupBy("pattern", "kind").agg(F.sum("sure").alias("sum"), F.sum((F.col("sure") >= confident).cast("long")).alias("n"), first("of_pattern"), first("in_free"))
+        scored = said.unionByName(met).groupBy("pattern", "kind").agg((F.sum("sum") / F.first("of_pattern")).alias("sure"), F.sum("n").alias("n"), first("in_free"))
+        good = checkpointed(narrowed(scored.where(F.col("n") >= support).drop("n"), left))
+        best = join_told(free.select("pattern", "instance", "of_instance"), good, "pattern", "in_free", left, "inner").select("instance", "kind", "sure", "of_instance")
+        known = checkpointed(narrowed(fixed.unionByName(best).groupBy("instance", "kind").agg(F.max("sure").alias("sure"), first("of_instance")), left))
+        count, after = known.agg(F.count("*"), F.coalesce(F.sum("sure"), F.lit(0.0))).first()
+        if after - before <= SETTLED * count / 1000:
             break
         before = after
     sure = known.where(F.col("sure") >= confident).groupBy("instance").agg(F.max_by("kind", F.struct("sure", "kind")).alias("like"))
-    based = seeds.where(F.col("kind") != SECRET).select("instance")
-    return sure.join(based, "instance", "left_anti").select("instance", F.when(F.col("like") == SECRET, SECRET).otherwise(FOUND).alias("kind"))
+    return sure.select("instance", F.when(F.col("like") == SECRET, SECRET).otherwise(FOUND).alias("kind"))
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
