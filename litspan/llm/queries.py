@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, ngrams, packing, pii, urls
+from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, ngrams, packing, pii, urls, wordbpe
 from litspan.llm.common import read_table
 from litspan.llm.oracles import ORACLES
 
@@ -79,8 +79,6 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-
-
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, links and component of every document, by word five-grams with a similarity of 0.8."""
@@ -94,3 +92,11 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(F.expr(pii.joined("base")), 256).alias("base_sha256"), F.expr(pii.joined("concat(base, more)")).alias("spans"))
+
+
+@query
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by the streaming transducer and decoded as the library spells it; digests of both."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = wordbpe.encode_documents(read_table(spark, sf_dir, "documents"), path)
+    return wordbpe.decode_documents(encoded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
