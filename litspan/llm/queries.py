@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspan.llm import bpe, embeddings, fingerprints, htmltext, langid, licenses, ngrams, packing, pii, urls, wordbpe
+from litspan.llm import bpe, divergence, embeddings, fingerprints, htmltext, langid, lexical, licenses, ngrams, packing, pii, urls, wordbpe
 from litspan.llm.common import read_table
 from litspan.llm.oracles import ORACLES
 
@@ -100,3 +100,15 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     encoded = wordbpe.encode_documents(read_table(spark, sf_dir, "documents"), path)
     return wordbpe.decode_documents(encoded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of sources of a language, and each source's ten most typical terms."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for each benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -13,6 +13,9 @@ from litspan.llm import ngrams, queries
 def test_contract(spark, sf_dir, name):
     table = {"op1": "embeddings", "op2": "pages", "op5": "pages"}.get(name.split("_")[0], "documents")
     rows = queries.QUERIES[name](spark, sf_dir)
+    if name.startswith(("op12", "op13")):
+        assert rows.count()  # held against their SQL below
+        return
     n = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     assert rows.count() == n if name != "op10_packing" else rows.select("doc_id").distinct().count() == n
 
@@ -20,7 +23,7 @@ def test_contract(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("pages", "documents", "embeddings"):
+    for t in ("pages", "documents", "embeddings", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     want = c.sql(queries.ORACLES[name])
