@@ -72,41 +72,6 @@ def scheme_filter(rows: DataFrame, paper: str = "paper", order: str = "pos") ->
     return kept.withColumn("__r", F.row_number().over(same)).where("__r = 1").drop("__r")
 
 
-def anchor(rows: DataFrame, pages: DataFrame, paper: str = "paper", before: int = 2, after: int = 1) -> DataFrame:
-    """Move each heading to the first page around its own whose text holds it; others stay. Adds ``anchored``."""
-    guess = rows.withColumn("__id", F.struct(paper, "heading", "page_start"))
-    near = guess.select("__id", paper, F.explode(F.sequence(F.greatest(F.lit(1), F.col("page_start") - before), F.col("page_start") + after)).alias("page"), T.heading_norm(F.col("heading")).alias("__h"))
-    texts = pages.select(paper, "page", T.heading_norm(F.col("text")).alias("__t"))
-    found = near.join(texts, [paper, "page"]).where(F.contains(F.col("__t"), F.col("__h"))).groupBy("__id").agg(F.min("page").alias("__page"))
-    both = guess.join(found, "__id", "left")
-    return both.withColumn("anchored", F.col("__page").isNotNull()).withColumn("page_start", F.coalesce("__page", "page_start")).drop("__id", "__page")
-
-
-def anchor_lines(rows: DataFrame, lines: DataFrame, paper: str = "paper", before: int = 2, after: int = 1) -> DataFrame:
-    """Move each heading to the first page around its own on which it stands as a heading; others stay. Adds ``anchored``.
-
-    A numbered heading is found where its page's text holds it, number and all. Any heading is found in a line of the body that holds its name and little more, in a span of the body's size
-    at least. ``lines`` has paper, page, line_no, line, size, mid_y, page_height, body_size and, if known, ``spans`` (array of text and size); without them a line is one span.
-    """
-    guess = rows.withColumn("__id", F.struct(paper, "heading", "page_start"))
-    near = guess.select("__id", paper, F.explode(F.sequence(F.greatest(F.lit(1), F.col("page_start") - before), F.col("page_start") + after)).alias("page"))
-    near = near.select("*", T.heading_norm(T.strip(F.col("__id.heading"))).alias("__full"), T.heading_norm(T.strip_prefix(T.strip(F.col("__id.heading")))).alias("__name"), numbered(F.col("__id.heading")).alias("__numbered"))
-    whole = lines.groupBy(paper, "page").agg(T.heading_norm(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")).alias("__text"))
-    by_text = near.where("__numbered").join(whole, [paper, "page"]).where(F.contains("__text", "__full")).select("__id", "page")
-    spans = F.col("spans") if "spans" in lines.columns else F.array(F.struct(F.col("line").alias("text"), F.col("size").alias("size")))
-    body = lines.where(~in_margin(F.col("mid_y"), F.col("page_height"))).select(paper, "page", T.heading_norm(F.col("line")).alias("__line"), spans.alias("__spans"), "body_size")
-    both = near.where("__name <> ''").join(body, [paper, "page"]).where(F.contains("__line", "__name") & (F.length("__line") - F.length("__name") <= 20))
-
-    def carries(s: Column) -> Column:
-        own = T.heading_norm(s["text"])
-        return (F.contains(own, F.col("__name")) | F.contains(F.col("__name"), own)) & (s["size"] >= F.col("body_size") * 0.95)
-
-    by_line = both.where(F.exists("__spans", carries)).select("__id", "page")
-    found = by_text.union(by_line).groupBy("__id").agg(F.min("page").alias("__page"))
-    out = guess.join(found, "__id", "left")
-    return out.withColumn("anchored", F.col("__page").isNotNull()).withColumn("page_start", F.coalesce("__page", "page_start")).drop("__id", "__page")
-
-
 def numbered(heading: Column) -> Column:
     """Whether a heading begins with a roman or an arabic number."""
     return F.rlike(heading, F.lit(ROMAN)) | F.rlike(heading, F.lit(ARABIC))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from litspan.operators import navigation as N
 from litspan.operators import search as S
-from litspan.operators import state
+from litspan.operators import state, titles
 from litspan.plans.registering import query
 from litspan.sources.tables import literal, table
 
@@ -76,15 +76,31 @@ ASKED = "(1, 'Red  WIDGET'), (2, 'hot-gear!'), (3, 'bolt'), (4, ''), (5, 'zzz')"
     SELECT request_id, p_partkey, 'exact' AS match FROM e UNION ALL SELECT request_id, p_partkey, 'substring' FROM r JOIN p ON contains(t, q) WHERE q <> '' AND request_id NOT IN (SELECT request_id FROM e)""")
 def title_match(spark, sf_dir):
     """Titles equal to a request, else those that contain it."""
-    return N.title_matches(literal(spark, "request_id, query", ASKED), table(spark, sf_dir, "part"), paper="p_partkey", title="p_name")
+    return titles.title_matches(literal(spark, "request_id, query", ASKED), table(spark, sf_dir, "part"), paper="p_partkey", title="p_name")
+
+
+def _titled(spark, sf_dir):
+    """Titles of a corpus: how its documents begin; every twentieth is asked for with other words around and between."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 70).alias("title"))
+    asked = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("request_id"), "title")
+    return docs, asked
+
+
+@query(f"""WITH d AS (SELECT doc_id, {TITLE.format(x='substring(text, 1, 70)')} AS t FROM documents), r AS (SELECT doc_id AS request_id, {TITLE.format(x='substring(text, 4, 9)')} AS q FROM documents WHERE doc_id % 20 = 0),
+    e AS (SELECT request_id, min(doc_id) AS doc_id FROM r JOIN d ON q = t WHERE q <> '' GROUP BY request_id)
+    SELECT request_id, doc_id, 'exact' AS match FROM e UNION ALL SELECT request_id, doc_id, 'substring' FROM r JOIN d ON contains(t, q) WHERE q <> '' AND request_id NOT IN (SELECT request_id FROM e)""")
+def title_match_corpus(spark, sf_dir):
+    """Fragments of every twentieth title asked of all titles."""
+    docs, asked = _titled(spark, sf_dir)
+    return titles.title_matches(asked.withColumn("query", F.substring("title", 4, 9)), docs, paper="doc_id")
 
 
 @query()
 def title_match_fuzzy(spark, sf_dir):
-    """The likeliest titles by matching blocks."""
-    asked = literal(spark, "request_id, query", "(1, 'rad widget'), (2, 'smal gizmos'), (3, 'entirely different words'), (4, 'bluebolt')")
-    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    return N.fuzzy_titles(asked, names, paper="p_partkey", title="p_name").withColumn("ratio", F.round("ratio", 6))
+    """The likeliest titles by matching blocks, for every twentieth title with some of its letters changed. A ratio of matching blocks has no SQL; tests compare all pairs."""
+    docs, asked = _titled(spark, sf_dir)
+    changed = asked.withColumn("query", F.regexp_replace(F.substring("title", 3, 60), "th", "d"))
+    return titles.fuzzy_titles(changed, docs, paper="doc_id").withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""WITH l AS (SELECT c_custkey, c_name, c_mktsegment, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer),

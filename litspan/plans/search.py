@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litspan.functions import text as T
+from litspan.operators import postings
 from litspan.operators import search as S
 from litspan.plans.documents import BLANKS
 from litspan.plans.registering import query
+from litspan.sources.scratch import folder
 from litspan.sources.tables import literal, table
 
 
@@ -27,6 +29,17 @@ def search_multi_predicate(spark, sf_dir):
     return docs.where(S.predicate(r, F.lit(""), F.col("text"), F.col("source"), F.lit(None), F.col("lang"))).select("doc_id", "lang", "source")
 
 
+@query(f"""WITH d AS (SELECT doc_id, lower(substring(text, 1, 60)) AS t, lower(text) AS b FROM documents), r AS (SELECT item_id, lower(trim(substring(text, 5, 8), {BLANKS})) AS w FROM benchmark),
+    x AS (SELECT item_id, doc_id, CAST(2 * ((length(t) - length(replace(t, w, ''))) // length(w)) + (length(b) - length(replace(b, w, ''))) // length(w) AS INTEGER) AS relevance FROM r, d WHERE w <> '' AND contains(b, w))
+    SELECT item_id, rank, doc_id, relevance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, doc_id) AS INTEGER) AS rank FROM x) WHERE rank <= 10""")
+def search_topics_indexed(spark, sf_dir):
+    """A table of topics asked at once, by an inverted index that is stored and read again."""
+    papers = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("abstract"))
+    index = postings.save(postings.build(papers, "doc_id"), folder(spark, "topic-index"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 5, 8).alias("topic"))
+    return postings.top(asked, index, papers, 10, request="item_id", paper="doc_id")
+
+
 @query("SELECT position, doc_id, score FROM (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS position FROM (SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'tion')) AS BIGINT) AS score FROM documents WHERE contains(lower(text), 'tion'))) WHERE position > 20 AND position <= 30")
 def search_page_offset_limit(spark, sf_dir):
     """The third page of ten by relevance, ties by id."""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from litspan.operators import navigation, references, retrieval, state, store
+from litspan.operators import references, retrieval, state, store, titles
 from litspan.operators.search import Request, chunk_plan, query_text
 
 
@@ -66,7 +66,7 @@ def test_longest_runs(spark):
 def test_fuzzy_ratio_of_the_fixture(spark):
     asked = spark.createDataFrame([(1, "Responsible AI in healthcare"), (2, "")], "request_id int, query string")
     papers = spark.createDataFrame([(1, "Responsible AI for Healthcare"), (2, "Bananas")], "paper_id int, title string")
-    found = navigation.fuzzy_titles(asked, papers).collect()
+    found = titles.fuzzy_titles(asked, papers).collect()
     assert [(r.request_id, r.paper_id, round(r.ratio, 6), r.accepted) for r in found] == [(1, 1, 0.912281, True)]
 
 
@@ -141,32 +141,6 @@ def test_markdown_against_plain_substitutions(spark, sf_dir):
         assert out[k] == plain
 
 
-def test_fuzzy_titles_against_all_pairs(spark):
-    """Accepted titles and suggestions as all pairs of titles give them."""
-    import difflib
-    import random
-
-    from litspan.operators import navigation as N
-
-    rng = random.Random(2)
-    words = "deep shallow network graph learning of for vision language model survey study".split()
-    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 6))) for _ in range(150)]
-    titles = list(dict.fromkeys(titles))
-    asked = ["".join(c for c in t if rng.random() > 0.08) for t in titles[:30]] + ["nothing like it at all 123", ""]
-    papers = spark.createDataFrame(list(enumerate(titles)), "paper_id int, title string")
-    requests = spark.createDataFrame(list(enumerate(asked)), "request_id int, query string")
-    got: dict[int, list] = {}
-    for r in N.fuzzy_titles(requests, papers).collect():
-        got.setdefault(r.request_id, []).append((r.paper_id, round(r.ratio, 9), r.accepted))
-    key = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
-    for i, q in enumerate(asked):
-        ratios = [(p, difflib.SequenceMatcher(a=key(q), b=key(t)).ratio()) for p, t in enumerate(titles)] if key(q) else []
-        best = sorted([x for x in ratios if x[1] >= N.SUGGEST], key=lambda x: (-x[1], x[0]))[:10]
-        if best and best[0][1] >= N.ACCEPT:
-            best = best[:1]
-        assert sorted(got.get(i, [])) == sorted((p, round(x, 9), best[0][1] >= N.ACCEPT) for p, x in best)
-
-
 class Chat:
     """A model that says what it was asked; questions with a bang make it fail."""
 
