@@ -132,6 +132,34 @@ def next_start(cursor: Column, size: Column, total: Column, loaded: Column) -> C
     return F.when(total.isNotNull() & (start >= total), None).when(start >= loaded, None).otherwise(start)
 
 
+#: How many candidates are shown, by where they were found and whether all were asked for, and how the reply begins.
+SHOWN = {
+    ("title", "page", True): (15, "Matches in the current page (reply `open <number>`):"),
+    ("title", "loaded", True): (20, "Matches in the current loaded results (reply `open <number>`):"),
+    ("title", "page", False): (10, "I found multiple close matches in the current page. Which one should I open? Reply `open <number>`:"),
+    ("title", "loaded", False): (10, "I found multiple close matches in the current results. Which one should I open? Reply `open <number>`:"),
+    ("filter", "page", True): (20, "Multiple matches in the current page (reply `open <number>`):"),
+    ("filter", "loaded", True): (30, "Multiple matches in your current results (reply `open <number>`):"),
+    ("filter", "page", False): (10, "I found multiple matches in the current page. Which one should I open? Reply `open <number>`:"),
+    ("filter", "loaded", False): (10, "I found multiple matches in your current results. Which one should I open? Reply `open <number>`:"),
+}
+
+
+def candidate_choices(rows: DataFrame, session: str) -> DataFrame:
+    """The reply that lists candidates: session, ``shown``, ``reply``.
+
+    ``rows`` has session, kind (title or filter), place (page or loaded), all (whether all were asked for), rank (from 1), position (0: none), title, authors, published. Rows beyond the limit go before they are joined.
+    """
+    key = F.struct("kind", "place", "all")
+    pick = lambda i: F.coalesce(*[F.when((F.col("kind") == k) & (F.col("place") == p) & (F.col("all") == a), F.lit(v[i])) for (k, p, a), v in SHOWN.items()])
+    kept = rows.where(F.col("rank") <= pick(0))
+    bits = F.concat_ws(" | ", F.when(T.text("authors") != "", F.concat(F.lit("Authors: "), "authors")), F.when(T.text("published") != "", F.concat(F.lit("Published: "), "published")))
+    number = F.when(F.col("position") > 0, F.concat(F.col("position").cast("string"), F.lit(") "))).otherwise("- ")
+    line = F.concat(number, T.strip(F.col("title")), F.when(bits != "", F.concat(F.lit("\n   "), bits)).otherwise(""))
+    told = kept.withColumn("__head", pick(1)).groupBy(session, key.alias("__k"), "__head").agg(join_ordered(F.col("rank"), line, "\n").alias("__body"), F.count("*").alias("shown"))
+    return told.select(session, "shown", F.concat("__head", F.lit("\n"), "__body").alias("reply"))
+
+
 def render_list(rows: DataFrame, session: str, order: str = "position") -> DataFrame:
     """Numbered lines of a page: title, then authors and date if there are any."""
     bits = F.concat_ws(" | ", F.when(T.text("authors") != "", F.concat(F.lit("Authors: "), "authors")), F.when(T.text("published") != "", F.concat(F.lit("Published: "), "published")))

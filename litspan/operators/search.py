@@ -44,6 +44,16 @@ class Request:
         return self
 
 
+def refusal(topic: Column, author: Column, from_year: Column, to_year: Column, categories: Column, size: Column, start: Column, by: Column, order: Column) -> Column:
+    """Why a request of a table is refused, as ``Request.check`` does it one at a time; null where it isn't."""
+    some = (T.strip(topic) != "") | (T.strip(author) != "") | from_year.isNotNull() | to_year.isNotNull() | F.exists(F.coalesce(categories, F.array().cast("array<string>")), lambda c: T.strip(c) != "")
+    year = F.coalesce(F.when(~from_year.between(1900, 2100), from_year), F.when(~to_year.between(1900, 2100), to_year))
+    return (
+        F.when(~some, "a search needs a topic, an author, a year or a category").when(year.isNotNull(), F.concat(F.lit("year "), year.cast("string"), F.lit(" is not between 1900 and 2100")))
+        .when(~size.between(1, PAGE_MOST) | (start < 0), "max_results is 1 to 500 and start 0 or more").when(~by.isin(*ORDERS) | ~order.isin("ascending", "descending"), "unknown order")
+    )
+
+
 def query_text(r: Request) -> str:
     """The request as the catalogue's query string; empty without any part."""
     plain = lambda s: s.strip().replace('"', "").replace("'", "")

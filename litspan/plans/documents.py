@@ -94,13 +94,3 @@ def markdown_strip(spark, sf_dir):
     """Documents as plain terminal text (thirteen ordered substitutions, some with look-around)."""
     plain = T.strip_markdown(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(plain).cast("long").alias("plain_chars"), F.md5(plain).alias("plain_md5"))
-
-
-CASES = "(1, repeat('x', 2400)), (2, repeat('x', 2401)), (3, repeat('x', 5000)), (4, concat(repeat('x', 2100), '\\n\\n', repeat('y', 1000))), (5, concat(repeat('x', 2300), '. ', repeat('y', 1000))), (6, concat(repeat('x', 2350), ' ', repeat('y', 1000))), (7, ' \\n '), (8, NULL)"
-CASES_SQL = f"SELECT case_id, trim(coalesce(s, ''), {BLANKS}) AS t FROM (VALUES {CASES.replace(chr(92) + 'n' + chr(92) + 'n', chr(10) + chr(10)).replace(chr(92) + 'n', chr(10))}) v(case_id, s)"
-
-
-@query(f"WITH {chunk_sql(CASES_SQL, 'case_id')} SELECT case_id, CAST(chunk_index AS INT) AS chunk_index, CAST(st AS INT) AS chunk_start, CAST(en AS INT) AS chunk_end FROM chunks")
-def chunk_boundaries(spark, sf_dir):
-    """Paragraph, sentence, word and hard cuts; blank texts have no chunk."""
-    return chunking.chunk(literal(spark, "case_id, s", CASES), "s", ["case_id"]).select("case_id", "chunk_index", "chunk_start", "chunk_end")

@@ -25,33 +25,6 @@ def message_cues(spark, sf_dir):
     return rows.select("text", N.wants(m, N.OPEN_CUES).alias("opens"), N.wants(m, N.PDF_CUES).alias("pdf"), N.wants(m, N.SHOW_ALL).alias("show_all"), N.wants(m, N.CHOOSE_ONE).alias("choose_one"), N.answer_kind(m).alias("answer"))
 
 
-ROUTES = [
-    ("", "chat", "", None, False, False, False, "nudge"),
-    ("yes please", "chat", "", None, True, True, True, "run-pending"),
-    ("no", "chat", "", None, True, True, True, "drop-pending"),
-    ("open the one on bolts", "search", "bolts", None, True, True, False, "open-from-context"),
-    ("papers on bolts", "search", "bolts", None, True, True, False, "search"),
-    ("find", "search", "", None, False, False, False, "search-usage"),
-    ("next", "next", "", None, False, False, False, "no-search"),
-    ("next", "next", "", None, True, True, False, "next"),
-    ("open 3", "open", "", 3, True, True, False, "open-index"),
-    ("summary please", "summary", "", None, True, True, False, "open-usage"),
-    ("summary on bolts", "summary", "bolts", None, True, True, False, "open-from-context"),
-    ("help", "help", "", None, False, False, False, "help"),
-    ("why?", "ask", "", None, True, True, False, "ask"),
-    ("hello", "chat", "", None, False, False, False, "chat"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r[7]}')" for i, r in enumerate(ROUTES)) + ") t(n, handler)")
-def intent_route(spark, sf_dir):
-    """E5: the router's decision table."""
-    rows = spark.createDataFrame([(i, *r[:7]) for i, r in enumerate(ROUTES)], "n int, message string, action string, topic string, index int, has_list boolean, has_search boolean, pending boolean")
-    empty = F.lit("")
-    rows = rows.withColumns({"author": empty, "title": empty, "paper_id": empty, "from_year": F.lit(None).cast("int"), "to_year": F.lit(None).cast("int"), "categories": F.array().cast("array<string>")})
-    return N.route(rows).select("n", "handler")
-
-
 @query("SELECT event_type, action, CAST(count(*) AS BIGINT) AS turns, CAST(sum(CASE action WHEN 'help' THEN " + str(len(N.HELP)) + " WHEN 'reset' THEN 43 ELSE 0 END) AS BIGINT) AS chars FROM (SELECT event_type, CASE event_type WHEN 'view' THEN 'help' WHEN 'click' THEN 'reset' ELSE 'chat' END AS action FROM events) GROUP BY ALL")
 def fixed_replies(spark, sf_dir):
     """Replies of handlers that need no data, the help text among them."""
@@ -60,13 +33,6 @@ def fixed_replies(spark, sf_dir):
     return rows.groupBy("event_type", "action").agg(F.count("*").alias("turns"), F.coalesce(F.sum(F.length(N.fixed_reply(F.col("action")))), F.lit(0)).cast("long").alias("chars"))
 
 
-@query("SELECT * FROM (VALUES (1, 'reset'), (2, 'chat'), (3, 'chat'), (4, 'ask'), (5, 'chat')) t(n, action)")
-def intent_guard(spark, sf_dir):
-    """Guards of reset and ask, unknown actions."""
-    rows = literal(spark, "n, action, message, has_paper", "(1, 'Reset ', 'please start over', false), (2, 'reset', 'hello', true), (3, 'ask', 'why', false), (4, 'ask', 'why', true), (5, 'fly', 'x', true)")
-    return rows.select("n", N.guarded_action(F.col("action"), F.col("message"), F.col("has_paper")).alias("action"))
-
-
 TITLE = r"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 ASKED = "(1, 'Red  WIDGET'), (2, 'hot-gear!'), (3, 'bolt'), (4, ''), (5, 'zzz')"
 
@@ -116,14 +82,6 @@ def attr_filter_page_first(spark, sf_dir):
     return numbered.select(F.col("paper_id").alias("c_custkey"), F.col("position").cast("long").alias("position"))
 
 
-@query("SELECT * FROM (VALUES (1, 5, 'p15'), (1, 15, 'p15b'), (1, 99, NULL)) t(session, index, paper_id)")
-def open_by_index(spark, sf_dir):
-    """An index names a paper of the page, else of the list."""
-    page = literal(spark, "session, position, paper_id", "(1, 5, 'p15')")
-    loaded = literal(spark, "session, position, paper_id", "(1, 5, 'p5'), (1, 15, 'p15b')")
-    return N.open_index(literal(spark, "session, index", "(1, 5), (1, 15), (1, 99)"), page, loaded)
-
-
 @query("SELECT conv_id, CAST(CASE WHEN n * 2 > 4 AND 8 >= n * 3 THEN NULL WHEN 8 >= n * 2 THEN NULL ELSE 8 END AS BIGINT) AS next_start FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
 def next_page(spark, sf_dir):
     """K4: where a session's next page starts."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litspan.functions import text as T
+from litspan.functions.providers import DigestChat
 from litspan.operators import qa as Q
-from litspan.plans.registering import query
+from litspan.plans.registering import ORACLES, query
 from litspan.sources.tables import literal, table
 
 ASKED = "('How many references are there?'), ('what is reference 12?'), ('Citation number 7'), ('show me reference 4'), ('reference 12345'), ('last citation number?'), ('Explain the Methodology'), ('which findings'), ('works cited?'), ('the dataset and the method'), ('total citations')"
@@ -42,30 +42,6 @@ def section_trigger(spark, sf_dir):
     return _asked(spark, sf_dir).select("text", Q.trigger_section(F.col("text")).alias("section"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Proposed Training Pipeline Design'), (2, 'Prior Research'), (3, NULL), (4, 'method')) t(question_id, section)")
-def section_match(spark, sf_dir):
-    """The stored heading a question is about."""
-    questions = literal(spark, "question_id, paper_id, question", "(1, 1, 'what does the proposed training pipeline do'), (2, 1, 'explain prior research'), (3, 1, 'who wrote it'), (4, 1, 'the method?')")
-    headings = literal(spark, "paper_id, pos, heading", "(1, 0, 'I. Introduction'), (1, 1, 'II. Prior Research'), (1, 2, 'III. Proposed Training Pipeline Design')")
-    return Q.section_filter(questions, headings).select("question_id", "section")
-
-
-@query("""SELECT * FROM (VALUES (1, 'There are 12 references in the paper. They appear under the ''References'' section on pages 9–10.'), (2, 'There are 12 references in the paper. They appear under the ''References'' section on page 9.'),
-    (3, 'There are 8 references in the paper.'), (4, 'The last reference number is 8.'), (5, 'Reference 44 does not exist in this paper. The last reference number is 8.'), (6, NULL)) t(n, fact)""")
-def reference_facts(spark, sf_dir):
-    """Facts on references."""
-    rows = literal(spark, "n, q, c, l, h, s, e", "(1, 'how many references?', 12, 12, 'References', 9, 10), (2, 'how many references?', 12, 12, 'References', 9, 9), (3, 'total citations', NULL, 8, NULL, NULL, NULL), (4, 'last reference number', 7, 8, NULL, NULL, NULL), (5, 'reference 44', 7, 8, NULL, NULL, NULL), (6, 'reference 4', 7, 8, NULL, NULL, NULL)")
-    return rows.select("n", Q.reference_facts(*[F.col(c) for c in "qclhse"]).alias("fact"))
-
-
-@query("SELECT * FROM (VALUES (1, 'search', 2020), (2, 'chat', NULL), (3, NULL, NULL)) t(n, action, year)")
-def intent_json(spark, sf_dir):
-    """JSON in a model's reply, fenced or amid words."""
-    rows = literal(spark, "n, reply", """(1, '```json\\n{"action": "search", "from_year": 2020}\\n```'), (2, 'Sure: {"action": "chat"} ok'), (3, 'nothing')""")
-    found = T.safe_json(T.strip_fences(F.col("reply")), "action string, from_year int")
-    return rows.select("n", found["action"].alias("action"), found["from_year"].alias("year"))
-
-
 KINDS = ["what is the main idea", "list the references", "explain part three", "how many references are there?", "show me reference 99", "give an outline", "last citation number?", ""]
 PAPERS = """SELECT label AS paper_id, 'Paper ' || label AS title, CASE WHEN label = 8 THEN 'processing' WHEN label = 9 THEN NULL ELSE 'ready' END AS status, label % 3 AS has_tree, count(*)::INT AS reference_count,
     CASE WHEN label % 2 = 0 THEN (label + 20)::INT END AS last_reference_number FROM embeddings GROUP BY label"""
@@ -91,7 +67,20 @@ COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
     SELECT t.question_id, t.label, t.part AS section, CASE WHEN stored IS NOT NULL THEN 'stored' WHEN part IS NOT NULL THEN 'section' ELSE t.label END AS mode, coalesce(n, -1) AS n_excerpts,
         md5(coalesce(stored, '{Q.NO_MODEL[:-2]}' || chr(10) || chr(10) || best, '{Q.NO_CONTENT}')) AS answer_md5 FROM (SELECT *, CASE WHEN stored IS NULL THEN part END AS kept FROM told) t LEFT JOIN joined USING (question_id)""".replace("t.part AS section", "t.kept AS section"))
 def qa_answers(spark, sf_dir):
-    """A question for every twentieth vector, answered from its paper's status, outline and references, or with excerpts."""
+    """A question for every twentieth vector, answered from its paper's status, outline and references, or with excerpts."""
+    return _answers(spark, sf_dir)
+
+
+PROMPT = f"""CASE WHEN title <> '' THEN 'Paper: ' || title || chr(10) || chr(10) ELSE '' END || 'Excerpts from the paper:' || chr(10) || chr(10) || best || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question: ' || question"""
+
+
+@query(ORACLES["qa_answers"].replace(" FILTER (k <= 3) AS best", " AS best").replace(f"'{Q.NO_MODEL[:-2]}' || chr(10) || chr(10) || best", f"'Digest ' || md5({PROMPT}) || ' of ' || length({PROMPT}) || ' characters'"))
+def qa_answers_model(spark, sf_dir):
+    """The same questions with a model, asked with title, excerpts and question; the stand-in tells the digest of its prompt."""
+    return _answers(spark, sf_dir, DigestChat)
+
+
+def _answers(spark, sf_dir, chat=None):
     vectors = table(spark, sf_dir, "embeddings")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
     chunks = vectors.select(F.col("vec_id").alias("chunk_index"), F.col("label").alias("paper_id"), "embedding", F.concat(F.lit("Part three of "), F.col("label").cast("string")).alias("section_heading")).join(texts, "chunk_index")
@@ -105,5 +94,5 @@ def qa_answers(spark, sf_dir):
         F.when(label % 2 == 0, label.cast("int") + 20).alias("last_reference_number"), F.lit("").alias("reference_heading"), F.lit(0).alias("reference_start_page"), F.lit(0).alias("reference_end_page"),
     )
     headings = literal(spark, "paper_id, pos, heading", "(3, 0, 'III. Part three')")
-    found = Q.answer_batch(questions, chunks, headings, papers, model="given")
+    found = Q.answer_batch(questions, chunks, headings, papers, model="given", chat=chat)
     return found.select("question_id", "label", "section", "mode", F.coalesce(F.size("excerpts"), F.lit(-1)).alias("n_excerpts"), F.md5("answer").alias("answer_md5"))

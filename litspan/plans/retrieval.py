@@ -119,3 +119,18 @@ def context_pack(spark, sf_dir):
     """Each source's documents while they fit 12 000 characters."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     return R.pack_context(docs, "source", [F.asc("doc_id")], "text", 12_000).select("source", "doc_id", F.length("packed").cast("long").alias("packed_chars"))
+
+
+REFERENCE_SCORE = "CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE CAST(doc_id * 37 % 101 AS DOUBLE) / 101 + 0.001 END"
+
+
+@query(f"""SELECT source, doc_id, CAST(CASE WHEN cum <= 40000 THEN n ELSE 40000 - (cum - n) END AS BIGINT) AS packed_chars FROM
+    (SELECT source, doc_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY CAST({REFERENCE_SCORE} <> 0 AS INT), {REFERENCE_SCORE} DESC, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM documents WHERE length(text) > 0)
+    WHERE cum <= 40000 OR (cum - n <= 40000 AND 40000 - (cum - n) > 200)""")
+def context_pack_references(spark, sf_dir):
+    """The references mode with the tail before the others by score, each source's documents while they fit 40 000 characters; tasks cut before the exchange."""
+    n = F.col("doc_id")
+    score = F.when(n % 3 == 0, 0.0).otherwise((n * 37 % 101).cast("double") / 101 + 0.001)
+    hits = table(spark, sf_dir, "documents").select("source", "doc_id", n.alias("chunk_index"), score.alias("score"), "text")
+    packed = R.pack_context(hits, "source", R.hit_order(hits, "references", tail_first=True), "text", R.MODES["references"][1])
+    return packed.select("source", "doc_id", F.length("packed").cast("long").alias("packed_chars"))

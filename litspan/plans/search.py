@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litspan.functions import text as T
-from litspan.operators import postings
+from litspan.operators import postings, ranks
 from litspan.operators import search as S
 from litspan.plans.documents import BLANKS
 from litspan.plans.registering import query
@@ -159,21 +159,6 @@ def prefetch_plan(spark, sf_dir):
     return S.chunk_plans(totals, 4000).select("o_custkey", "start_at", "size")
 
 
-FEED = """SELECT id, replace(trim(title), chr(10), ' ') AS title, split_part(split_part(id, '/abs/', -1), 'v', 1) AS paper_id, pdf FROM (VALUES
-    ('http://c.org/abs/1v1', ' A' || chr(10) || 'b ', 'http://c.org/pdf/1v1'), ('http://c.org/abs/2v3', 'T', 'http://c.org/pdf/2v3.pdf'), ('plain', '', 'plain')) t(id, title, pdf)"""
-
-
-@query(FEED)
-def feed_normalize(spark, sf_dir):
-    """Feed entries as papers."""
-    from litspan.sources.feed import papers
-
-    rows = literal(spark, "id, title, type, href", "('http://c.org/abs/1v1', ' A\\nb ', 'application/pdf', 'http://c.org/pdf/1v1'), ('http://c.org/abs/2v3', 'T', 'text/html', 'http://c.org/abs/2v3'), ('plain', '', '', '')")
-    entries = rows.select("id", "title", F.lit(" s\nt ").alias("summary"), F.lit("2020-01-02T00:00:00Z").alias("published"), F.lit("").alias("updated"), F.col("id").alias("link"),
-        F.array(F.struct(F.lit("Ann ").alias("name"), )).alias("authors"), F.array(F.struct("type", "href")).alias("links"), F.array(F.struct(F.lit("cs.CL").alias("term")), F.struct(F.lit("cs.CL").alias("term"))).alias("tags"))
-    return papers(entries).select("id", "title", "paper_id", F.col("pdf_url").alias("pdf"))
-
-
 @query("""SELECT position, o_orderkey, total FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS position, count(*) OVER () AS total FROM orders
     WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND year(o_orderdate) BETWEEN 1996 AND 1999 AND contains(lower(o_orderstatus), 'f')) WHERE position BETWEEN 41 AND 65""")
 def search_request(spark, sf_dir):
@@ -185,16 +170,31 @@ def search_request(spark, sf_dir):
     return found.crossJoin(total).select(F.col("position").cast("long").alias("position"), F.col("paper_id").alias("o_orderkey"), "total")
 
 
-@query("SELECT * FROM (VALUES ('1', 'http://a/1.pdf'), ('2', 'http://b/2'), ('3', 'https://catalogue.example/pdf/3.pdf'), ('', '')) t(paper_id, resolved_pdf_url)")
-def pdf_url_resolve(spark, sf_dir):
-    """Where a paper's PDF is."""
-    from litspan.sources.feed import pdf_url
-
-    rows = literal(spark, "paper_id, pdf_url, pdf, pdfLink", "('1', 'http://a/1.pdf', 'x', ''), ('2', '', NULL, ' http://b/2 '), ('3', NULL, '', ''), ('', NULL, '', '')")
-    return pdf_url(rows).select("paper_id", "resolved_pdf_url")
-
-
 @query("SELECT o_custkey, count(*) AS loaded, CAST(count(*) // 10 AS BIGINT) AS full_pages, count(*) > 10 AS has_more FROM orders GROUP BY o_custkey")
 def session_meta(spark, sf_dir):
     """Counters of a session."""
     return S.session_meta(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 <> 1 AND o_orderkey % 5 > 1 AND o_custkey % 3 > 0 THEN 'a search needs a topic, an author, a year or a category' WHEN o_orderkey % 5 = 0 AND y < 1995 THEN 'year ' || (y - 100) || ' is not between 1900 and 2100'
+    WHEN n NOT BETWEEN 1 AND 500 OR o_custkey % 11 = 0 THEN 'max_results is 1 to 500 and start 0 or more' WHEN o_custkey % 7 = 0 THEN 'unknown order' END AS refused FROM (SELECT *, CAST(year(o_orderdate) AS INT) AS y, CAST(o_custkey % 600 AS INT) AS n FROM orders)""")
+def search_refusals(spark, sf_dir):
+    """which requests of a table are refused, and why."""
+    k, c, y = F.col("o_orderkey"), F.col("o_custkey"), F.year("o_orderdate")
+    low = F.when(k % 5 == 0, F.when(y < 1995, y - 100).otherwise(y)).when(k % 5 == 1, y)
+    cats = F.when(c % 3 == 0, F.array(F.lit(" "), F.lit("cs.CL"))).otherwise(F.array(F.lit(" ")))
+    size, start = (c % 600).cast("int"), F.when(c % 11 == 0, -1).otherwise(0)
+    why = S.refusal(F.when(k % 4 != 0, "nets").otherwise(" "), F.when(k % 3 == 1, "Ann"), low, F.lit(None).cast("int"), cats, size, start, F.when(c % 7 == 0, "size").otherwise("relevance"), F.lit("descending"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", why.alias("refused"))
+
+
+DEEP = [("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False), ("l_partkey", False), ("l_suppkey", False)]
+
+
+@query("""SELECT position, l_extendedprice, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS position, count(*) OVER () // 2 AS half FROM lineitem)
+    WHERE position > half AND position <= half + 50""")
+def search_page_deep(spark, sf_dir):
+    """K2: fifty rows from the middle of an order; counts by range find where it is, only that range is sorted."""
+    rows = table(spark, sf_dir, "lineitem").select(*[n for n, _ in DEEP])
+    index = ranks.rank_index(rows, DEEP)
+    return ranks.page_at(rows, index, index.total // 2, 50).select(F.col("position").cast("long").alias("position"), "l_extendedprice", "l_orderkey", "l_linenumber")

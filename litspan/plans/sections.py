@@ -21,23 +21,3 @@ def section_page_join(spark, sf_dir):
     starts = pages.groupBy("paper").agg(F.max("page").alias("last")).select("paper", F.explode(F.sequence(F.lit(1), "last", F.lit(4))).alias("page_start"))
     heads = starts.select("paper", "page_start", (F.col("page_start") + 4).alias("page_end"), F.concat(F.lit("part "), F.col("page_start").cast("string")).alias("heading"))
     return X.build(heads, pages).select("paper", "section_index", "page_start", "content_length", F.md5("content_text").alias("content_md5"))
-
-
-MARKDOWN = r"""(1, 4, 'Title\nby A\n\n# One\ntext a\n---\n## **Two**\n  text b  \n### Three\ntext c\n# Four\n#### deep\n### Five\ntail\n'), (2, 2, 'no heading at all'), (3, 1, '# Empty\n# Full\nx'), (4, 3, '')"""
-
-
-@query(r"""SELECT * FROM (VALUES (1, 0, 0, '', NULL, 1, 2, 'Title' || chr(10) || 'by A'), (1, 1, 1, 'One', NULL, 2, 3, 'text a'), (1, 2, 2, 'Two', 'One', 3, 3, 'text b'), (1, 3, 3, 'Three', 'Two', 3, 4, 'text c'),
-    (1, 4, 1, 'Four', NULL, 4, 5, '#### deep'), (1, 5, 3, 'Five', 'Four', 5, 5, 'tail'), (3, 0, 1, 'Full', NULL, 1, 1, 'x')) t(paper, section_index, heading_level, heading_text, parent_heading, page_start, page_end, content_text)""")
-def markdown_sections(spark, sf_dir):
-    """Sections of Markdown."""
-    found = X.from_markdown(literal(spark, "paper, total_pages, markdown", MARKDOWN))
-    return found.select("paper", "section_index", "heading_level", "heading_text", "parent_heading", "page_start", "page_end", "content_text")
-
-
-@query("SELECT 1 AS paper, '- One  (page 1)' || chr(10) || '  - Two  (page 3)' AS shown, 3 AS levels")
-def heading_outline(spark, sf_dir):
-    """The heading tree as JSON and back, and its outline."""
-    tree = literal(spark, "paper, j", """(1, '[{"level":1,"text":"One","page":1},{"level":2,"text":"Two","page":3},{"level":3,"text":"Deep","page":3},{"level":1,"text":" ","page":9}]')""")
-    read = tree.select("paper", T.headings_from_json(F.col("j")).alias("t"))
-    again = read.select("paper", T.headings_from_json(T.headings_json(F.col("t"))).alias("t"))
-    return again.select("paper", T.outline(T.display_outline(F.col("t"))).alias("shown"), F.size("t").alias("levels"))

@@ -47,14 +47,6 @@ def single_flight(spark, sf_dir):
     return S.single_flight(rows, ["user_id", "event_type", "day"], ["seconds", "event_id"]).drop("seconds")
 
 
-@query("SELECT n, i AS attempt, round(greatest(0, least(0.5 * power(2, i - 1), 90 - 0.5 * (power(2, i - 1) - 1))), 6)::DOUBLE AS wait FROM (SELECT CAST(n AS INT) AS n, unnest(range(1, least(n, 12) + 1))::INT AS i FROM range(0, 13) t(n))")
-def retry_schedule(spark, sf_dir):
-    """ST6: waits before retries within a budget."""
-    rows = spark.range(0, 13).select(F.col("id").cast("int").alias("n"))
-    waits = rows.select("n", F.posexplode(S.retry_schedule(F.col("n"), most=12)).alias("pos", "wait"))
-    return waits.select("n", (F.col("pos") + 1).alias("attempt"), F.round("wait", 6).alias("wait"))
-
-
 CALLS = "SELECT event_id, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 200 WHEN 3 THEN 404 END AS status, CASE WHEN event_id % 5 = 4 THEN CASE WHEN event_id % 2 = 0 THEN 'ReadTimeout' ELSE 'ValueError' END END AS error, CAST(event_id % 6 + 1 AS INT) AS attempt, CASE WHEN event_id % 3 = 0 THEN '7' WHEN event_id % 3 = 1 THEN 'soon' END AS retry_after, CAST(event_id % 100 AS DOUBLE) AS elapsed FROM events"
 
 

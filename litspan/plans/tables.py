@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litspan.operators import store
+from litspan.operators import store_tables as stored
 from litspan.plans.registering import query
-from litspan.sources.files import pdf_error
-from litspan.sources.tables import literal, table
+from litspan.sources.scratch import folder
+from litspan.sources.tables import table
 
 
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS paper_id, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || quality ELSE d.source END AS title, CASE WHEN d.doc_id IS NULL THEN 'new' ELSE d.lang END AS status
@@ -51,13 +52,6 @@ def cascade_delete(spark, sf_dir):
     return store.cascade(table(spark, sf_dir, "labels").select("doc_id"), papers, "doc_id")
 
 
-@query("SELECT * FROM (VALUES (1, NULL), (2, 'Response is not a PDF'), (3, 'Empty response body'), (4, 'PDF not found (404)'), (5, 'Server error (503)'), (6, 'Rate limited (429)'), (7, 'Access denied (403)')) t(n, error)")
-def pdf_validation(spark, sf_dir):
-    """Which bytes are a PDF."""
-    rows = literal(spark, "n, content, status", "(1, CAST('%PDF-1.7' AS BINARY), 200), (2, CAST('<html>' AS BINARY), 200), (3, CAST('' AS BINARY), 200), (4, NULL, 404), (5, NULL, 503), (6, NULL, 429), (7, NULL, 403)")
-    return rows.select("n", pdf_error(F.col("content"), F.col("status")).alias("error"))
-
-
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id = 77")
 def paper_get(spark, sf_dir):
     """A paper by its id, pushed down to the scan."""
@@ -94,3 +88,31 @@ def paper_schema(spark, sf_dir):
     """L1: rows brought to the declared columns and types."""
     found = store.declared(_papers(spark, sf_dir), store.PAPERS)
     return found.select("paper_id", "title", "reference_count", F.lit(len(found.columns)).alias("n_columns"))
+
+
+@query("""SELECT r.doc_id AS paper_id, CASE WHEN r.doc_id % 13 = 0 THEN 503 ELSE 200 END AS code, CASE WHEN r.doc_id % 13 = 0 THEN NULL WHEN r.doc_id % 5 = 0 THEN 'failed' WHEN d.doc_id % 3 = 0 AND n > 0 THEN 'already_ready' ELSE 'accepted' END AS status,
+    CASE WHEN r.doc_id % 13 = 0 THEN 'Paper store not available (POSTGRES_DSN missing or DB init failed).' WHEN r.doc_id % 5 = 0 THEN 'No PDF URL is available for this paper.' WHEN d.doc_id % 3 = 0 AND n > 0 THEN 'Paper downloaded.' END AS message,
+    CASE WHEN r.doc_id % 13 <> 0 AND r.doc_id % 5 <> 0 AND d.doc_id % 3 = 0 AND n > 0 THEN n ELSE 0 END::BIGINT AS chunks
+    FROM (SELECT doc_id * 2 AS doc_id FROM labels) r LEFT JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS c FROM documents WHERE doc_id % 4 <> 0) GROUP BY doc_id) c USING (doc_id)""")
+def ingest_requests(spark, sf_dir):
+    """Requests to ingest: no store, no url, already ready, accepted."""
+    p = F.col("paper_id")
+    asked = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("paper_id")).select("paper_id", F.when(p % 5 != 0, "http://c.org/x.pdf").otherwise(" ").alias("pdf_url"), (p % 13 != 0).alias("store_up"))
+    chunks = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("paper_id"), F.explode(F.split("text", "\n")).alias("c")).select("paper_id")
+    return store.ingest_answers(asked, _papers(spark, sf_dir), chunks).select("paper_id", "code", "status", "message", "chunks")
+
+
+@query("""SELECT doc_id, source, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars, CAST(max(length(line)) AS BIGINT) AS longest FROM (
+    SELECT doc_id, source, CASE WHEN doc_id % 20 = 3 THEN 'new ' ELSE '' END || unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 20 <> 4) GROUP BY doc_id, source""")
+def store_layout(spark, sf_dir):
+    """Chunks and papers stored in buckets by paper; one paper of twenty is replaced, one deleted; chunks are summed and joined to papers without an exchange."""
+    docs = table(spark, sf_dir, "documents")
+    cut = lambda df, before: df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "line")).withColumn("line", F.concat(F.lit(before), "line"))
+    layout = stored.Layout("doc_id", ("chunk_index",))
+    papers = stored.Layout("doc_id").write(docs.where("doc_id % 20 <> 4").select("doc_id", "source"), stored.version(spark, "papers"), folder(spark, "papers"))
+    chunks = layout.write(cut(docs, ""), stored.version(spark, "chunks"), folder(spark, "chunks"))
+    again = docs.where("doc_id % 20 = 3")
+    chunks = layout.replaced(chunks, cut(again, "new "), docs.where("doc_id % 20 IN (3, 4)").select("doc_id"), stored.version(spark, "chunks"), folder(spark, "chunks"))
+    size = F.length("line")
+    summed = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("chars"), F.max(size).cast("long").alias("longest"))
+    return stored.joined(papers, summed, "doc_id").select("doc_id", "source", "n", "chars", "longest")
