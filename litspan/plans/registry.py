@@ -6,7 +6,7 @@ from importlib import import_module
 
 from litspan.plans.registering import ORACLES, QUERIES
 
-for _name in ("documents", "search", "retrieval", "references", "headings", "sections", "navigation", "tables", "state", "questions", "ingest", "derived"):
+for _name in ("documents", "search", "retrieval", "references", "headings", "sections", "navigation", "tables", "state", "questions", "ingest", "derived", "sessions"):
     import_module(f"litspan.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
