@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from litspan.functions import text as T
-from litspan.operators.blocks import groups, listed
+from litspan.sources.scratch import stored
 
 #: Runs of ASCII letters and digits and of all that is beyond ASCII, in lower case: a class that every library sees alike.
 WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
@@ -83,12 +84,30 @@ def _rows(words: list, ids: pa.Array, at: list, weights: list, paper: str) -> pa
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    last = None
-    for block in groups(batches, [1], most):
-        word = block.column(1)[0].as_py()
-        heads = [block.column(0).slice(0, 1).combine_chunks(), pa.array([word], pa.string()), pa.array([word != last]), block.column(3).slice(0, 1).combine_chunks()]
-        last = word
-        yield pa.RecordBatch.from_arrays([*heads, listed(block.column(2)), listed(block.column(3))], names=["bucket", "word", "first", "most", "ids", "weights"])
+    """Sorted rows (bucket, word, paper, weight) as blocks, all those of a batch at once; the last word's rows wait for the next batch, fewer than ``most`` of them."""
+    held, told = None, None
+    for batch in batches:
+        if batch.num_rows:
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            n, codes = whole.num_rows, whole.column(1).dictionary_encode().indices.to_numpy()
+            start = np.maximum.accumulate(np.where(np.diff(codes, prepend=-1) != 0, np.arange(n), 0))
+            cut = int(start[-1]) + (n - int(start[-1])) // most * most
+            held = whole.slice(cut)
+            if cut:
+                yield _cut_blocks(whole.slice(0, cut), start[:cut], most, told)
+                told = whole.column(1)[cut - 1].as_py()
+    if held is not None and held.num_rows:
+        yield _cut_blocks(held, np.zeros(held.num_rows, np.int64), most, told)
+
+
+def _cut_blocks(rows: pa.RecordBatch, start: np.ndarray, most: int, told: str | None) -> pa.RecordBatch:
+    """Blocks of whole words (``start`` is where each row's word begins); ``told`` is the word before, which may go on."""
+    at = np.arange(rows.num_rows)
+    edges = np.flatnonzero((at - start) % most == 0)
+    first = (edges == start[edges]) & ~((edges == 0) & (rows.column(1)[0].as_py() == told))
+    offsets, heads = pa.array([*edges.tolist(), rows.num_rows], pa.int32()), pa.array(edges)
+    lists = [pa.ListArray.from_arrays(offsets, rows.column(k)) for k in (2, 3)]
+    return pa.RecordBatch.from_arrays([*(rows.column(k).take(heads) for k in (0, 1)), pa.array(first), rows.column(3).take(heads), *lists], names=["bucket", "word", "first", "most", "ids", "weights"])
 
 
 def save(index: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -214,10 +233,11 @@ def _looked_up(asked: DataFrame, told: DataFrame, blocks: DataFrame, texts: Data
         one = some.select(request, "times", F.explode(F.arrays_zip("ids", "weights")).alias("p"))
         return one.groupBy(request, F.col("p.ids").alias(paper)).agg(F.sum(F.col("p.weights") * F.col("times")).alias("bound"))
 
+    told = stored(told, "topic-words")
     met, by = asked_blocks(blocks, told), Window.partitionBy(request)
     first = bounds(met.where("first")).withColumn("__r", F.row_number().over(by.orderBy(F.desc("bound"), paper))).where(F.col("__r") <= LOOK * k)
     seen = _checked(first.select(request, paper), asked, texts, request, paper).withColumn("__r", F.row_number().over(by.orderBy(F.desc("relevance"), paper)))
-    least = seen.where(F.col("__r") == k).select(request, F.col("relevance").alias("least"))
+    least = stored(seen.where(F.col("__r") == k).select(request, F.col("relevance").alias("least")), "topic-borders")
     reach = F.coalesce("least", F.lit(1))
     able = met.join(least, request, "left").where(F.col("most") * F.col("times") + F.col("others") >= reach)
     candidates = bounds(able).join(least, request, "left").where(F.col("bound") >= reach)
