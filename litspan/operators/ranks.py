@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 20_000  # rows from which borders are taken, at most about twice
-RANGES = 64
+RANGES = 24
 Order = list[tuple[str, bool]]
 
 
