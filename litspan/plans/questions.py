@@ -82,7 +82,7 @@ def qa_answers_model(spark, sf_dir):
 
 def _answers(spark, sf_dir, chat=None):
     vectors = table(spark, sf_dir, "embeddings")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_index"), "text", F.length("text").alias("text_length"))
     chunks = vectors.select(F.col("vec_id").alias("chunk_index"), F.col("label").alias("paper_id"), "embedding", F.concat(F.lit("Part three of "), F.col("label").cast("string")).alias("section_heading")).join(texts, "chunk_index")
     asked = F.get(F.array(*[F.lit(k) for k in KINDS]), (F.floor(F.col("vec_id") / 20) % len(KINDS)).cast("int"))
     questions = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), F.col("label").alias("paper_id"), asked.alias("question"), F.col("embedding").alias("vector"))

@@ -91,3 +91,20 @@ def test_query_of_few_probes(spark, sf_dir):
     cells = V.fit_cells(chunks)
     read = V.candidates(questions, V.build(chunks, cells, []), cells, K, []).count()
     assert read < 0.2 * questions.count() * chunks.count()
+
+
+def test_pairs_of_questions_and_chunks_are_no_rows(spark, monkeypatch):
+    """The hits of a plain comparison of all pairs, in several blocks of both sides; what is shuffled is vectors and at most k rows for each question and block."""
+    monkeypatch.setattr(R, "BLOCK", (16, 50))
+    chunks = clustered(spark, 10, 40).union(spark.createDataFrame([(900 + k, k % 3, [1.0] * 16) for k in range(40)], "chunk_index long, paper int, embedding array<double>"))
+    questions = asking(chunks, 5)
+    both = questions.withColumn("vector", R.unit(F.col("vector"))).join(chunks.withColumn("embedding", R.unit(F.col("embedding"))), "paper").withColumn("score", R.dot(F.col("embedding"), F.col("vector")))
+    pairs: dict[int, list] = {}
+    for r in both.select("question_id", "score", "chunk_index").collect():
+        pairs.setdefault(r.question_id, []).append((-r.score, r.chunk_index))
+    expected = sorted((q, k + 1, c, -s) for q, hits in pairs.items() for k, (s, c) in enumerate(sorted(hits)[:K]))
+    found = R.top_k_batch(questions, chunks.withColumn("text", F.col("chunk_index").cast("string")), K, ["paper"])
+    assert sorted((r.question_id, r["rank"], r.chunk_index, r.score) for r in found.collect()) == expected
+    assert found.where("text = chunk_index").count() == len(expected)
+    plan = found._jdf.queryExecution().analyzed().toString().lower()
+    assert "cogroup" in plan and "zip_with" not in plan
