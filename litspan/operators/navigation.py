@@ -13,9 +13,11 @@ OPEN_CUES = ("open", "read", "show me", "show", "details", "summarize", "summary
 PDF_CUES = ("pdf", "download", "download link", "pdf link", "link", "url", "view pdf", "open pdf")
 SHOW_ALL = ("show all", "list all", "all matches")
 CHOOSE_ONE = ("choose one", "pick one", "you choose", "just choose")
-YES = r"(?i)^(?:y|yes|yeah|yep|ok|okay|sure|do it|go ahead|new search|yes its a new search|yes it's a new search)\b"
-NO = r"(?i)^(?:n|no|nope|nah)\b"
-CANCEL = r"(?i)^(?:forget it|never mind|nevermind|cancel|drop it|ignore that)\b"
+#: No letter, number or underscore of any script follows: said in full, as ``\\b`` differs between engines and versions.
+ENDED = r"(?![\p{L}\p{N}_])"
+YES = r"(?i)^(?:y|yes|yeah|yep|ok|okay|sure|do it|go ahead|new search|yes its a new search|yes it's a new search)" + ENDED
+NO = r"(?i)^(?:n|no|nope|nah)" + ENDED
+CANCEL = r"(?i)^(?:forget it|never mind|nevermind|cancel|drop it|ignore that)" + ENDED
 RESET_WORDS = ("reset", "clear", "start over", "restart")
 ACTIONS = ("search", "next", "open", "summary", "paper", "ask", "help", "reset", "chat")
 #: The help text, and replies that need no data, by handler.
@@ -57,7 +59,7 @@ def wants(message: Column, cues: tuple[str, ...]) -> Column:
 
 
 def answer_kind(message: Column) -> Column:
-    m = T.strip(message)
+    m = F.lower(T.strip(message))
     return F.when(F.rlike(m, F.lit(YES)), "yes").when(F.rlike(m, F.lit(NO)), "no").when(F.rlike(m, F.lit(CANCEL)), "cancel").otherwise("other")
 
 

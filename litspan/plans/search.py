@@ -152,10 +152,12 @@ def search_description(spark, sf_dir):
     return docs.select("doc_id", T.describe_search(F.when(n % 2 == 0, F.col("lang")), F.when(n % 3 == 0, F.col("source")), first, last, cats).alias("described"))
 
 
-@query("SELECT o_custkey, CAST(b AS INT) AS start_at, CAST(least(200, 5000 - b, total - b) AS INT) AS size FROM (SELECT o_custkey, total, unnest(range(0, least(4000, 5000, total), 200)) AS b FROM (SELECT o_custkey, CAST(sum(o_totalprice) / 1000 AS INT) AS total FROM orders GROUP BY o_custkey))")
+@query("SELECT o_custkey, CAST(b AS INT) AS start_at, CAST(least(200, 5000 - b, total - b) AS INT) AS size FROM (SELECT o_custkey, total, unnest(range(0, least(4000, 5000, total), 200)) AS b FROM (SELECT o_custkey, CAST((sum(CAST(round(o_totalprice * 100) AS BIGINT)) + 50000) // 100000 AS INT) AS total FROM orders GROUP BY o_custkey))")
 def prefetch_plan(spark, sf_dir):
-    """K5: in which chunks sessions load their results, each by its own total."""
-    totals = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice") / 1000, 0).cast("int").alias("total"))
+    """K5: in which chunks sessions load their results, each by its own total (a thousandth of the sum in whole cents, halves up)."""
+    # in whole cents, halves up: a sum of doubles depends on the order of its rows
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    totals = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.floor((cents + 50000).cast("decimal(20,0)") / 100000).cast("int").alias("total"))
     return S.chunk_plans(totals, 4000).select("o_custkey", "start_at", "size")
 
 
