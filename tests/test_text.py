@@ -61,3 +61,16 @@ def test_broken_heading_json(spark, bad):
 def test_summary_and_error_clips(spark):
     assert values(spark, T.clip_summary, ["x" * 900, "y" * 901]) == ["x" * 900, "y" * 900 + "..."]
     assert values(spark, T.clip_error, ["e" * 2000]) == ["e" * 1000]
+
+
+def test_bibliographies_are_read_in_two_passes(spark):
+    """Runs by windows are those of ``longest_run``, repeats and gaps included; entries of all styles come from one pass over lines and one over brackets."""
+    from litspan.operators import references as B
+
+    rows = [(p, k, (k * (p + 3) // 4 + k * k % (p + 2)) % 9) for p in range(12) for k in range(30)]
+    numbers = spark.createDataFrame(rows, "paper int, pos int, n int")
+    plain = {(r.paper, r.run_start, r.run_length, r.run_end) for r in B.longest_run(numbers, "paper").collect()}
+    told = B.with_run(numbers, "paper").collect()
+    assert {(r.paper, r.run_start, r.run_length, r.run_end) for r in told} == plain and len(told) == len(rows) and {r.every for r in told} == {30}
+    for found in B.parse(spark.createDataFrame([(1, "1. a b\n2. c d")], "paper_id int, text string")):
+        assert found._jdf.queryExecution().analyzed().toString().count("Generate posexplode") <= 2
