@@ -172,3 +172,18 @@ def test_models_through_providers(spark):
     out = {r.question_id: r.answer for r in Q.answer_batch(asked, chunks, heads, chat=Chat).collect()}
     prompt = "Excerpts from the paper:\n\nAlpha text\n\n---\n\nQuestion: why so"
     assert out == {1: f"says {len(prompt)}", 2: Q.NO_MODEL + "other", 3: Q.NO_CONTENT}
+
+
+def test_no_window_of_a_paper_holds_sections_texts(spark):
+    from litspan.operators import sections
+
+    heads = spark.createDataFrame([(1, "A", 1, 1), (1, "B", 4, 4), (1, "C", 6, 6)], "paper int, heading string, page_start int, page_end int")
+    pages = spark.createDataFrame([(1, 1, "one"), (1, 3, " "), (1, 4, ""), (1, 6, "six")], "paper int, page int, text string")
+    built = sections.build(heads, pages)
+    assert sorted((r.section_index, r.heading_text, r.content_text) for r in built.collect()) == [(0, "A", "one"), (1, "C", "six")]
+    plan = built._jdf.queryExecution().analyzed().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(plan):
+        if "Window [row_number" in line:
+            below = next((j for j in range(i + 1, len(plan)) if depth(plan[j]) < depth(line)), len(plan))
+            assert not any("content_text" in x for x in plan[i + 1 : below])
