@@ -6,28 +6,34 @@ shuffled is results: matches, or at most the wanted number of suggestions for ea
 The ratio of two titles is twice the characters in their matching blocks over all characters. Such characters are a common subsequence, and of
 common characters: pairs are left out by lengths, then by the overlap of their characters (unary counts as bits, so that a
 pair takes four words), then by their longest common subsequence (a word of bits for each title, all pairs at once). Only what passes is compared in full.
+
+Of a request with an accepted title only the best one counts. So a few titles that share a seed (a run of characters) with a request are compared first: the best ratio among them, if it is accepted, is
+the least that any other title must reach, and the bounds leave next to nothing at that height. Seeds only raise bounds; every title still meets every request's bounds.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
-import heapq
 from collections.abc import Iterator
 from functools import partial
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from litspan.functions import text as T
+from litspan.sources.scratch import stored
 
 ACCEPT, SUGGEST = 0.82, 0.72
 ROWS, CHARS = 1 << 14, 1 << 22  # requests of a block
 PAIRS = 1 << 16  # pairs whose subsequences are compared at once
 WORD = 64
+GRAM, SEEDS = 12, 8  # characters of a seed, and seeds of a title: its runs of least hash
 #: Characters of a title key, the frequent ones first, and how many of each have a bit.
 ALPHABET = "etaoinsr bcdfghjklmpquvwxyz0123456789"
 LEVELS = np.array([12] * 9 + [5] * 28)
@@ -40,10 +46,10 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def blocks(requests: DataFrame) -> Iterator[list[tuple]]:
-    """Requests (key, normal form) in lists of bounded size; the driver holds one at a time."""
+    """Requests (key, normal form, and what else they have) in lists of bounded size; the driver holds one at a time."""
     held, size = [], 0
     for r in requests.toLocalIterator():
-        held.append((r[0], r[1]))
+        held.append(tuple(r))
         size += len(r[1])
         if len(held) == ROWS or size > CHARS:
             yield held
@@ -110,10 +116,11 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class Asked:
-    """A block of requests, and the bounds of titles against them."""
+    """A block of requests (key, normal form and, if known, the least ratio that counts), and the bounds of titles against them."""
 
     def __init__(self, asked: list[tuple]):
-        self.names, self.texts = [k for k, _ in asked], [t for _, t in asked]
+        self.names, self.texts = [x[0] for x in asked], [x[1] for x in asked]
+        self.least = np.array([x[2] if len(x) > 2 else SUGGEST for x in asked], float)
         self.length, self.bits, self.beyond, codes = features(pa.array(self.texts, pa.string()))
         #: For requests of one word: at which places each character stands.
         self.places = np.zeros((len(asked), len(ALPHABET) + 1), np.uint64)
@@ -123,12 +130,18 @@ class Asked:
 
     def able(self, length: np.ndarray, bits: np.ndarray, beyond: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (request, title) that lengths and common characters leave; titles are in order of length."""
+        words = np.ascontiguousarray(bits.T)
+        sizes = np.arange(int(length.max(initial=0)) + 1)
         for r in range(len(self.names)):
-            n = self.length[r]
-            lo = np.searchsorted(length, n * SUGGEST / (2 - SUGGEST) - EDGE, "left")
-            hi = np.searchsorted(length, n * (2 - SUGGEST) / SUGGEST + EDGE, "right")
-            common = np.bitwise_count(bits[lo:hi] & self.bits[r]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[lo:hi], self.beyond[r])
-            found = np.flatnonzero(2 * common >= SUGGEST * (length[lo:hi] + n) - EDGE) + lo
+            n, least = self.length[r], self.least[r]
+            lo = np.searchsorted(length, n * least / (2 - least) - EDGE, "left")
+            hi = np.searchsorted(length, n * (2 - least) / least + EDGE, "right")
+            # all bits of a title fit a byte
+            common = np.bitwise_count(words[0, lo:hi] & self.bits[r, 0])
+            for k in range(1, len(words)):
+                common += np.bitwise_count(words[k, lo:hi] & self.bits[r, k])
+            need = np.ceil((least * (sizes + n) - EDGE) / 2).astype(np.int64)
+            found = np.flatnonzero(common + np.minimum(beyond[lo:hi], self.beyond[r]) >= need[length[lo:hi]]) + lo
             if len(found):
                 yield np.full(len(found), r), found
 
@@ -161,7 +174,7 @@ def _similar(batches: Iterator[pa.RecordBatch], asked: list[tuple], most: int, k
                 _compare(own, waiting, codes, length, papers, texts, best, most)
                 waiting, n = [], 0
         _compare(own, waiting, codes, length, papers, texts, best, most)
-    rows = [(own.names[r], p, -s) for r, held in enumerate(best) for s, p in heapq.nsmallest(most, held)]
+    rows = [(own.names[r], p, -s) for r, held in enumerate(best) for s, p in held]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], kind), pa.array([x[1] for x in rows], papers_kind), pa.array([x[2] for x in rows], pa.float64())], names=columns)
 
@@ -172,19 +185,48 @@ def _compare(own: Asked, waiting: list, codes: np.ndarray, length: np.ndarray, p
     request, title = (np.concatenate(x) for x in zip(*waiting, strict=True))
     for k in range(0, len(request), PAIRS):
         r, t = request[k : k + PAIRS], title[k : k + PAIRS]
-        fit = 2 * own.subsequence(r, codes[t]) >= SUGGEST * (own.length[r] + length[t]) - EDGE
-        r, t = r[fit], t[fit]
-        matcher, last = difflib.SequenceMatcher(), None
-        for i, j in sorted(zip(r.tolist(), t.tolist(), strict=True), key=lambda x: x[1]):
-            if j != last:
-                matcher.set_seq2(texts[j])
-                last = j
-            matcher.set_seq1(own.texts[i])
+        most_common, both = 2 * own.subsequence(r, codes[t]), own.length[r] + length[t]
+        fit = most_common >= own.least[r] * both - EDGE
+        r, t, bound = r[fit], t[fit], (most_common[fit] + EDGE) / both[fit]
+        matcher = difflib.SequenceMatcher()
+        # the likeliest first: what they reach is the least for the others
+        order = np.argsort(-bound, kind="stable")
+        for i, j, high in zip(r[order].tolist(), t[order].tolist(), bound[order].tolist(), strict=True):
+            if high < own.least[i]:
+                continue
+            matcher.set_seqs(own.texts[i], texts[j])
             ratio = matcher.ratio()
-            if ratio >= SUGGEST:
-                best[i].append((-ratio, papers[j]))
-                if len(best[i]) > 8 * most:
-                    best[i] = heapq.nsmallest(most, best[i])
+            if ratio >= own.least[i]:
+                bisect.insort(best[i], (-ratio, papers[j]))
+                del best[i][most:]
+                if ratio >= ACCEPT:
+                    own.least[i] = ratio
+                elif len(best[i]) == most:
+                    own.least[i] = max(own.least[i], -best[i][-1][0])
+
+
+def _seeded(rows: DataFrame) -> DataFrame:
+    """Each row of titles with its seeds, as ``__g``."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__t") - (GRAM - 1)))
+    hashes = F.transform(at, lambda i: F.xxhash64(F.substr(F.col("__t"), i, F.lit(GRAM))))
+    return rows.select("*", F.explode(F.slice(F.sort_array(F.array_distinct(hashes)), 1, SEEDS)).alias("__g"))
+
+
+def _ratio(asked: Column, title: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return run(asked, title)
+
+
+def leasts(requests: DataFrame, papers: DataFrame, request: str) -> DataFrame:
+    """Requests in normal form with ``__least``: SUGGEST, or an accepted ratio that one of the titles has. Of the titles with a seed one is compared, so a request meets SEEDS titles at most."""
+    asked = _seeded(requests)
+    one = _seeded(papers.select("__t")).join(asked.select("__g").distinct(), "__g").groupBy("__g").agg(F.min("__t").alias("__u"))
+    near = asked.join(one, "__g").select(request, "__t", "__u").distinct().select(request, _ratio(F.col("__t"), F.col("__u")).alias("__ratio"))
+    best = near.groupBy(request).agg(F.max("__ratio").alias("__ratio")).where(F.col("__ratio") >= ACCEPT)
+    return requests.join(best, request, "left").select(request, "__t", F.coalesce("__ratio", F.lit(SUGGEST)).alias("__least"))
 
 
 def fuzzy_titles(requests: DataFrame, papers: DataFrame, most: int = 10, request: str = "request_id", query: str = "query", paper: str = "paper_id", title: str = "title") -> DataFrame:
@@ -195,7 +237,7 @@ def fuzzy_titles(requests: DataFrame, papers: DataFrame, most: int = 10, request
     r, p = keyed(requests, request, query), keyed(papers, paper, title)
     schema = f"`{request}` {r.schema[request].dataType.simpleString()}, `{paper}` {p.schema[paper].dataType.simpleString()}, ratio double"
     shape = {"most": most, "kind": to_arrow_type(r.schema[request].dataType), "columns": [request, paper, "ratio"]}
-    parts = [p.mapInArrow(partial(_similar, asked=block, **shape), schema) for block in blocks(r)]
+    parts = [p.mapInArrow(partial(_similar, asked=block, **shape), schema) for block in blocks(stored(leasts(r, p, request), "title-requests"))]
     near = _union(parts, requests.sparkSession.createDataFrame([], schema))
     ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy(request).orderBy(F.desc("ratio"), paper))).where(F.col("__r") <= most)
     told = ranked.withColumn("accepted", F.max("ratio").over(Window.partitionBy(request)) >= ACCEPT)

@@ -80,6 +80,20 @@ def test_bounds_hold_for_every_pair():
             assert matcher.ratio() < N.SUGGEST or (r, t) in able
 
 
+def test_accepted_titles_raise_the_bounds(spark):
+    """Requests with a close title leave hardly any other title to compare, and their rows are those of all pairs."""
+    rng = random.Random(6)
+    papers = [(k, " ".join("".join(rng.choices("etaoinsrhldcum", k=rng.randint(2, 9))) for _ in range(8))) for k in range(3000)]
+    asked = [(k, t[2:]) for k, t in papers[:40]]
+    p, r = spark.createDataFrame(papers, "paper_id int, title string"), spark.createDataFrame(asked, "request_id int, query string")
+    told = [tuple(x) for x in N.leasts(N.keyed(r, "request_id", "query"), N.keyed(p, "paper_id", "title"), "request_id").collect()]
+    assert len(told) == len(asked) and sum(x[2] >= N.ACCEPT for x in told) > 0.9 * len(told)
+    length, bits, beyond, _ = N.features(pa.array(sorted((key(t) for _, t in papers), key=len)))
+    left = lambda rows: sum(len(found) for _, found in N.Asked(rows).able(length, bits, beyond))
+    assert left(told) < 0.05 * left([x[:2] for x in told])
+    assert found(N.fuzzy_titles(r, p)) == slow(asked, papers)
+
+
 @pytest.mark.parametrize("rows", [1, 3, 1 << 14])
 def test_blocks_of_requests(spark, monkeypatch, rows):
     monkeypatch.setattr(N, "ROWS", rows)
