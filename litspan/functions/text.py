@@ -138,15 +138,22 @@ def published_year(c: Column) -> Column:
 
 def author_preview(authors: Column, most: int = 6, prefer: str | Column = "") -> Column:
     """The first authors and ``, et al.``; an author that equals (else holds) ``prefer`` comes first."""
-    wanted = F.lower(strip(F.lit(prefer) if isinstance(prefer, str) else prefer))
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), 0)
     clean = F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), strip), lambda a: a != "")
-    lower = F.transform(clean, F.lower)
-    exact = F.array_position(lower, wanted)
-    within = F.array_position(F.transform(lower, lambda a: F.contains(a, wanted)), F.lit(True))
-    at = F.when(wanted == "", F.lit(0)).when(exact > 0, exact).otherwise(within).cast("int")
-    rest = F.filter(clean, lambda a, i: i + 1 != at)
-    moved = F.when(at > 1, F.concat(F.array(F.get(clean, at - 1)), rest)).otherwise(clean)
-    return F.concat(F.array_join(F.slice(moved, 1, most), ", "), F.when(F.size(clean) > most, ", et al.").otherwise(""))
+
+    # names, the one wanted and its place are bound by lambdas: each is made once, not once for every author
+    def told(names: Column, wanted: Column) -> Column:
+        exact = F.array_position(F.transform(names, F.lower), wanted)
+        within = F.array_position(F.transform(names, lambda a: F.contains(F.lower(a), wanted)), F.lit(True))
+        return bound(F.when(wanted == "", F.lit(0)).when(exact > 0, exact).otherwise(within).cast("int"), lambda at: shown(names, at))
+
+    def shown(names: Column, at: Column) -> Column:
+        first = F.slice(names, 1, most)
+        rest = F.filter(first, lambda a, i: i + 1 != at)
+        moved = F.when(at > 1, F.slice(F.concat(F.array(F.get(names, at - 1)), rest), 1, most)).otherwise(first)
+        return F.concat(F.array_join(moved, ", "), F.when(F.size(names) > most, ", et al.").otherwise(""))
+
+    return bound(clean, lambda names: bound(F.lower(strip(F.lit(prefer) if isinstance(prefer, str) else prefer)), lambda wanted: told(names, wanted)))
 
 
 def join_authors(authors: Column) -> Column:

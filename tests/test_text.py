@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,13 @@ def test_bibliographies_are_read_in_two_passes(spark):
     assert {(r.paper, r.run_start, r.run_length, r.run_end) for r in told} == plain and len(told) == len(rows) and {r.every for r in told} == {30}
     for found in B.parse(spark.createDataFrame([(1, "1. a b\n2. c d")], "paper_id int, text string")):
         assert found._jdf.queryExecution().analyzed().toString().count("Generate posexplode") <= 2
+
+
+def test_author_preview_of_many_authors(spark):
+    """The place of the author wanted is sought once, not once for every author: a hundred thousand take seconds."""
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(100_000)), lambda i: F.concat(F.lit("Ann "), i)).alias("a"))
+    last = F.upper(F.element_at("a", -1))
+    began = time.time()
+    got = many.select(T.author_preview(F.col("a"), 3, last).alias("x"), T.author_preview(F.col("a"), 3, "nobody").alias("y"), T.author_preview(F.col("a"), 3, "ann 2").alias("z")).first()
+    assert (got.x, got.y, got.z) == ("Ann 100000, Ann 0, Ann 1, et al.", "Ann 0, Ann 1, Ann 2, et al.", "Ann 2, Ann 0, Ann 1, et al.")
+    assert time.time() - began < 60
