@@ -187,3 +187,12 @@ def test_no_window_of_a_paper_holds_sections_texts(spark):
         if "Window [row_number" in line:
             below = next((j for j in range(i + 1, len(plan)) if depth(plan[j]) < depth(line)), len(plan))
             assert not any("content_text" in x for x in plan[i + 1 : below])
+
+
+@pytest.mark.parametrize("name", ["ref_longest_run", "ref_confidence", "ref_entries_in_run"])
+def test_runs_come_from_one_exchange(spark, sf_dir, name):
+    """The rows of a paper are read and exchanged once, and joined with nothing."""
+    from litspan.plans import registry
+
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
