@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,43 @@ def test_settings_and_disabled_models(spark):
     assert (vectors[0] == vectors[3]).all() and vectors[1][0] == 1
 
 
+def test_texts_become_python_strings_by_the_batch(spark):
+    """A worker has one batch of texts as Python strings, however many rows arrive at once: a model that tells the longest list of texts in its process."""
+    from litspan.functions.providers import BATCH, embed_documents
+
+    class Watching:
+        dimensions = 2
+
+        def embed(self, texts):
+            import gc
+
+            held = max(len(x) for x in gc.get_objects() if type(x) is list and x and type(x[0]) is str and x[0].startswith("text number "))
+            return np.array([[held, len(texts)]] * len(texts))
+
+    texts = spark.range(0, 500, 1, 1).select(F.concat(F.lit("text number "), "id").alias("text"))
+    told = [r.v for r in texts.select(embed_documents(F.col("text"), Watching).alias("v")).collect()]
+    assert len(told) == 500 and max(v[1] for v in told) == BATCH
+    assert max(v[0] for v in told) == BATCH
+
+
+def test_vectors_are_the_models(spark):
+    """Nulls, no rows and lengths that no batch divides; queries have the instruction before them."""
+    import pyarrow as pa
+
+    from litspan.functions.providers import QUERY_PREFIX, HashingEmbedder, _embedded, embed_documents, embed_queries
+
+    texts = [None if k % 7 == 3 else f"word{k} and word{k % 5}" for k in range(75)] + ["", "漢字 é"]
+    want = HashingEmbedder().embed(texts).astype("float32").tolist()
+    whole = pa.array(texts)
+    got = [v for part in _embedded(iter([whole.slice(0, 40), whole.slice(40, 0), whole.slice(40)]), HashingEmbedder()) for v in part.to_pylist()]
+    assert got == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    found = rows.select("i", embed_documents(F.col("text")).alias("d"), embed_queries(F.col("text")).alias("q")).orderBy("i").collect()
+    asked = HashingEmbedder().embed([QUERY_PREFIX + (t or "") for t in texts]).astype("float32").tolist()
+    assert [r.d for r in found] == want and [r.q for r in found] == asked
+    assert rows.where("false").select(embed_documents(F.col("text"))).count() == 0
+
+
 def test_reference_hits_tail_first(spark):
     hits = spark.createDataFrame([(1, 0.4), (9, 0.0), (3, 0.9)], "chunk_index int, score double")
     order = lambda **k: [r.chunk_index for r in hits.orderBy(*retrieval.hit_order(hits, "references", **k)).collect()]
