@@ -123,3 +123,52 @@ def test_registered_query_equals_all_pairs(spark, sf_dir):
     got = registry.QUERIES["title_match_fuzzy"](spark, sf_dir)
     rounded = lambda x: {k: sorted((p, round(s, 6), a) for p, s, a in v) for k, v in x.items()}
     assert rounded(found(got, paper="doc_id")) == rounded(slow(asked, docs))
+
+
+def test_equal_titles_and_requests_are_compared_once(spark, monkeypatch):
+    """Copies give the rows of all pairs, in the order of their papers, and don't multiply what is compared."""
+    rng = random.Random(9)
+    kinds = generated(12, seed=7, longest=12)
+    papers = [(k, rng.choice(kinds)) for k in range(400)]
+    asked = [(k, t[:1] + t[3:]) for k, t in enumerate(kinds * 3)] + [(100, "deep"), (101, "graph nets small corpus")]
+    p = spark.createDataFrame(papers, "paper_id int, title string").repartition(5)
+    r = spark.createDataFrame(asked, "request_id int, query string")
+    told = []
+    monkeypatch.setattr(N, "blocks", lambda rows, of=N.blocks: (told.append(b) or b for b in of(rows)))
+    assert found(N.fuzzy_titles(r, p)) == slow(asked, papers)
+    assert sum(map(len, told)) == len({key(q) for _, q in asked})
+
+
+def test_blocks_of_pairs_are_those_of_difflib():
+    """Equal runs, runs that cross, texts of a whole word: the same number of characters, or less than is needed."""
+    rng = random.Random(1)
+    text = lambda n: key("".join(rng.choice("etab n") for _ in range(rng.randint(1, n)))) or "a"
+    asked = [text(64) for _ in range(40)] + ["e" * 64, "ab" * 32, "a"]
+    texts = [text(120) for _ in range(80)] + [x[:20] + "tn" + x[22:] for x in asked] + ["ab" * 40, "e" * 90]
+    own = N.Asked(list(enumerate(asked)))
+    titles = N.Titles(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["paper", "t"]))
+    request, title = np.repeat(np.arange(len(asked)), len(texts)), np.tile(np.arange(len(texts)), len(asked))
+    want = np.array([sum(b.size for b in difflib.SequenceMatcher(a=asked[i], b=titles.texts[j]).get_matching_blocks()) for i, j in zip(request, title, strict=True)])
+    assert (own.matching(request, titles.codes[title], np.zeros(len(want))) == want).all()
+    need = np.full(len(want), np.median(want))
+    some = own.matching(request, titles.codes[title], need)
+    assert ((some == want) | ((some < need) & (want < need))).all()
+
+    # the order of some characters leaves every pair that can count
+    counted = [np.concatenate(x) for x in zip(*own.counted(titles.length, titles.bits, titles.beyond), strict=True)]
+    left = set(zip(*(x.tolist() for x in N.in_order(own, titles, *counted)), strict=True))
+    ratio = 2 * want / (own.length[request] + titles.length[title])
+    assert {(int(i), int(j)) for i, j in zip(request[ratio >= N.SUGGEST], title[ratio >= N.SUGGEST], strict=True)} <= left
+
+
+def test_many_like_titles_raise_the_bound(spark):
+    """Where ``most`` titles are like a request that none is accepted for, the others must be as like as those."""
+    stem = "quantum corpus attention zero sparse "
+    papers = [(k, stem + " ".join(w)) for k, w in enumerate(zip(generated(30, 1, 1), generated(30, 2, 1), generated(30, 3, 1), strict=True))]
+    asked = [(1, stem + "0123 987"), (2, "xyz")]
+    p, r = spark.createDataFrame(papers, "paper_id int, title string"), spark.createDataFrame(asked, "request_id int, query string")
+    distinct = N.keyed(p, "paper_id", "title").dropDuplicates(["__t"])
+    told = {x[0]: x[2] for x in N.leasts(N.keyed(r, "request_id", "query"), distinct, "request_id", 3).collect()}
+    ratios = sorted((difflib.SequenceMatcher(a=asked[0][1], b=t).ratio() for t in {t for _, t in papers}), reverse=True)
+    assert N.SUGGEST < told[1] <= ratios[2] < N.ACCEPT and told[2] == N.SUGGEST
+    assert found(N.fuzzy_titles(r, p)) == slow(asked, papers)
