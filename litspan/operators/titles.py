@@ -339,7 +339,7 @@ def leasts(requests: DataFrame, papers: DataFrame, request: str, most: int = 1)
     tasks = TASKS * requests.sparkSession.sparkContext.defaultParallelism
     asked = _seeded(requests).repartition(tasks, "__g")
     order = Window.partitionBy("__g").orderBy("__t")
-    some = _seeded(papers.select("__t")).join(asked.select("__g").distinct(), "__g").repartition(tasks, "__g").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    some = _seeded(papers.select("__t")).join(asked.select("__g").distinct(), "__g").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).repartition(tasks, "__g")
     near = asked.join(some.select("__g", F.col("__t").alias("__u")), "__g").select(request, "__t", "__u").distinct()
     near = near.repartition(tasks).select(request, _ratio(F.col("__t"), F.col("__u")).alias("__ratio"))
     ratios = near.where(F.col("__ratio") >= SUGGEST).groupBy(request).agg(F.sort_array(F.collect_list("__ratio"), asc=False).alias("__ratios"))
